@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece, simhash, token_counts
+from . import embedding_dedup, html_text, sentencepiece, simhash, token_counts, url_filter
 from .common import read_table
 
 
@@ -13,15 +13,30 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and quantiles at every context limit, from the encoded lengths of all documents."""
     return token_counts.limits(token_counts.histogram(sentencepiece.lengths(read_table(spark, sf_dir, "documents"))))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op7_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op7_token_counts, op8_html_text, op10_simhash)}
 ORACLES: dict[str, str] = {}
