@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, sentencepiece, simhash, token_counts, url_filter
+from . import decontamination, embedding_dedup, html_text, sentencepiece, simhash, token_counts, url_filter
 from .common import read_table
 
 
@@ -23,6 +23,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items."""
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and quantiles at every context limit, from the encoded lengths of all documents."""
     return token_counts.limits(token_counts.histogram(sentencepiece.lengths(read_table(spark, sf_dir, "documents"))))
@@ -38,5 +43,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op7_token_counts, op8_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op10_simhash)}
 ORACLES: dict[str, str] = {}
