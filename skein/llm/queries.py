@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, sentencepiece, simhash, token_counts, url_filter
+from . import decontamination, embedding_dedup, html_text, quality, sentencepiece, simhash, token_counts, url_filter
 from .common import read_table
 
 
@@ -38,10 +38,15 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash)}
 ORACLES: dict[str, str] = {}
