@@ -16,6 +16,7 @@ size is bounded; it is emptied, never consulted beyond its bound, so results do
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Marked words that a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Marked words that a Python worker remembers: so many new ones, and as many from before.
+CACHE_WORDS = 250_000
+#: Stands for no piece; numbers from CHARS on stand for characters that are no piece.
+EMPTY, CHARS, FAR = -1, 1 << 21, 1 << 22
 
 
 class Vocabulary:
@@ -61,11 +64,20 @@ class Vocabulary:
             self.table.append(out)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that go on past a space are not supported")
-        self.longest = max(map(len, self.ids))
         alone = {c for p in self.ids if len(p) > 1 for c in p}
         self.split_newline = "\n" not in alone
         self.words = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.split_newline else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self._kept: dict[tuple[str, str], bool] = {}
+        self.pieces = [p.piece for p in m.pieces]
+        self.scores_by_id = [p.score for p in m.pieces]
+        self.neighbours: dict[int, bool] = {}
+        #: Pieces by their characters from the last to the first: character -> (more, piece or EMPTY).
+        self.endings: dict[str, tuple[dict, int]] = {}
+        for piece, k in self.ids.items():
+            here, chars = self.endings, piece[::-1]
+            for n, c in enumerate(chars):
+                more, held = here.get(c, ({}, EMPTY))
+                here[c] = (more, k if n == len(chars) - 1 else held)
+                here = more
 
     def merged(self, text: str) -> list[str]:
         """The merges' result on a short text, one merge at a time: best score first, then leftmost."""
@@ -78,53 +90,71 @@ class Vocabulary:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def kept(self, left: str, right: str) -> bool:
-        """Whether the merges leave two pieces side by side as they are; left may be empty."""
-        key = (left, right)
-        if (known := self._kept.get(key)) is None:
-            if len(self._kept) > 2_000_000:
-                self._kept.clear()
-            known = self._kept[key] = self.merged(left + right) == ([left, right] if left else [right])
+    def kept(self, left: int, right: int) -> bool:
+        """Whether the merges leave two pieces side by side as they are; left may be the empty piece."""
+        a, b = self.name(left), self.name(right)
+        if len(self.neighbours) > 2_000_000:
+            self.neighbours.clear()
+        known = self.neighbours[left * FAR + right] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def piece_ids(self, piece: str) -> list[int]:
-        if (k := self.ids.get(piece)) is not None:
-            return [k]
-        return [self.bytes[b] for b in piece.encode()]
+    def name(self, k: int) -> str:
+        """The string of a piece, or of a character that is no piece."""
+        return "" if k == EMPTY else self.pieces[k] if k < CHARS else chr(k - CHARS)
+
+    def output(self, k: int) -> list[int]:
+        """The ids that a piece is written as: its own, or those of its bytes."""
+        return [k] if k < CHARS else [self.bytes[b] for b in chr(k - CHARS).encode()]
 
 
 def encode_words(words: list[str], v: Vocabulary) -> dict[str, bytes]:
     """Ids (int32 bytes) of distinct marked words, sorted and walked as a trie."""
     out: dict[str, bytes] = {}
-    last: list[str] = [""]  # best last piece of each prefix of the current path
-    best: list[float] = [0.0]
-    unknown = min(v.scores.values(), default=0.0) - 10.0
+    last, came, best = [EMPTY], [0], [0.0]  # of each prefix of the current path: its last piece, where that starts, its score
+    worst = min(v.scores.values(), default=0.0) - 10.0
+    seen, kept, endings, scores, bpe, far = v.neighbours, v.kept, v.endings, v.scores_by_id, v.bpe, FAR
     before = ""
-    ids, kept, scores, seen, longest = v.ids, v.kept, v.scores, v._kept, v.longest
     for word in sorted(words):
         common, most = 0, min(len(before), len(word))
         while common < most and before[common] == word[common]:
             common += 1
-        del last[common + 1 :], best[common + 1 :]
+        del last[common + 1 :], came[common + 1 :], best[common + 1 :]
         for end in range(common + 1, len(word) + 1):
-            if v.bpe:
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = word[start:end]
-                    if piece in ids or start == end - 1:
-                        known = seen.get((last[start], piece))
+            start = end - 1
+            char = word[start]
+            node = endings.get(char)
+            if node is None or node[1] == EMPTY:
+                alone = CHARS + ord(char)
+                node = (node[0] if node else {}, alone)
+            if bpe:
+                while True:
+                    piece = node[1]
+                    if piece != EMPTY:
+                        known = seen.get(last[start] * far + piece)
                         if known or known is None and kept(last[start], piece):
                             break
+                    start -= 1
+                    node = node[0][word[start]]
                 last.append(piece)
-                best.append(0.0)
+                came.append(start)
             else:
-                value, piece = max((best[start] + (scores[p] if p in scores else unknown), p) for start in range(max(0, end - longest), end) if (p := word[start:end]) in scores or start == end - 1)
+                value, piece, at = float("-inf"), EMPTY, 0
+                while node is not None:
+                    if node[1] != EMPTY and (x := best[start] + (scores[node[1]] if node[1] < CHARS else worst)) >= value:
+                        value, piece, at = x, node[1], start
+                    start -= 1
+                    node = node[0].get(word[start]) if start >= 0 else None
                 last.append(piece)
+                came.append(at)
                 best.append(value)
         end, pieces = len(word), []
         while end:
             pieces.append(last[end])
-            end -= len(last[end])
-        out[word] = np.array([k for p in reversed(pieces) for k in v.piece_ids(p)], np.int32).tobytes()
+            end = came[end]
+        pieces.reverse()
+        if max(pieces) >= CHARS:
+            pieces = [k for p in pieces for k in v.output(p)]
+        out[word] = array("i", pieces).tobytes()
         before = word
     return out
 
@@ -135,16 +165,19 @@ class Encoder:
     def __init__(self, proto: bytes):
         self.v = Vocabulary(proto)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """int32 ids of each text as bytes; null and empty texts have none."""
         cut = [self.v.words.findall(self.v.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        new = {w for ws in cut for w in ws if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = {w for ws in cut for w in ws}
-        known.update(encode_words(list(new), self.v))
+        here = set().union(*cut)
+        if len(self.known) + len(here) > CACHE_WORDS:  # words not met again before the next turn are forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = here.difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        known.update(encode_words(list(new - again), self.v))
         return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: list[int]) -> str:
