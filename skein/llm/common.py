@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,28 @@ BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package where the Python workers find it."""
+    _shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def _shipped(spark: SparkSession) -> None:
+    """Send the package to the workers, once a context, unless their path has it."""
+    sc = spark.sparkContext
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if getattr(sc, "_skein_sent", False) or top in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="skein-code-")
+    path = os.path.join(folder, "skein.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(os.path.join(top, "skein")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), top))
+    sc.addPyFile(path)
+    sc._skein_sent = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,8 +9,12 @@ words has at least four fifths of them equal; the others are substituted.
 The masks lose nothing: every window of at least five words with at most a fifth of its words substituted holds a
 place where one of the masks sees only equal words (checked for lengths 5 to 25; a longer window contains such a one).
 
+Such a window holds more than one seed, so an alignment needs LEAST_SEEDS of them before its words are looked at: seeds
+are counted per alignment with map-side partial sums, and only documents with such an alignment are read again.
+
 Only the benchmark's seeds are broadcast, in blocks of at most SEEDS_AT_ONCE rows, one pass over the documents for
-each block; the documents are never shuffled.  Alignments shrink to distinct rows before their shuffle.
+each block.  Long texts are cut to overlapping runs of RUN words before their seeds are made, so a task's memory
+does not grow with a document.
 """
 
 from __future__ import annotations
@@ -24,6 +28,11 @@ from .common import stored
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 LEAST_WORDS = 5
 WINDOW = 13
+#: Seeds that a window of so many words holds at least with a fifth of them substituted; longer ones hold at least LONG_SEEDS.
+LEAST_SEEDS = {5: 1, 6: 2, 7: 3, 8: 4, 9: 5, 10: 2, 11: 4, 12: 6}
+LONG_SEEDS = 6
+#: Words of a text whose seeds are made at once.
+RUN = 2048
 #: Equal words per WHOLE words of a window.
 EQUAL, WHOLE = 4, 5
 #: Rows of one broadcast: about 60 bytes each.
@@ -31,44 +40,38 @@ SEEDS_AT_ONCE = 400_000
 _SPACE = " \t\n\x0b\f\r"
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of the lower-cased words of a text; null or blank: none."""
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text; null or blank: none."""
     trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_SPACE))
-    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, "[ \t\n\x0b\f\r]+"), lambda w: F.xxhash64(w)))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \t\n\x0b\f\r]+"))
 
 
-def seeds(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """(kept columns, at, mask, seed): every mask at every word of texts(words, ...)."""
+def seeds(texts: DataFrame, key: str) -> DataFrame:
+    """(key, at, seed): every mask at every word of texts(key, words)."""
     span = 1 + max(max(m) for m in MASKS)
-    words = F.col("words")
-    shifted = F.arrays_zip(*[(words if k == 0 else F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0)))).alias(f"w{k}") for k in range(span)])
-    at = texts.where(F.size("words") > max(MASKS[0])).select(*keep, F.posexplode(shifted).alias("at", "w"))
+    runs = texts.where(F.size("words") > max(MASKS[0])).select(key, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(RUN))).alias("base"))
+    runs = runs.select(key, "base", F.slice("words", F.col("base") + 1, F.lit(RUN + span - 1)).alias("run"))
+    runs = runs.select(key, "base", F.transform("run", lambda w: F.xxhash64(w)).alias("run"))
+    shifted = F.arrays_zip(*[(F.col("run") if k == 0 else F.slice("run", k + 1, F.greatest(F.size("run") - k, F.lit(0)))).alias(f"w{k}") for k in range(span)])
+    at = runs.select(key, "base", F.posexplode(shifted).alias("at", "w")).where(F.col("at") < RUN)
     each = F.array(*[F.when(F.col(f"w.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"w.w{k}") for k in m])) for n, m in enumerate(MASKS)])
-    return at.select(*keep, "at", F.explode(each).alias("seed")).where("seed is not null")
+    return at.select(key, (F.col("base") + F.col("at")).alias("at"), F.explode(each).alias("seed")).where("seed is not null")
 
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, equal): distinct alignments that share a seed; equal: one 0 or 1 per word of the item.
-
-    docs(doc_id, words) and items(item_id, words) are stored tables.
-    """
-    of_items = stored(seeds(items, ["item_id"]).withColumnRenamed("at", "item_at"))
+    """(doc_id, item_id, start): alignments with seeds enough, of docs(doc_id, words) and a stored table items(item_id, words, seeds)."""
+    of_items = stored(seeds(items, "item_id").select("item_id", F.col("at").alias("item_at"), "seed").join(items.select("item_id", "seeds"), "item_id"))
     blocks = max(1, -(-of_items.count() // SEEDS_AT_ONCE))
     found = None
     for k in range(blocks):
-        some = of_items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else of_items
-        size = some.count() if blocks > 1 else 0
-        with_words = some.join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
-        # the count bounds the broadcast; a block that came out too large is joined by a shuffle
-        side = F.broadcast(with_words) if size <= 2 * SEEDS_AT_ONCE else with_words
-        start = F.col("at") - F.col("item_at")
-        same = F.transform(
-            F.col("item_words"),
-            lambda w, i: F.when(F.get(F.col("words"), F.col("start") + i) == w, "1").otherwise("0"),
-        )
-        hits = seeds(docs, ["doc_id", "words"]).join(side, "seed").withColumn("start", start).select("doc_id", "item_id", "start", F.array_join(same, "").alias("equal")).distinct()
+        some = of_items.where(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(blocks)) == k) if blocks > 1 else of_items
+        # the seeds are dealt evenly by hash, so a block is about SEEDS_AT_ONCE rows; one that is not goes by a shuffle
+        side = F.broadcast(some) if blocks == 1 or some.count() <= 2 * SEEDS_AT_ONCE else some
+        hits = seeds(docs, "doc_id").join(side, "seed").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.first("seeds").alias("seeds"))
         found = hits if found is None else found.unionByName(hits)
-    return found
+    if blocks > 1:
+        found = found.groupBy("doc_id", "item_id", "start").agg(F.sum("n").alias("n"), F.first("seeds").alias("seeds"))
+    return found.where("n >= seeds").select("doc_id", "item_id", "start")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -78,8 +81,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and blank texts overlap with nothing, items of under five words are no evidence and are left out, repeated
     rows count once, a null id is an id like others, empty tables give no rows, other columns are ignored.
     """
-    side = lambda t, key: t.select(F.col(key).cast("long").alias(key), word_hashes(F.col("text")).alias("words"))
-    items = stored(side(benchmark, "item_id").where(F.size("words") >= LEAST_WORDS).distinct())
-    pairs = alignments(side(docs, "doc_id"), items).withColumn("n", F.length("equal")).withColumn("window", F.least("n", F.greatest(F.lit(WINDOW), F.ceil(F.col("n") / 2))).cast("int"))
+    size = F.size("words")
+    window = F.least(size, F.greatest(F.lit(WINDOW), F.ceil(size / 2))).cast("int")
+    least = F.lit(LONG_SEEDS)
+    for n, x in LEAST_SEEDS.items():
+        least = F.when(window == n, x).otherwise(least)
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(size >= LEAST_WORDS).distinct().select("*", window.alias("window"), least.alias("seeds")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = stored(alignments(docs.select("doc_id", words_of(F.col("text")).alias("words")), items))
+    # documents are read again only where an alignment was found; ids may be null
+    named = found.select(F.col("doc_id").alias("id"), "item_id", "start")
+    again = docs.join(named.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", words_of(F.col("text")).alias("doc_words"))
+    pairs = named.join(items.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of").join(again, F.col("doc_id").eqNullSafe(F.col("id")))
+    same = F.transform("words", lambda w, i: F.when(F.get("doc_words", F.col("start") + i) == w, "1").otherwise("0"))
+    pairs = pairs.select("doc_id", "item_id", "window", F.size("words").alias("n"), F.array_join(same, "").alias("equal"))
     enough = F.exists(F.sequence(F.lit(1), F.col("n") - F.col("window") + 1), lambda i: F.length(F.replace(F.substr("equal", i, F.col("window")), F.lit("0"), F.lit(""))) * WHOLE >= F.col("window") * EQUAL)
     return pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("n").alias("item_words"), F.max(F.length(F.replace("equal", F.lit("0"), F.lit("")))).alias("equal_words"))
+
+
+__all__ = ["contaminated", "alignments", "seeds", "words_of"]

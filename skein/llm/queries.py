@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, quality, sentencepiece, simhash, token_counts, url_filter
+from . import decontamination, embedding_dedup, html_text, lm_scoring, quality, sentencepiece, simhash, token_counts, url_filter
 from .common import read_table
 
 
@@ -18,6 +18,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -48,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash)}
 ORACLES: dict[str, str] = {}

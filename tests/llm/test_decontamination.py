@@ -50,7 +50,16 @@ def test_against_every_alignment(spark, documents, words):
 def test_masks_lose_nothing():
     for n in range(5, 19):
         for gone in itertools.combinations(range(n), n // 5):
-            assert any(all(a + o not in gone for o in m) for m in op.MASKS for a in range(n - m[-1]))
+            seeds = sum(all(a + o not in gone for o in m) for m in op.MASKS for a in range(n - m[-1]))
+            assert seeds >= op.LEAST_SEEDS.get(n, op.LONG_SEEDS)
+
+
+def test_long_texts_in_runs(spark, documents, words, monkeypatch):
+    items = [(k, " ".join(words(20, k))) for k in range(5)]
+    docs = [(1, " ".join(" ".join(words(k)) + " " + items[k % 5][1] for k in range(40)))]
+    want = brute(docs, items)
+    monkeypatch.setattr(op, "RUN", 7)
+    assert run(spark, documents, docs, items) == want and len(want) == 5
 
 
 def test_blocks_of_seeds(spark, documents, words, monkeypatch):
