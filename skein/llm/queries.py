@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, lm_scoring, quality, sentencepiece, simhash, token_counts, url_filter
+from . import decontamination, embedding_dedup, html_text, lm_scoring, quality, sentencepiece, simhash, suffix_dedup, token_counts, url_filter
 from .common import read_table
 
 
@@ -23,6 +23,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without repeated passages."""
+    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -53,5 +58,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op4_suffix_dedup, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash)}
 ORACLES: dict[str, str] = {}
