@@ -1,19 +1,43 @@
-"""Stages of the corpus pipeline.  All but the last return the columns of documents."""
+"""Stages of the corpus pipeline.  All but the last return the columns of documents.
+
+Rows without a doc_id cannot be named by results keyed by it: the stages for near-duplicates and contamination let
+them pass; the others judge every row by itself.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece, simhash
+from . import decontamination, quality, sentencepiece, simhash, suffix_dedup
+from .common import read_table, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; the others come through as they are."""
+    return quality.scored(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each SimHash group stays, that of the smallest doc_id; of its repeated rows, one."""
+    keep = stored(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
+    named = docs.where("doc_id is not null").select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in a document of a smaller doc_id are cut out; bytes of characters cut in two go with them.  A null text becomes empty."""
+    out = suffix_dedup.deduplicate(docs.select(*COLUMNS), texts=True, carry=("lang", "source", "n_chars"))
+    size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    hit = stored(decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +46,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
     ("simhash", near_duplicates),
+    ("suffix", repeated_passages),
+    ("benchmark", no_benchmark),
     ("sentencepiece", encode),
 ]

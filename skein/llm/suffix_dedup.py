@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import small_batches, stored
 
@@ -131,7 +132,7 @@ def _unpack(b: bytes) -> tuple:
 
 def _opened(body: bytes):
     """Ids (rising), bytes of each document and all bytes of a chunk."""
-    ids, sizes, data = _unpack(body)
+    ids, sizes, data, _ = _unpack(body)
     return ids, sizes, np.frombuffer(data, np.uint8)
 
 
@@ -155,32 +156,33 @@ def _cut(shard: np.ndarray, shards: int):
     return [(k, int(cuts[k]), int(cuts[k + 1])) for k in np.unique(shard).tolist()]
 
 
-def chunk_table(docs: DataFrame, name: str, number: int) -> DataFrame:
-    """A table of (chunk, body), bucketed by chunk, of documents(doc_id, text)."""
+def chunk_table(docs: DataFrame, name: str, number: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A table of (chunk, body), bucketed by chunk, of documents(doc_id, text) with some other columns."""
 
     def run(batches):
-        ids, texts, size = [], [], 0
+        ids, texts, more, size = [], [], [], 0
 
         def row():
             order = np.argsort(np.array([LAST if i is None else i for i in ids], np.int64), kind="stable")
             known = np.array([LAST if ids[k] is None else ids[k] for k in order], np.int64)
-            body = _pack(known, np.array([len(texts[k]) for k in order], np.int64), b"".join([texts[k] for k in order]))
+            body = _pack(known, np.array([len(texts[k]) for k in order], np.int64), b"".join([texts[k] for k in order]), [more[k] for k in order])
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([body], pa.binary())], ["chunk", "body"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(i)
                 texts.append(t)
+                more.append(rest)
                 size += len(t)
                 if size >= CHUNK_BYTES:
                     yield row()
-                    ids, texts, size = [], [], 0
+                    ids, texts, more, size = [], [], [], 0
         if ids:
             yield row()
 
     spark = docs.sparkSession
     small_batches(spark)
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "chunk long, body binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carry).mapInArrow(run, "chunk long, body binary")
     packed.write.format("parquet").bucketBy(number, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -320,8 +322,9 @@ def _answer_strings(sent: DataFrame) -> DataFrame:
     return sent.where("shard >= 0").groupBy("shard").applyInPandas(run, "chunk long, shard int, part binary")
 
 
-def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts: bool) -> DataFrame:
-    """One row per document, with its kept text if asked for."""
+def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts: bool, carried: list[StructField]) -> DataFrame:
+    """One row per document, with its kept text and carried columns if asked for."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if texts else []), *(c.name for c in carried)]
 
     def run(key, left, right):
         import pandas as pd
@@ -329,6 +332,7 @@ def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts
         out = []
         for body in left["body"]:
             ids, sizes, flat = _opened(body)
+            more_columns = _unpack(body)[3]
             state = [p for k, p in zip(right["shard"], right["part"], strict=True) if k < 0]
             got = {k: p for k, p in zip(right["shard"], right["part"], strict=True) if k >= 0}
             low, high, steps, owner = _unpack(state[0])
@@ -351,20 +355,23 @@ def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts
                 removed = int(c.sum())
                 kept = (flat[a:b][~c] if removed else flat[a:b]).tobytes()
                 spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
-                out.append((None if ids[k] == LAST else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
-        frame["doc_id"] = pd.array([x[0] for x in out], "Int64")
-        return frame
+                out.append((None if ids[k] == LAST else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept, kept.decode("utf-8", "ignore")] if texts else []), *more_columns[k]))
+        # nullable whole numbers stay whole
+        return pd.DataFrame({n: pd.array([x[k] for x in out], "Int64") if whole[k] else pd.Series([x[k] for x in out], dtype=object) for k, n in enumerate(names)})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    fixed = [StructField(n, LongType()) for n in names[:4]] + [StructField("kept_sha256", StringType())] + [StructField("kept", BinaryType()), StructField("kept_text", StringType())] * texts
+    schema = StructType([*fixed, *carried])
+    whole = [isinstance(f.dataType, (LongType, IntegerType)) for f in schema.fields]
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of documents(doc_id, text).
+def deduplicate(docs: DataFrame, length: int = LENGTH, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, kept_text][, carried columns]) of documents(doc_id, text).
 
     Removes each byte that a string of `length` bytes covers which also starts in a document with a smaller doc_id;
-    matches stay within documents, and strings are judged on the input.  kept (if texts): the remaining bytes.  A null text
+    matches stay within documents, and strings are judged on the input.  kept, kept_text (if texts): the remaining bytes, and
+    these as text without the stray bytes of characters cut in two;
+    carry: other columns (strings and whole numbers) to return with each row.  A null text
     is empty; a null doc_id counts as larger than all others; rows of one doc_id remove nothing from each other; rows come
     back as often as they come; an empty table gives no rows; other columns are ignored.
     """
@@ -372,12 +379,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> D
     parts = max(8, docs.rdd.getNumPartitions())
     name = f"skein_{uuid.uuid4().hex}"
     try:
-        chunks = chunk_table(docs, name, parts)
+        chunks = chunk_table(docs, name, parts, carry)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
         answers = stored(_answer_runs(_send_runs(chunks, parts, length)))
         settled = stored(_settle(chunks, answers, parts, length))
         more = _answer_strings(settled)
-        out = stored(_finish(chunks, settled.where("shard < 0").unionByName(more), parts, length, texts))
+        out = stored(_finish(chunks, settled.where("shard < 0").unionByName(more), parts, length, texts, [docs.schema[c] for c in carry]))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
