@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .sentencepiece import MODEL, load
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 ROUNDS = 4
 #: Words' worth of the corpus's probabilities that a document's own words are weighed against.
 PRIOR = 1000.0
@@ -182,10 +182,25 @@ class Lattice:
                     ends.append([])
                 at = rows[at][byte]
             ends[at].append(k)
-        self.step = np.zeros((len(rows), 256), np.int32)
-        for k, row in enumerate(rows):
-            for byte, to in row.items():
-                self.step[k, byte] = to
+        # bytes that no piece holds share a column that leads nowhere
+        used = sorted({byte for row in rows for byte in row})
+        self.column = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int16)
+        self.column[used] = np.arange(len(used))
+        inner = [k for k, row in enumerate(rows) if row]
+        # nodes with pieces below them come first, so that only they need a row
+        name = np.empty(len(rows), np.int32)
+        name[inner] = np.arange(len(inner))
+        name[[k for k, row in enumerate(rows) if not row]] = np.arange(len(inner), len(rows))
+        self.inner = len(inner)
+        self.step = np.zeros((len(inner) + 1, len(used) + 1), np.int32)
+        for k in inner:
+            for byte, to in rows[k].items():
+                self.step[name[k], self.column[byte]] = name[to]
+        moved = [[] for _ in rows]
+        for k, e in enumerate(ends):
+            moved[name[k]] = e
+        ends = moved
+        del rows
         # a single character can be a piece and a byte piece: both end there
         self.first = np.array([e[0] if e else -1 for e in ends], np.int32)
         self.second = np.array([e[1] if len(e) > 1 else -1 for e in ends], np.int32)
@@ -210,7 +225,7 @@ class Lattice:
                 chars[:3] = np.frombuffer(_MARK, np.uint8)[:, None]
                 if size:
                     chars[3:] = data[starts[rows][None, :] + np.arange(size)[:, None]]
-                yield rows, chars
+                yield rows, self.column[chars]
 
     def _forward(self, chars: np.ndarray, arcs: list | None = None) -> np.ndarray:
         t, n = chars.shape
@@ -220,7 +235,7 @@ class Lattice:
             live = np.flatnonzero(alpha[i] > -np.inf)
             state = np.zeros(len(live), np.int32)
             for j in range(i, t):
-                state = self.step[state, chars[j, live]]
+                state = self.step[np.minimum(state, self.inner), chars[j, live]]
                 on = state > 0
                 if not on.all():
                     live, state = live[on], state[on]
@@ -330,7 +345,7 @@ def fit(counts: DataFrame, documents: int, model: str = MODEL, rounds: int = ROU
         uses[end] = documents + 1e-2
         with np.errstate(divide="ignore"):
             logp = np.log(uses / uses.sum())
-        sent.unpersist()
+        sent.destroy()
     return pieces, logp, end
 
 

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import small_batches, stored
+from .common import dropped, released, small_batches, stored
 
 LENGTH = 50
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of the chunk table that are read, and sent to Python, at once: a row is a few hundred kB.
+ROWS_AT_ONCE = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
 #: Bytes of text whose buckets are made at once.
 SLICE = 1 << 18
 #: Stands for a null doc_id: no document comes after it.
@@ -52,17 +54,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def buckets(flat: np.ndarray, *depths: int) -> list[np.ndarray]:
     """Bucket identifiers of each position at the given depths, refined from half depths at later offsets."""
-    have = {1: _LETTERS[flat]}
-
-    def at(n: int) -> np.ndarray:
-        if n not in have:
-            first = n - n // 2
-            a, b = at(first), at(n // 2)
-            m = max(0, len(flat) - n + 1)
-            have[n] = a[:m] + np.uint64(pow(_M, first, 1 << 64)) * b[first : first + m]
-        return have[n]
-
-    return [at(n) for n in depths]
+    need, todo = {1}, list(depths)
+    while todo:
+        if (n := todo.pop()) not in need:
+            need.add(n)
+            todo += [n - n // 2, n // 2]
+    have: dict[int, np.ndarray] = {}
+    for n in sorted(need):
+        if n == 1:
+            have[1] = _LETTERS[flat]
+            continue
+        first = n - n // 2
+        m = max(0, len(flat) - n + 1)
+        have[n] = have[first][:m] + np.uint64(pow(_M, first, 1 << 64)) * have[n // 2][first : first + m]
+    return [have[n] for n in depths]
 
 
 def least_within(x: np.ndarray, width: int) -> np.ndarray:
@@ -117,7 +122,8 @@ def runs(flat: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np.ndarr
         sums = np.concatenate(([np.uint64(0)], np.cumsum(_LETTERS[part] * powers[:-1])))
         back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(low) and int(low[-1]) + 1, np.uint64(_INVERSE)))))
         whole = (sums[high + length] - sums[low]) * back[low]
-        out.append((least[low], _mixed(whole + (high - low).astype(np.uint64) * np.uint64(_M)), docs[doc[low]], low + a, high + a))
+        # minima crowd at the low end; mixed again they are even over the shards
+        out.append((_mixed(least[low] ^ np.uint64(_M)), _mixed(whole + (high - low).astype(np.uint64) * np.uint64(_M)), docs[doc[low]], low + a, high + a))
     names = ("g", "c", "doc", "low", "high")
     return {n: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.uint64 if k < 2 else np.int64) for k, n in enumerate(names)}
 
@@ -262,7 +268,8 @@ def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int) ->
             position, owner = position[by_doc], owner[by_doc]
             strings, holder, _ = _distinct(flat, position, owner, length)
             small = np.int32 if len(flat) < 2**31 else np.int64
-            rows.append((chunk, -1, _pack(low[gone].astype(small), high[gone].astype(small), np.diff(position, prepend=0).astype(small), owner.astype(np.int32))))
+            settled = _joined(low[gone], high[gone])
+            rows.append((chunk, -1, _pack(*(x.astype(small) for x in settled), np.diff(position, prepend=0).astype(small), owner.astype(np.int32))))
             for k, a, b in _cut(_shard(strings, shards), shards):
                 rows.append((chunk, k, _pack(ids, strings[a:b], holder[a:b].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["chunk", "shard", "part"])
@@ -270,6 +277,14 @@ def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int) ->
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "chunk long, shard int, part binary")
 
 
+def _joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of positions with neighbours made one."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    first = np.concatenate(([True], low[1:] > high[:-1] + 1))[: len(low)]
+    return low[first], high[np.concatenate((first[1:], [True]))[: len(high)]]
+
+
 def _distinct(flat: np.ndarray, position: np.ndarray, owner: np.ndarray, length: int):
     """Distinct strings at the positions (documents rising), the first document of each, and the string of each position."""
     deep = _strings(flat, position, length)
@@ -376,15 +391,25 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, texts: bool = False, carr
     back as often as they come; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = max(8, docs.rdd.getNumPartitions())
+    parts = max(4, docs.rdd.getNumPartitions())
+    shards = 4 * parts  # a shard holds a few hundred thousand entries
     name = f"skein_{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in ROWS_AT_ONCE}
     try:
         chunks = chunk_table(docs, name, parts, carry)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-        answers = stored(_answer_runs(_send_runs(chunks, parts, length)))
-        settled = stored(_settle(chunks, answers, parts, length))
+        for k, v in ROWS_AT_ONCE.items():
+            spark.conf.set(k, v)
+        answers = stored(_answer_runs(_send_runs(chunks, shards, length)))
+        released(spark)
+        settled = stored(_settle(chunks, answers, shards, length))
+        dropped(answers)
+        released(spark)
         more = _answer_strings(settled)
-        out = stored(_finish(chunks, settled.where("shard < 0").unionByName(more), parts, length, texts, [docs.schema[c] for c in carry]))
+        out = stored(_finish(chunks, settled.where("shard < 0").unionByName(more), shards, length, texts, [docs.schema[c] for c in carry]))
+        dropped(settled)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        released(spark)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return out
