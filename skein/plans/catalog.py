@@ -1,4 +1,724 @@
-"""Named queries and the SQL they are held against."""
+"""Named queries over the driver's tables, each with the SQL it is held against.
+
+The tables stand in for project memory: orders are commits and parts their files, foreign keys are typed edges,
+embeddings and documents are the memory, events and conversations are transcripts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import Tables
+from ..functions import text as tx
+from ..functions.vectors import cosine, norm
+from ..operators import budget, curation, documents, evidence, graph, relational, retrieval, segments, writes
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: The moment that reports are made at.
+NOW = "2024-01-31 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name, with its SQL."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _edges(t: Tables) -> DataFrame:
+    """Foreign keys as typed edges between string ids."""
+    e = lambda df, rel, conf, a, b: df.select(F.lit(rel).alias("relation"), F.lit(conf).alias("confidence"), F.concat(F.lit(a[0]), F.col(a[1]).cast("string")).alias("from_node"), F.concat(F.lit(b[0]), F.col(b[1]).cast("string")).alias("to_node"))
+    out = e(t.nation, "belongs_to", "EXTRACTED", ("n:", "n_nationkey"), ("r:", "n_regionkey"))
+    out = out.unionByName(e(t.customer, "belongs_to", "EXTRACTED", ("c:", "c_custkey"), ("n:", "c_nationkey")))
+    out = out.unionByName(e(t.supplier, "belongs_to", "EXTRACTED", ("s:", "s_suppkey"), ("n:", "s_nationkey")))
+    out = out.unionByName(e(t.orders, "placed", "INFERRED", ("c:", "o_custkey"), ("o:", "o_orderkey")))
+    out = out.unionByName(e(t.lineitem.select("l_partkey", "l_suppkey").distinct(), "supplied_by", "LIMITED", ("p:", "l_partkey"), ("s:", "l_suppkey")))
+    return out.withColumns({"id": F.concat_ws("|", "relation", "from_node", "to_node"), "weight": F.lit(0.0)})
+
+
+def _nodes(t: Tables) -> DataFrame:
+    n = lambda df, kind, p, k, name: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"))
+    out = n(t.region, "region", "r:", "r_regionkey", "r_name")
+    for x in ((t.nation, "nation", "n:", "n_nationkey", "n_name"), (t.customer, "customer", "c:", "c_custkey", "c_name"), (t.supplier, "supplier", "s:", "s_suppkey", "s_name"), (t.part, "part", "p:", "p_partkey", "p_name")):
+        out = out.unionByName(n(*x))
+    return out
+
+
+_E = """e AS (SELECT *, relation||'|'||from_node||'|'||to_node AS id FROM (
+ SELECT 'belongs_to' AS relation, 'EXTRACTED' AS confidence, 'n:'||n_nationkey AS from_node, 'r:'||n_regionkey AS to_node FROM nation
+ UNION ALL SELECT 'belongs_to','EXTRACTED','c:'||c_custkey,'n:'||c_nationkey FROM customer
+ UNION ALL SELECT 'belongs_to','EXTRACTED','s:'||s_suppkey,'n:'||s_nationkey FROM supplier
+ UNION ALL SELECT 'placed','INFERRED','c:'||o_custkey,'o:'||o_orderkey FROM orders
+ UNION ALL SELECT 'supplied_by','LIMITED','p:'||l_partkey,'s:'||l_suppkey FROM (SELECT DISTINCT l_partkey,l_suppkey FROM lineitem)))"""
+_N = """n AS (SELECT 'r:'||r_regionkey AS id, 'region' AS kind, r_name AS name FROM region UNION ALL SELECT 'n:'||n_nationkey,'nation',n_name FROM nation
+ UNION ALL SELECT 'c:'||c_custkey,'customer',c_name FROM customer UNION ALL SELECT 's:'||s_suppkey,'supplier',s_name FROM supplier UNION ALL SELECT 'p:'||p_partkey,'part',p_name FROM part)"""
+_B = "b AS (SELECT from_node AS here, to_node AS there, id, relation FROM e UNION ALL SELECT to_node, from_node, id, relation FROM e)"
+
+
+# ---- evidence -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT l_orderkey FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT d.* FROM d JOIN s USING (l_orderkey))
+SELECT a.l_partkey AS item_a, b.l_partkey AS item_b, count(*) AS weight FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
+def cochange_pairs(t):
+    """Items that come together in orders of 2 to 50 items, at least twice."""
+    return evidence.pair_counts(t.lineitem, "l_orderkey", "l_partkey")
+
+
+@query("""WITH f AS (SELECT 'repo/' || p_type || '/' || p_brand || '/' || p_name AS path, p_partkey FROM part), r(root) AS (VALUES ('repo'), ('repo/ECONOMY'), ('repo/ECONOMY/Brand#2'), ('repo/STANDARD/Brand#1'), ('repo/ECON'))
+SELECT p_partkey, (SELECT max_by(root, length(root)) FROM r WHERE f.path = root OR starts_with(f.path, root || '/')) AS root FROM f""")
+def longest_prefix_owner(t):
+    """The longest root on a path boundary."""
+    files = t.part.select("p_partkey", F.concat_ws("/", F.lit("repo"), "p_type", "p_brand", "p_name").alias("path"))
+    roots = files.sparkSession.createDataFrame([("repo",), ("repo/ECONOMY",), ("repo/ECONOMY/Brand#2",), ("repo/STANDARD/Brand#1",), ("repo/ECON",)], "root string")
+    return evidence.longest_prefix(files, "path", roots, "root").select("p_partkey", "root")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand || '/' || p_name AS a FROM part), b AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_name AS b FROM part WHERE p_size < 10 UNION SELECT DISTINCT p_name FROM part)
+SELECT a, b FROM a, b WHERE a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a)""")
+def suffix_path_join(t):
+    """Paths of which one ends with the other."""
+    a = t.part.select(F.concat_ws("/", "p_brand", "p_name").alias("a"))
+    b = t.part.where("p_size < 10").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("b")).unionByName(t.part.select(F.col("p_name").alias("b")))
+    return evidence.suffix_matches(a, "a", b, "b")
+
+
+_SPANS = "s AS (SELECT event_id AS sid, user_id, ts AS started, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 2 HOUR END AS ended FROM events WHERE event_type = 'signup')"
+
+
+def _spans(t):
+    two = F.col("ts") + F.make_dt_interval(hours=F.lit(2))
+    return t.events.where("event_type = 'signup'").select(F.col("event_id").alias("sid"), "user_id", F.col("ts").alias("started"), F.when(F.col("event_id") % 3 != 0, two).alias("ended"))
+
+
+@query(f"""WITH {_SPANS} SELECT event_id, max_by(sid, (started, -sid)) AS sid FROM events JOIN s USING (user_id) WHERE event_type = 'purchase' AND ts BETWEEN started AND coalesce(ended, started + INTERVAL 6 HOUR) GROUP BY 1""")
+def interval_containment_latest(t):
+    """The latest span that holds a moment; an open one lasts six hours."""
+    end = F.coalesce("ended", F.col("started") + F.make_dt_interval(hours=F.lit(6)))
+    return evidence.latest_holder(t.events.where("event_type = 'purchase'"), "event_id", "ts", _spans(t), "sid", F.col("started"), end, ["user_id"])
+
+
+@query(f"""WITH {_SPANS} SELECT event_id, sid FROM events JOIN s USING (user_id) WHERE event_type = 'click' AND ended IS NOT NULL AND ts BETWEEN started AND ended + INTERVAL 30 MINUTE""")
+def interval_window_join(t):
+    """Moments within a span and half an hour."""
+    return evidence.within(t.events.where("event_type = 'click'"), "ts", _spans(t).where("ended is not null"), F.col("started"), F.col("ended") + F.make_dt_interval(mins=F.lit(30)), ["user_id"]).select("event_id", "sid")
+
+
+@query("""WITH f AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS b FROM orders), s AS (SELECT DISTINCT left(sha256(CAST(o_orderkey AS VARCHAR)), 7 + CAST(o_orderkey % 3 AS INTEGER)) AS a FROM orders WHERE o_orderkey % 5 = 0)
+SELECT a, b, count(*) OVER (PARTITION BY a) AS n FROM s JOIN f ON starts_with(b, a)""")
+def prefix_hash_join(t):
+    """Short hashes and what they stand for."""
+    full = t.orders.select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("b"))
+    short = full.where("o_orderkey % 5 = 0").select(F.substr("b", F.lit(1), (7 + F.col("o_orderkey") % 3).cast("int")).alias("a")).distinct()
+    return evidence.prefix_matches(short, "a", full.select("b"), "b")
+
+
+@query("""SELECT p_name AS alias, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS owner, count(DISTINCT p_brand) > 1 AS ambiguous FROM part WHERE p_size > 45 GROUP BY 1""")
+def ambiguous_alias(t):
+    """A name has an owner only if one claims it."""
+    return evidence.owners(t.part.where("p_size > 45").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("owner")), "alias", "owner")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), r(name, expr) AS (VALUES ('one', '^/en/[^/]+$'), ('rest', '^/de/.+$'), ('fixed', '^/fr/[^/]+\\.html$'), ('all', '^/.+$'))
+SELECT page_id, name FROM p JOIN r ON regexp_matches(path, expr)""")
+def route_match(t):
+    """Routes with one-part and many-part places."""
+    path = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    routes = path.sparkSession.createDataFrame([("one", "/en/{}"), ("rest", "/de/{**}"), ("fixed", "/fr/{}.html"), ("all", "/{**}")], "name string, pattern string")
+    return path.join(F.broadcast(routes), evidence.route_matches(F.col("pattern"), F.col("path"))).select("page_id", "name")
+
+
+@query("""WITH c AS (SELECT event_id AS call_id, 's' || (user_id % 5) AS service, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' ELSE 'PUT' END AS method, '/' || event_type || '/' || (user_id % 7) AS path FROM events),
+e(endpoint_id, service, method, expr) AS (VALUES ('e1','s0','GET','^/view/[^/]+$'), ('e2','s0','ANY','^/view/[^/]+$'), ('e3','s1','ANY','^/click/.+$'), ('e4','s1','ANY','^/click/[^/]+$'), ('e5','s2','PUT','^/error/3$'), ('e6','s2','ANY','^/.+$')),
+h AS (SELECT c.*, e.endpoint_id, CASE WHEN e.method = c.method THEN 1 ELSE 2 END AS r FROM c JOIN e ON c.service = e.service AND (e.method = c.method OR e.method = 'ANY') AND regexp_matches(c.path, e.expr)),
+g AS (SELECT call_id, count(DISTINCT endpoint_id) AS n, min(endpoint_id) AS endpoint_id FROM h WHERE r = (SELECT min(r) FROM h x WHERE x.call_id = h.call_id) GROUP BY 1)
+SELECT c.call_id, CASE WHEN n = 1 THEN endpoint_id END AS endpoint_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'linked' END AS status FROM c LEFT JOIN g USING (call_id)""")
+def preferred_method_link(t):
+    """Calls to endpoints, exact methods first."""
+    method = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "POST").otherwise("PUT")
+    calls = t.events.select(F.col("event_id").alias("call_id"), F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("service"), method.alias("method"), F.concat_ws("/", F.lit(""), "event_type", (F.col("user_id") % 7).cast("string")).alias("path"))
+    rows = [("e1", "s0", "GET", "/view/{}"), ("e2", "s0", "ANY", "/view/{}"), ("e3", "s1", "ANY", "/click/{**}"), ("e4", "s1", "ANY", "/click/{}"), ("e5", "s2", "PUT", "/error/3"), ("e6", "s2", "ANY", "/{**}")]
+    return evidence.linked_calls(calls, calls.sparkSession.createDataFrame(rows, "endpoint_id string, service string, method string, path string")).select("call_id", "endpoint_id", "status")
+
+
+@query("""SELECT o_orderkey, coalesce(f.files, 0) AS files, f.additions, f.deletions, coalesce(n.notes, 0) AS notes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS files, CAST(sum(l_linenumber) AS BIGINT) AS additions, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS deletions FROM lineitem GROUP BY 1) f ON f.l_orderkey = o_orderkey
+LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_returnflag) AS notes FROM lineitem GROUP BY 1) n ON n.l_orderkey = o_orderkey""")
+def commit_summary_lateral(t):
+    """Two children of a commit do not inflate each other's sums."""
+    files = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("additions"), F.col("l_quantity").cast("long").alias("deletions"))
+    notes = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("note"))
+    out = evidence.commit_summaries(t.orders.select("o_orderkey"), "o_orderkey", files, notes)
+    return out.select("o_orderkey", "files", "additions", "deletions", F.size("notes").cast("long").alias("notes"))
+
+
+@query("""SELECT a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON starts_with(a.p_name || '/' || a.p_partkey, b.p_name) OR starts_with(b.p_name, a.p_name || '/' || a.p_partkey) WHERE a.p_size <= 5 AND b.p_size = 50""")
+def glob_overlap(t):
+    """Claims whose fixed prefixes hold one another."""
+    a = t.part.where("p_size <= 5").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("*.py")).alias("glob"))
+    b = t.part.where("p_size = 50").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("**/[ab]")).alias("glob"))
+    return evidence.glob_overlaps(a, b)
+
+
+@query("""SELECT CASE WHEN o_orderkey % 4 = 1 THEN 'new' || o_orderkey ELSE 'c' || o_orderkey END AS commit_hash, o_custkey FROM orders WHERE o_orderkey % 4 <> 2""")
+def history_remap(t):
+    """Commits under their new names; pruned ones go."""
+    commits = t.orders.select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("commit_hash"), "o_custkey")
+    moved = t.orders.where("o_orderkey % 4 in (1, 2)").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("old_hash"), F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("new"), F.col("o_orderkey").cast("string"))).alias("new_hash"))
+    return evidence.remapped(commits, "commit_hash", moved)
+
+
+# ---- graph ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT id, count(*) AS degree FROM (SELECT from_node AS id FROM e UNION ALL SELECT to_node FROM e) GROUP BY 1")
+def edge_degree(t):
+    """Degree of every node with edges."""
+    return graph.degree(_edges(t))
+
+
+@query(f"""WITH {_E}, {_N}, d AS (SELECT x AS id, count(*) AS degree FROM (SELECT from_node AS x FROM e UNION ALL SELECT to_node FROM e) GROUP BY 1)
+SELECT kind, id, degree, CAST(rank AS INTEGER) AS rank FROM (SELECT kind, id, degree, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS rank FROM n JOIN d USING (id)) WHERE rank <= 8""")
+def node_topn_per_group(t):
+    """The eight nodes of most edges of each kind."""
+    nodes = _nodes(t).join(graph.degree(_edges(t)), "id")
+    return relational.top_of(nodes, ["kind"], [F.desc("degree"), F.col("id")], 8).select("kind", "id", "degree", "rank")
+
+
+@query(f"""WITH {_E}, sig AS (SELECT 'c:' || o_custkey AS id, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT e.id, CAST(CASE confidence WHEN 'EXTRACTED' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + coalesce(a.n, 0) + coalesce(b.n, 0) AS DOUBLE) AS strength FROM e LEFT JOIN sig a ON a.id = from_node LEFT JOIN sig b ON b.id = to_node""")
+def edge_strength(t):
+    """Baseline by confidence and the signals of both ends."""
+    signals = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.strength(_edges(t), signals).select("id", "strength")
+
+
+@query(f"""WITH RECURSIVE {_E}, {_B}, w AS (SELECT 'r:1' AS id, 0 AS hop UNION SELECT there, hop + 1 FROM w JOIN b ON b.here = w.id WHERE hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1""")
+def bfs_neighbors(t):
+    """G1: nodes within three hops of a region, either way."""
+    e = _edges(t)
+    return graph.reach(e, e.sparkSession.createDataFrame([("r:1",)], "id string"), 3).select("id", "hop")
+
+
+@query(f"""WITH RECURSIVE {_E}, w AS (SELECT 'n:3' AS id, 0 AS hop UNION SELECT from_node, hop + 1 FROM w JOIN e ON e.to_node = w.id WHERE hop < 2) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1""")
+def reverse_impact(t):
+    """What depends on a nation."""
+    e = _edges(t)
+    return graph.reach(e, e.sparkSession.createDataFrame([("n:3",)], "id string"), 2, "in").select("id", "hop")
+
+
+@query(f"""WITH RECURSIVE {_E}, {_B}, w AS (SELECT 'p:1' AS id, 0 AS hop UNION SELECT there, hop + 1 FROM w JOIN b ON b.here = w.id WHERE hop < 4), m AS (SELECT id, min(hop) AS hop FROM w GROUP BY 1)
+SELECT CAST(g AS INTEGER) AS step FROM m, range(0, 5) r(g) WHERE m.id = 'r:2' AND g <= m.hop""")
+def shortest_hops(t):
+    """The steps of a shortest path from a part to a region."""
+    return graph.shortest_path(_edges(t), "p:1", "r:2", 4).select("step")
+
+
+@query(f"""WITH {_E}, {_N}, s1 AS (SELECT DISTINCT to_node AS id FROM e WHERE relation = 'supplied_by' AND from_node = 'p:7'), s2 AS (SELECT DISTINCT to_node AS id FROM e WHERE relation = 'belongs_to' AND from_node IN (SELECT id FROM s1)), s3 AS (SELECT DISTINCT from_node AS id FROM e JOIN n ON n.id = from_node AND kind = 'customer' WHERE relation = 'belongs_to' AND to_node IN (SELECT id FROM s2))
+SELECT 'p:7' AS id, 0 AS step UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2 UNION ALL SELECT id, 3 FROM s3""")
+def typed_traversal(t):
+    """From a part by its suppliers and their nations to customers there; nothing is cut."""
+    e = _edges(t)
+    steps = [graph.Step("out", ("supplied_by",)), graph.Step("out", ("belongs_to",), ("nation",)), graph.Step("in", ("belongs_to",), ("customer",))]
+    return graph.traverse(_nodes(t), e, e.sparkSession.createDataFrame([("p:7",)], "id string"), steps, None)[0]
+
+
+@query()
+def typed_traversal_capped(t):
+    """The same with an allowance of 100 edges, charged before duplicates go."""
+    e = _edges(t)
+    steps = [graph.Step("out", ("supplied_by",)), graph.Step("both", ("belongs_to",))]
+    return graph.traverse(_nodes(t), e, e.sparkSession.createDataFrame([("p:7",)], "id string"), steps, 100)[0]
+
+
+@query(f"""WITH {_E}, {_N} SELECT id, kind FROM n WHERE kind IN ('customer', 'part', 'supplier') AND id NOT IN (SELECT to_node FROM e WHERE relation = 'supplied_by') AND id NOT IN (SELECT from_node FROM e WHERE relation = 'placed' UNION SELECT to_node FROM e WHERE relation = 'placed') AND id NOT IN (SELECT 'p:' || l_partkey FROM lineitem WHERE l_quantity > 48)""")
+def dead_nodes(t):
+    """Nodes that nothing uses, by chained anti-joins over single ends."""
+    used = t.lineitem.where("l_quantity > 48").select(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("id"))
+    nodes = _nodes(t).withColumn("file_path", F.col("name"))
+    return graph.unused(nodes, _edges(t), ["customer", "part", "supplier"], ["supplied_by"], ["placed"], used).select("id", "kind")
+
+
+def _module(c="id"):
+    return F.when(F.col(c).startswith("p:"), F.concat(F.lit("part"), F.substring(c, -1, 1))).when(F.col(c).startswith("s:"), F.concat(F.lit("supplier"), F.substring(c, -1, 1))).otherwise(F.substring(c, 1, 1))
+
+
+_MOD = "CASE WHEN id LIKE 'p:%' THEN 'part' || right(id, 1) WHEN id LIKE 's:%' THEN 'supplier' || right(id, 1) ELSE left(id, 1) END"
+
+
+@query(f"WITH {_N} SELECT {_MOD} AS module, kind, count(*) AS n FROM n GROUP BY 1, 2")
+def overview_modules(t):
+    """Nodes by module and kind."""
+    return graph.modules(_nodes(t), _edges(t), _module())[0]
+
+
+@query(f"""WITH {_E}, {_N}, m AS (SELECT id, {_MOD} AS module FROM n) SELECT least(a.module, b.module) AS module_a, greatest(a.module, b.module) AS module_b, count(*) AS n FROM e JOIN m a ON a.id = from_node JOIN m b ON b.id = to_node WHERE a.module <> b.module GROUP BY 1, 2""")
+def overview_links(t):
+    """Edges between modules."""
+    return graph.modules(_nodes(t), _edges(t), _module())[1]
+
+
+@query("""SELECT p_partkey, CASE WHEN n >= 20 OR b OR l > 7 THEN 'HIGH' WHEN n >= 5 OR f THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT p_partkey, p_size = 50 AS b, p_size % 10 = 3 AS f, count(l_orderkey) AS n, count(DISTINCT l_suppkey) AS l FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size)""")
+def risk_class(t):
+    """Risk of a change by what depends on it."""
+    g = t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_partkey", "p_size").agg(F.count("l_orderkey").alias("n"), F.count_distinct("l_suppkey").alias("l"))
+    r = graph.risk(F.lit("function"), F.array(F.lit("calls")), F.lit(1), F.col("n"), F.col("p_size") % 10 == 3, F.lit(False), (F.col("p_size") == 50) | (F.col("l") > 7))
+    return g.select("p_partkey", r.alias("risk"))
+
+
+@query(f"""WITH {_E}, {_N}, d AS (SELECT x AS id, count(*) AS degree FROM (SELECT from_node AS x FROM e UNION ALL SELECT to_node FROM e) GROUP BY 1), k AS (SELECT id, coalesce(degree, 0) AS degree FROM n LEFT JOIN d USING (id) ORDER BY degree DESC, id LIMIT 300)
+SELECT id FROM (SELECT e.id FROM e WHERE from_node IN (SELECT id FROM k) AND to_node IN (SELECT id FROM k) ORDER BY e.id LIMIT 200)""")
+def graph_export(t):
+    """The nodes of most edges, and the edges between them."""
+    return graph.export(_nodes(t), _edges(t), 300, 200)[1].select("id")
+
+
+@query("""SELECT user_id, CAST(max(unix) AS BIGINT) AS last FROM (SELECT user_id, epoch_us(ts) AS unix FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY 1""")
+def last_touched(t):
+    """The last moment that something was touched."""
+    return t.events.where(F.col("event_type").isin("click", "purchase")).groupBy("user_id").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last"))
+
+
+# ---- retrieval ------------------------------------------------------------------------------------------------
+
+_COS = "CASE WHEN sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b, lambda x: x::DOUBLE * x::DOUBLE))) > 0 THEN list_sum(list_transform(list_zip(a, b), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b, lambda x: x::DOUBLE * x::DOUBLE)))) ELSE 0 END"
+
+
+def _vector(t, vec_id=0):
+    return list(t.embeddings.where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+
+
+@query(f"""SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_COS} AS s FROM (SELECT vec_id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS b FROM embeddings)) ORDER BY s DESC, vec_id LIMIT 20""")
+def cosine_topk(t):
+    """The nearest vectors by cosine."""
+    return retrieval.by_vector(t.embeddings, _vector(t), -1.0, 20, key="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.vec_id AS id_a, y.vec_id AS id_b, {_COS.replace("(a,", "(x.embedding,").replace("(a, b)", "(x.embedding, y.embedding)").replace("list_zip(x.embedding, b)", "list_zip(x.embedding, y.embedding)").replace("(b,", "(y.embedding,")} AS s FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE s >= 0.4000001""")
+def cosine_dedup(t):
+    """Pairs of one label that are near each other."""
+    return retrieval.similar_vectors(t.embeddings, 0.4000001, key="vec_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+@query("""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT label, CAST(k - 1 AS INTEGER) AS k, round(avg(x), 6) AS x FROM u GROUP BY label, k""")
+def embedding_centroids(t):
+    """The mean vector of each label."""
+    return t.embeddings.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_QUERY = "ther the onand of"
+
+
+@query(f"""SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT doc_id, {_GRAMS.format("left(text, 200)")} AS g, {_GRAMS.format(f"'{_QUERY}'")} AS q FROM documents)) WHERE s >= 0.15 ORDER BY s DESC, doc_id LIMIT 50""")
+def trigram_search(t):
+    """texts' openings by trigram similarity to a query."""
+    heads = t.documents.select("doc_id", F.left("text", F.lit(200)).alias("text"))
+    return retrieval.by_trigrams(heads, _QUERY, 0.15, 50, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH g AS (SELECT doc_id, list_sort({_GRAMS.format("text")}) AS g FROM documents WHERE n_chars < 400) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
+def trigram_dedup(t):
+    """Notes (short texts) that say the same."""
+    return retrieval.similar_texts(t.documents.where("n_chars < 400"), 0.8, key="doc_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+@query()
+def word_similarity_search(t):
+    """Texts that hold the query's words close together."""
+    score = tx.word_similarity(_QUERY)(F.col("text"))
+    return t.documents.withColumn("score", score).where("score >= 0.3").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT doc_id, round(len(list_filter(['ther', 'the', 'onand'], lambda w: contains(lower(text), w))) / 3, 6) AS score FROM documents""")
+def token_fraction_score(t):
+    """The share of a query's tokens in each text."""
+    return t.documents.select("doc_id", F.round(tx.token_fraction(F.lit(_QUERY), F.col("text")), 6).alias("score"))
+
+
+@query("""SELECT p_partkey, CAST(hits AS INTEGER) AS hits FROM (SELECT p_partkey, len(list_filter(['small', 'ring', 'red', 'widget'], lambda w: contains(lower(p_name), w))) AS hits FROM part) WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 40""")
+def task_token_rank(t):
+    """Names ranked by the task's tokens."""
+    words = tx.task_tokens(F.lit("Fix the small RING and the red widget"))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.lower("p_name"), w)))
+    return t.part.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "p_partkey").limit(40).select("p_partkey", "hits")
+
+
+_RANKS = "r AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r1, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS r2 FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30))"
+
+
+def _top_customers(t):
+    return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(30).select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
+
+
+@query(f"""WITH {_RANKS}, s AS (SELECT id, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS s, r1 FROM r) SELECT id, CAST(row_number() OVER (ORDER BY s DESC, r1) AS INTEGER) AS rank, round(s, 9) AS score FROM s""")
+def rrf_fusion(t):
+    """Two rankings of the same rows fused."""
+    c = _top_customers(t)
+    out = retrieval.fuse(retrieval.ranked(c, [F.desc("c_acctbal"), F.col("id")]), retrieval.ranked(c, [F.col("c_nationkey"), F.col("id")]))
+    return out.select("id", "rank", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_RANKS}, h AS (SELECT *, row_number() OVER (ORDER BY r2) AS q FROM r WHERE r1 <= 8), s AS (SELECT id, row_number() OVER (ORDER BY 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + q) DESC, r1) AS rank FROM h) SELECT id, CAST(rank AS INTEGER) AS rank FROM s UNION ALL SELECT id, CAST(r1 AS INTEGER) FROM r WHERE r1 > 8""")
+def rerank_head(t):
+    """The head reranked and fused, the tail as it was."""
+    c = _top_customers(t)
+    first = retrieval.ranked(c, [F.desc("c_acctbal"), F.col("id")])
+    logits = c.select("id", (-F.col("c_nationkey") - F.col("id") / 1e7).alias("logit"))
+    return retrieval.rerank(first.select("id", "rank"), logits)
+
+
+@query("""WITH a AS (SELECT 'semantic' AS lane, CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS score, row_number() OVER (ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR)) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT 'stale' AS lane, 's' || s_suppkey AS id, s_acctbal AS score, row_number() OVER (ORDER BY s_acctbal DESC, 's' || s_suppkey) AS n FROM supplier)
+SELECT lane, id, score, CAST(row_number() OVER (ORDER BY lane, n) AS INTEGER) AS rank FROM (SELECT * FROM a WHERE n <= 9 UNION ALL SELECT * FROM b WHERE n <= 1)""")
+def hybrid_budget_merge(t):
+    """Ten places, one of them for the stale lane."""
+    a = t.customer.where("c_mktsegment = 'BUILDING'").select(F.lit("semantic").alias("lane"), F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    b = t.supplier.select(F.lit("stale").alias("lane"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_acctbal").alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return retrieval.merge_lanes(a, b, 10)
+
+
+@query(f"""WITH p AS (SELECT vec_id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS b FROM embeddings ORDER BY label DESC, vec_id LIMIT 50) SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_COS} AS s FROM p) WHERE s > 0 ORDER BY s DESC, vec_id LIMIT 10""")
+def lesson_rank_prefilter(t):
+    """The surest fifty, then the nearest of these."""
+    return retrieval.prefiltered(t.embeddings, "label", _vector(t), 10, key="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT doc_id FROM documents WHERE list_has_any(string_split(lower(text), ' '), ['thonre', 'quell', 'und'])""")
+def keyword_any(t):
+    """Documents with any of the words."""
+    return retrieval.by_keywords(t.documents.withColumn("keywords", F.split(F.lower("text"), " ")), ["thonre", "quell", "und"], False).select("doc_id")
+
+
+@query("""SELECT doc_id FROM documents WHERE list_has_all(string_split(lower(text), ' '), ['the', 'of', 'is'])""")
+def keyword_all(t):
+    """Documents with all of the words."""
+    return retrieval.by_keywords(t.documents.withColumn("keywords", F.split(F.lower("text"), " ")), ["the", "of", "is"], True).select("doc_id")
+
+
+@query("""SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""")
+def vector_validity(t):
+    """Whether a vector can be compared."""
+    from ..functions.vectors import valid
+
+    return t.embeddings.select("vec_id", valid(F.col("embedding")).alias("valid"), F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"""SELECT label, CAST(max(vec_id) AS BIGINT) AS vec_id, round(max({_COS}), 6) AS score FROM (SELECT vec_id, label, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 1) AS b FROM embeddings WHERE vec_id <> 1) GROUP BY label""")
+def best_per_label(t):
+    """The best score of each label."""
+    q = retrieval.literal_vector(_vector(t, 1))
+    return t.embeddings.where("vec_id <> 1").groupBy("label").agg(F.max("vec_id").alias("vec_id"), F.round(F.max(cosine(F.col("embedding"), q)), 6).alias("score"))
+
+
+# ---- relational reads -----------------------------------------------------------------------------------------
+
+
+@query("""(SELECT 'event' AS kind, event_id AS id, epoch_us(ts) AS "at" FROM events UNION ALL SELECT 'order', o_orderkey, epoch_us(o_orderdate) FROM orders) ORDER BY "at" DESC, kind, id LIMIT 60""")
+def timeline_merge(t):
+    """The newest of several sources."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    a = t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), us("ts").alias("at"))
+    b = t.orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), us("o_orderdate").alias("at"))
+    return relational.merged([a, b], [F.desc("at"), F.col("kind"), F.col("id")], 60)
+
+
+@query("""SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, ts DESC, event_id""")
+def distinct_on_first(t):
+    """A10: the last event of each user."""
+    return relational.first_of(t.events, ["user_id"], [F.desc("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2""")
+def dedupe_first_wins(t):
+    """The first of equal keys by input order."""
+    return relational.first_of(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey", "l_partkey"], [F.col("l_linenumber")])
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, count(DISTINCT event_type) AS types, bool_or(value > 99) AS big, round(max(value) FILTER (WHERE event_type = 'click'), 2) AS top_click FROM events GROUP BY 1""")
+def filter_aggregates(t):
+    """Filtered aggregates."""
+    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("event_type").alias("types"), F.bool_or(F.col("value") > 99).alias("big"), F.round(F.max(F.when(F.col("event_type") == "click", F.col("value"))), 2).alias("top_click"))
+
+
+@query("""SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY 1""")
+def distinct_concat(t):
+    """Distinct values as text and as a list."""
+    kinds = F.array_sort(F.collect_set("event_type"))
+    return t.events.groupBy("user_id").agg(F.array_join(kinds, ",").alias("types"), kinds.alias("kinds"))
+
+
+@query("""SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 5""")
+def total_over_limit(t):
+    """A page with the count of all rows."""
+    return relational.page_with_total(t.customer.select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")], 15, 5)
+
+
+@query("""SELECT c_custkey, true AS capped FROM customer ORDER BY c_custkey LIMIT 25""")
+def limit_sentinel(t):
+    """L1, L3: a page that knows that there is more."""
+    return relational.sentinel_page(t.customer.select("c_custkey"), [F.col("c_custkey")], 25)
+
+
+@query("""SELECT c_nationkey, c_custkey FROM customer WHERE (c_nationkey, c_custkey) > (7, 500) ORDER BY 1, 2 LIMIT 20""")
+def keyset_page(t):
+    """The page after a key."""
+    return relational.after(t.customer.select("c_nationkey", "c_custkey"), ["c_nationkey", "c_custkey"], [7, 500], 20)
+
+
+@query("""SELECT doc_id, CAST(row_number() OVER (ORDER BY (quality = 0) DESC NULLS LAST, toxic DESC NULLS LAST, n_chars DESC, doc_id) AS INTEGER) AS place FROM documents LEFT JOIN labels USING (doc_id) ORDER BY place LIMIT 80""")
+def nulls_order_composite(t):
+    """An order of several parts with nulls last."""
+    order = [F.desc_nulls_last(F.col("quality") == 0), F.desc_nulls_last("toxic"), F.desc("n_chars"), F.col("doc_id")]
+    top = t.documents.join(t.labels, "doc_id", "left").orderBy(*order).limit(80)
+    return retrieval.ranked(top, order, "place").select("doc_id", "place")
+
+
+@query("""SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total, round(max(c_acctbal), 2) AS top FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal IS DISTINCT FROM 0 GROUP BY 1""")
+def optional_filter_report(t):
+    """Filters only for parameters that are given."""
+    rows = relational.optional(t.customer, c_mktsegment="MACHINERY", c_nationkey=None).where(~F.col("c_acctbal").eqNullSafe(F.lit(0.0)))
+    return rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.round(F.max("c_acctbal"), 2).alias("top"))
+
+
+@query("""SELECT p_partkey FROM part WHERE (p_name LIKE 'red%' OR p_name LIKE '%ring') AND regexp_matches(p_name, '(?i)\\b(ring|widget)\\b') AND instr(lower(p_name), 'i') > 0""")
+def pattern_filters(t):
+    """Prefix, suffix, word-boundary and literal matches."""
+    name = F.col("p_name")
+    return t.part.where((name.startswith("red") | name.endswith("ring")) & name.rlike(r"(?i)\b(ring|widget)\b") & tx.contains_literal(name, F.lit("I"))).select("p_partkey")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+def semi_and_anti(t):
+    """What has one kind of child and not another."""
+    li = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    return t.orders.select("o_orderkey").join(li.where("l_quantity > 49"), "o_orderkey", "left_semi").join(li.where("l_returnflag = 'R'"), "o_orderkey", "left_anti")
+
+
+@query("""SELECT kind, id, name FROM (SELECT event_id % 3 AS k, user_id AS id FROM events) JOIN (SELECT 'customer' AS kind, 0 AS k, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', 1, s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', 2, p_partkey, p_name FROM part) USING (k, id)""")
+def polymorphic_join(t):
+    """References of several kinds resolved by one dimension of (kind, id)."""
+    dim = t.customer.select(F.lit("customer").alias("kind"), F.lit(0).alias("k"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    dim = dim.unionByName(t.supplier.select(F.lit("supplier").alias("kind"), F.lit(1).alias("k"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    dim = dim.unionByName(t.part.select(F.lit("part").alias("kind"), F.lit(2).alias("k"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    return t.events.select((F.col("event_id") % 3).cast("int").alias("k"), F.col("user_id").alias("id")).join(dim, ["k", "id"]).select("kind", "id", "name")
+
+
+# ---- curation and reports -------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT event_id FROM events e WHERE event_type = 'view' AND value < 50 AND greatest(ts, coalesce(CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 10 DAY END, ts)) < TIMESTAMP '{NOW}' - INTERVAL 9 DAY AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_type = 'signup' AND k.event_id = e.event_id + 1 AND k.ts >= TIMESTAMP '{NOW}' - INTERVAL 9 DAY)""")
+def aged_uncited_candidates(t):
+    """Aged, never cited and not lately kept."""
+    base = F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.make_dt_interval(F.lit(10)))
+    rows = t.events.where("event_type = 'view' and value < 50").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), base.alias("baseline_at"), F.lit(0).alias("cited_count"))
+    kept = t.events.where("event_type = 'signup'").select((F.col("event_id") - 1).alias("id"), F.col("ts").alias("resolved_at"))
+    return curation.candidates(rows, kept, NOW, 9).select(F.col("id").alias("event_id"))
+
+
+@query("""WITH r AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'purchase') AS n, CASE WHEN user_id % 10 <> 0 THEN 'p' END AS project FROM events GROUP BY 1) SELECT id FROM r WHERE n >= 12 AND project IS NOT NULL AND id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)""")
+def graduation(t):
+    """What was relearned often, belongs to a project and has no open proposal."""
+    rows = t.events.groupBy(F.col("user_id").alias("id")).agg(F.count_if(F.col("event_type") == "purchase").alias("relearned_count")).withColumn("project", F.when(F.col("id") % 10 != 0, "p"))
+    return curation.graduates(rows, t.events.where("event_type = 'error' and value > 200").select(F.col("user_id").alias("id")), 12).select("id")
+
+
+@query("""SELECT c_custkey AS id, coalesce(n, 0) AS cited_count, last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, epoch_us(max(o_orderdate)) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def recount(t):
+    """Counters from their facts."""
+    cites = t.orders.select(F.col("o_custkey").alias("cited_id"), F.col("o_orderdate").alias("created_at"))
+    out = curation.recounted(t.customer.select(F.col("c_custkey").alias("id")), cites)
+    return out.select("id", "cited_count", F.unix_micros(F.col("last_cited_at").cast("timestamp")).alias("last"))
+
+
+@query(f"""SELECT 'low' AS bucket, count(*) AS n FROM events WHERE value < 5 AND ts < TIMESTAMP '{NOW}' - INTERVAL 20 DAY UNION ALL SELECT 'unreviewed', count(*) FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '{NOW}' - INTERVAL 2 DAY UNION ALL SELECT 'added', count(*) FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAY""")
+def low_conf_report(t):
+    """The report's buckets."""
+    e = t.events
+    parts = {"low": e.where((F.col("value") < 5) & (F.col("ts") < curation.days_before(NOW, 20))), "unreviewed": e.where((F.col("event_type") == "error") & (F.col("ts") < curation.days_before(NOW, 2))), "added": e.where(F.col("ts") > curation.days_before(NOW, 1))}
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("bucket"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'unreviewed' WHEN toxic = 1 THEN 'flagged' ELSE 'reviewed' END AS state FROM documents LEFT JOIN labels USING (doc_id) ORDER BY (CASE WHEN quality IS NULL THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END), n_chars DESC, doc_id LIMIT 100""")
+def review_queue(t):
+    """What to look at first."""
+    state = F.when(F.col("quality").isNull(), 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    q = t.documents.join(t.labels, "doc_id", "left").withColumn("s", state).orderBy("s", F.desc("n_chars"), "doc_id").limit(100)
+    return q.select("doc_id", F.when(F.col("s") == 0, "unreviewed").when(F.col("s") == 1, "flagged").otherwise("reviewed").alias("state"))
+
+
+@query("""SELECT kind, count(*) AS total, count(*) FILTER (WHERE recovered) AS recovered FROM (SELECT event_type AS kind, value > 50 AS recovered FROM events ORDER BY ts DESC, event_id LIMIT 500) GROUP BY 1""")
+def violation_summary(t):
+    """The newest violations by kind."""
+    recent = t.events.orderBy(F.desc("ts"), "event_id").limit(500).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("recovered"))
+    return curation.violation_summary(recent)
+
+
+@query("""WITH l AS (SELECT user_id, message, arg_max(v, event_id) FILTER (WHERE true) AS v, arg_max(CASE WHEN v IS NULL THEN 1 ELSE 0 END, event_id) AS gone FROM (SELECT user_id, event_id, event_id % 50 AS message, CASE WHEN event_id % 400 = 7 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS v FROM events) GROUP BY 1, 2)
+SELECT user_id, CAST(CASE WHEN sum(gone) = 0 THEN sum(CASE WHEN gone = 0 THEN v END) END AS BIGINT) AS total, count(*) AS requests FROM l GROUP BY 1""")
+def token_metric_nullsafe(t):
+    """A missing part makes the sum missing; the last row of a message counts."""
+    rows = t.events.select("user_id", "event_id", (F.col("event_id") % 50).alias("message"), F.when(F.col("event_id") % 400 != 7, F.floor("value").cast("long")).alias("v"))
+    return curation.strict_total(rows, "v", "event_id", "message", "user_id")
+
+
+# ---- transcripts ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT user_id, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) >= 86400000000 THEN 1 ELSE 0 END AS b FROM events) SELECT user_id, event_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS segment FROM g""")
+def session_gap_segments(t):
+    """A day's gap starts a new segment."""
+    return segments.gap_segments(t.events.select("user_id", "event_id", "ts"), "user_id", "event_id", "ts").select("user_id", "event_id", "segment")
+
+
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), f AS (SELECT conv_id, turn, k, CAST(w AS BIGINT) AS n, 0 AS s FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN f.n + o.w > 1000 THEN o.w ELSE f.n + o.w END, CASE WHEN f.n + o.w > 1000 THEN f.s + 1 ELSE f.s END FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1) SELECT conv_id, turn, CAST(s AS INTEGER) AS segment FROM f""")
+def session_ceiling_segments(t):
+    """A running count that starts anew with each segment."""
+    return segments.native_ceiling(t.conversations.withColumn("w", F.length("text")), "conv_id", "turn", "w", 1000)
+
+
+@query()
+def session_fold_segments(t):
+    """Gap, marker and ceiling in one fold."""
+    e = t.events.select(F.col("user_id").alias("transcript"), F.col("event_id").alias("ord"), "ts", (F.col("event_type") == "signup").alias("is_compaction"), F.col("value").cast("int").alias("thinking"))
+    return segments.segments(e)
+
+
+@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(greatest(1, round(count(*) / 2.0)) AS BIGINT) AS minutes FROM conversations GROUP BY 1""")
+def session_counters(t):
+    """Counters of a session."""
+    n = F.count(F.lit(1))
+    return t.conversations.groupBy("conv_id").agg(n.alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.sum(F.length("text")).alias("chars"), F.greatest(F.lit(1), F.round(n / 2.0)).cast("long").alias("minutes"))
+
+
+# ---- documents, budgets, scalars, writes ----------------------------------------------------------------------
+
+
+@query()
+def md_chunks(t):
+    """W12, §2.14: fence-aware chunks of documents as markdown."""
+    md = t.documents.select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\n\n## "), "source", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n### part\n"))).alias("text"))
+    return documents.chunks(md, ["doc_id"])
+
+
+@query("""SELECT doc_id, sha256(text) AS sha, md5(text) AS md5 FROM documents""")
+def content_hash(t):
+    """§2.14: content hashes."""
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md5"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(f) > 160 THEN rtrim(left(f, 159)) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
+def excerpt(t):
+    """B5, §2.14: one line of a text."""
+    return t.documents.select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""WITH u AS (SELECT source, doc_id, n_chars, sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents), w AS (SELECT *, max(used) OVER (PARTITION BY source) AS top FROM u) SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM w WHERE used <= CASE WHEN top <= 6000 THEN 6000 ELSE 5920 END""")
+def char_budget_prefix(t):
+    """The rows that fit, with a pointer to the rest."""
+    return budget.fitting(t.documents.select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], "text", 6000, 80).select("source", "doc_id", "used")
+
+
+@query("""WITH s AS (SELECT event_type AS section, count(*) AS w FROM events GROUP BY 1), x AS (SELECT section, 4800 * w / (SELECT sum(w) FROM s)::DOUBLE AS e FROM s), b AS (SELECT section, e, CAST(floor(e) AS BIGINT) AS base FROM x) SELECT section, base + CASE WHEN row_number() OVER (ORDER BY round(e - base, 9) DESC, section) <= 4800 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS share FROM b""")
+def largest_remainder_alloc(t):
+    """Whole shares of a budget."""
+    s = t.events.groupBy(F.col("event_type").alias("section")).agg(F.count(F.lit(1)).alias("w"))
+    return budget.largest_remainder(s, "w", 4800, "section").select("section", "share")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def json_extract_props(t):
+    """§2.14: fields of JSON."""
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, array_to_string(regexp_extract_all(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '[a-z0-9]+'), '-') AS alias FROM pages""")
+def url_normalize(t):
+    """§2.14: hosts and service aliases."""
+    return t.pages.select("page_id", tx.host(F.col("url")).alias("host"), tx.alias(tx.host(F.col("url"))).alias("alias"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'markdown' END AS language FROM part""")
+def language_by_ext(t):
+    """§2.14: language by extension."""
+    ext = F.element_at(F.array(F.lit("ts"), F.lit("PY"), F.lit("md"), F.lit("xyz")), (F.col("p_size") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", tx.language_of(F.concat("p_name", F.lit("."), ext)).alias("language"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN lower(o_orderstatus) END AS type, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS scope FROM orders""")
+def commit_types(t):
+    """Conventional commit subjects."""
+    subject = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("f("), "o_orderpriority", F.lit("): done"))).when(F.col("o_orderstatus") == "O", "o: open").otherwise("no type here")
+    kind, scope = tx.commit_type(subject)
+    return t.orders.select("o_orderkey", kind.alias("type"), scope.alias("scope"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS path, md5(p_name) AS h FROM part WHERE p_size <> 1), b AS (SELECT p_partkey AS path, md5(CASE WHEN p_size = 2 THEN upper(p_name) ELSE p_name END) AS h FROM part WHERE p_size <> 3) SELECT path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'changed' ELSE 'fresh' END AS state FROM a FULL JOIN b USING (path)""")
+def snapshot_diff(t):
+    """What changed between two snapshots."""
+    a = t.part.where("p_size <> 1").select(F.col("p_partkey").alias("path"), F.md5("p_name").alias("a"))
+    b = t.part.where("p_size <> 3").select(F.col("p_partkey").alias("path"), F.md5(F.when(F.col("p_size") == 2, F.upper("p_name")).otherwise(F.col("p_name"))).alias("b"))
+    return a.join(b, "path", "full").select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "changed").otherwise("fresh").alias("state"))
+
+
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS first FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS first FROM customer WHERE c_custkey % 3 = 0) SELECT id, coalesce(n.name, o.name) AS name, coalesce(o.first, n.first) AS first FROM o FULL JOIN n USING (id)""")
+def upsert_keep_first(t):
+    """An upsert that keeps what was observed first."""
+    old = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("first"))
+    new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("first"))
+    return writes.upsert(old, new, ["id"], ["first"])
+
+
+@query("""SELECT s_suppkey, round(least(s + 0.05, 1), 6) AS reinforced, round(greatest(s, 0.85), 6) AS promoted, round(greatest(0, least(1, s - 0.5)), 6) AS adjusted, CASE WHEN s < 0.35 THEN 'tentative' WHEN s < 0.75 THEN 'firm' ELSE 'proven' END AS label FROM (SELECT s_suppkey, (s_suppkey % 100) / 100.0::DOUBLE AS s FROM supplier)""")
+def confidence_updates(t):
+    """How confidence moves."""
+    s = (F.col("s_suppkey") % 100) / 100.0
+    return t.supplier.select("s_suppkey", F.round(writes.reinforced(s), 6).alias("reinforced"), F.round(writes.promoted(s), 6).alias("promoted"), F.round(writes.adjusted(s, F.lit(-0.5)), 6).alias("adjusted"), writes.confidence_label(s).alias("label"))
+
+
+@query("""SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS number, o_orderkey FROM orders""")
+def renumbered(t):
+    """Numbers by age within a group."""
+    return relational.numbered(t.orders, [F.col("o_orderdate"), F.col("o_orderkey")], "number", ["o_custkey"]).select("o_custkey", "number", "o_orderkey")
+
+
+@query("""SELECT c_mktsegment, round(min(c_acctbal) - 1000, 2) AS before, round(max(c_acctbal) + 1000, 2) AS after FROM customer GROUP BY 1""")
+def band_places(t):
+    """Places before the first and after the last of a band."""
+    return writes.band_rank(t.customer, ["c_mktsegment"], "c_acctbal").select("c_mktsegment", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'missing_citation' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'short_reason' WHEN event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'signup' AND r.user_id = e.user_id AND r.event_id % 40 = e.event_id % 40) THEN 'unread_target' END AS violation FROM events e WHERE event_type IN ('view', 'click') AND (event_id % 11 = 0 OR event_type = 'view' AND event_id % 2 = 0 OR event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'signup' AND r.user_id = e.user_id AND r.event_id % 40 = e.event_id % 40))""")
+def write_gate(t):
+    """§2.17, R27: writes that break the citation rule."""
+    cite = F.when(F.col("event_id") % 11 != 0, F.when(F.col("event_type") == "view", "novel").otherwise("extends"))
+    w = t.events.where("event_type in ('view', 'click')").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), cite.alias("citation"), (F.col("event_id") % 40).alias("target"), F.when(F.col("event_id") % 2 == 1, F.lit("x" * 60)).otherwise(F.lit("short")).alias("reason"))
+    reads = t.events.where("event_type = 'signup'").select(F.col("user_id").alias("session"), (F.col("event_id") % 40).alias("target"))
+    return writes.violations(w, reads)
+
+
+@query("""SELECT p_partkey AS receipt_key, CASE WHEN p_size % 3 = 0 THEN 'inserted' WHEN p_size % 3 = 1 THEN 'same' ELSE 'conflict' END AS outcome FROM part""")
+def receipt_outcomes(t):
+    """Receipts that are new, the same or in conflict."""
+    old = t.part.where("p_size % 3 <> 0").select(F.col("p_partkey").alias("receipt_key"), F.sha2(F.when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise("other"), 256).alias("sha256"))
+    new = t.part.select(F.col("p_partkey").alias("receipt_key"), F.sha2("p_name", 256).alias("sha256"))
+    return writes.receipts(old, new).select("receipt_key", "outcome")
+
+
+@query("""SELECT conv_id AS thread, role AS author, max(turn) AS id FROM conversations GROUP BY 1, 2""")
+def open_notes(t):
+    """The latest note of a thread and author."""
+    return curation.open_notes(t.conversations.select(F.col("conv_id").alias("thread"), F.col("role").alias("author"), F.col("turn").alias("id"), F.col("turn").alias("created_at")))
