@@ -21,7 +21,7 @@ def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def topics(spark: SparkSession, root: str) -> DataFrame:
     """(path, title, when, keywords, always) of topic files (S14); names that start with _ are left out."""
     t = texts(spark, root, "*.md").where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
-    words = F.filter(F.transform(XX, lambda w: F.length(w) > 0)
+    words = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(frontmatter(F.col("text"), "keywords"), F.lit("")), r"[\[\]]", ""), ","), lambda w: F.trim(w)), lambda w: F.length(w) > 0)
     return t.select("path", frontmatter(F.col("text"), "title").alias("title"), frontmatter(F.col("text"), "when").alias("when"), words.alias("keywords"), F.coalesce(F.lower(frontmatter(F.col("text"), "always")) == "true", F.lit(False)).alias("always"))
 
 
