@@ -5,7 +5,8 @@ the training documents by expectation maximisation over the lattices of all trai
 probability is the sum over all its segmentations, by a forward recursion in log space; a text's is the product over
 its words and its end.  One more arc spans the whole word: a training word seen c times may also be taken as one
 piece of weight (c - d) / N, with the absolute discount d, and the lattice of the vocabulary's pieces gets the weight so
-left, d x V / N.  So may a word that the document has used before.  Without these arcs the vocabulary's pieces alone,
+left, d x V / N.  So may a word that the document has used before.  Counts are kept by language, and a document's
+probability is that of a mixture of the languages; its own label is not used.  Without these arcs the vocabulary's pieces alone,
 made for other text, score far below a word count.
 
 Nothing is exploded per token.  A task turns about CHUNK_BYTES of text into one chunk: a dictionary of its distinct
@@ -32,6 +33,10 @@ CHUNK_BYTES = 6 << 20
 ROUNDS = 4
 #: Words' worth of the corpus's probabilities that a document's own words are weighed against.
 PRIOR = 1000.0
+#: Languages with counts of their own, most frequent first; the others are one more class.
+CLASSES = 8
+#: What a class leaves to the lattice at once; the rest goes by way of all classes.
+SHARE = 0.8
 #: The chunk of rows that concern all chunks.
 ALL = -1
 LN10 = np.log(10.0)
@@ -88,7 +93,7 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(blob))
 
 
-def _chunk(ids: list, held: list[bool], texts: list[bytes], buckets: int):
+def _chunk(ids: list, held: list[bool], kinds: list[int], texts: list[bytes], buckets: int, classes: int):
     """One row of the chunk table: its documents over its dictionary, and the dictionary's words by bucket."""
     data, lengths, per = words_of(texts)
     coded = binaries(data, lengths).dictionary_encode()
@@ -99,7 +104,8 @@ def _chunk(ids: list, held: list[bool], texts: list[bytes], buckets: int):
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     doc = np.repeat(np.arange(len(texts)), per)
-    train = np.bincount(place[token[~np.asarray(held, bool)[doc]]], minlength=len(order)) if len(token) else np.zeros(0, np.int64)
+    seen = ~np.asarray(held, bool)[doc]
+    train = np.bincount(place[token[seen]] * classes + np.asarray(kinds, np.int64)[doc[seen]], minlength=len(order) * classes).reshape(-1, classes).astype(np.int32)
     pairs, n = np.unique(doc * max(len(order), 1) + place[token], return_counts=True)
     body = _pack(ids, held, per, np.bincount(pairs // max(len(order), 1), minlength=len(texts)), np.diff(pairs, prepend=0).astype(np.int64 if len(pairs) and pairs[-1] > 2**31 else np.int32), n.astype(np.int32), len(order))
     words = coded.dictionary.take(pa.array(order))
@@ -111,38 +117,40 @@ def _chunk(ids: list, held: list[bool], texts: list[bytes], buckets: int):
     return body, parts
 
 
-def chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, body, parts) of documents(doc_id, text)."""
+def chunk_table(docs: DataFrame, buckets: int, classes: list[str]) -> DataFrame:
+    """(chunk, body, parts) of documents(doc_id, text, lang); classes: the languages that have a class of their own."""
+    number = {name: k for k, name in enumerate(classes)}
 
     def run(batches):
         import uuid
 
-        ids, held, texts, size = [], [], [], 0
+        ids, held, kinds, texts, size = [], [], [], [], 0
         schema = pa.schema([("chunk", pa.int64()), ("body", pa.binary()), ("parts", pa.list_(pa.binary()))])
 
         def row():
-            body, parts = _chunk(ids, held, texts, buckets)
+            body, parts = _chunk(ids, held, kinds, texts, buckets, len(classes) + 1)
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([body], pa.binary()), pa.array([parts], pa.list_(pa.binary()))], schema=schema)
 
         for b in batches:
-            for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, h, c, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 ids.append(i)
                 held.append(h)
+                kinds.append(number.get(c, len(classes)))
                 texts.append(t)
                 size += len(t)
                 if size >= CHUNK_BYTES:
                     yield row()
-                    ids, held, texts, size = [], [], [], 0
+                    ids, held, kinds, texts, size = [], [], [], [], 0
         if ids:
             yield row()
 
     small_batches(docs.sparkSession)
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "chunk long, body binary, parts array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "chunk long, body binary, parts array<binary>")
 
 
 def count_table(chunks: DataFrame) -> DataFrame:
-    """What each bucket answers: (chunk, bucket, counts) to each chunk, and one row for all of them: its training words, their tokens n and types v, and the types seen once and twice."""
+    """What each bucket answers: (chunk, bucket, counts) to each chunk, and one row for all of them: its training words, and by class and for all classes their tokens n, types v, and the types seen once and twice."""
 
     def run(pdf):
         import pandas as pd
@@ -151,16 +159,17 @@ def count_table(chunks: DataFrame) -> DataFrame:
         parts = [_unpack(x) for x in pdf["part"]]
         coded = binaries(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])).dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(total, index, np.concatenate([p[2] for p in parts]))
+        given = np.concatenate([p[2] for p in parts])
+        total = np.stack([np.bincount(index, given[:, k], minlength=len(coded.dictionary)) for k in range(given.shape[1])], axis=1).astype(np.int64)
         cuts = np.cumsum([0] + [len(p[1]) for p in parts])
-        rows = [(int(c), bucket, _pack(total[index[a:b]]), 0, 0, 0, 0) for c, a, b in zip(pdf["chunk"], cuts, cuts[1:], strict=False)]
-        known = np.flatnonzero(total)
-        rows.append((ALL, bucket, _pack(*parts_of(coded.dictionary.take(pa.array(known))), total[known]), int(total.sum()), len(known), int((total == 1).sum()), int((total == 2).sum())))
+        rows = [(int(c), bucket, _pack(total[index[a:b]].astype(np.int32 if total.max(initial=0) < 2**31 else np.int64)), [], [], [], []) for c, a, b in zip(pdf["chunk"], cuts, cuts[1:], strict=False)]
+        known = np.flatnonzero(total.any(axis=1))
+        both = np.column_stack((total, total.sum(axis=1)))
+        rows.append((ALL, bucket, _pack(*parts_of(coded.dictionary.take(pa.array(known)))), *(x.tolist() for x in (both.sum(axis=0), (both > 0).sum(axis=0), (both == 1).sum(axis=0), (both == 2).sum(axis=0)))))
         out = pd.DataFrame(rows, columns=["chunk", "bucket", "counts", "n", "v", "once", "twice"])
         return out
 
-    return chunks.select("chunk", F.posexplode("parts").alias("bucket", "part")).where("part is not null").groupBy("bucket").applyInPandas(run, "chunk long, bucket int, counts binary, n long, v long, once long, twice long")
+    return chunks.select("chunk", F.posexplode("parts").alias("bucket", "part")).where("part is not null").groupBy("bucket").applyInPandas(run, "chunk long, bucket int, counts binary, n array<long>, v array<long>, once array<long>, twice array<long>")
 
 
 class Lattice:
@@ -333,8 +342,8 @@ def fit(counts: DataFrame, documents: int, model: str = MODEL, rounds: int = ROU
             total = np.zeros(lattice.n)
             for b in batches:
                 for blob in b.column(0).to_pylist():
-                    data, lengths, times = _unpack(blob)  # each type once: the lattice stands for words not seen
-                    total += lattice.expected(data, lengths, np.minimum(times, 1))
+                    data, lengths = _unpack(blob)  # each type once: the lattice stands for words not seen
+                    total += lattice.expected(data, lengths, np.ones(len(lengths)))
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["piece", "uses"])
 
@@ -390,14 +399,26 @@ def score(docs: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> DataFram
     count is zero; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = max(8, docs.rdd.getNumPartitions())
-    chunks = stored(chunk_table(docs, buckets))
-    counts = stored(count_table(chunks))
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    often = docs.where(~held).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES + 1).collect()
+    classes = [r["lang"] for r in often if r["lang"] is not None][:CLASSES]
     documents = docs.where(~held).count()
-    n, v, once, twice = counts.where(f"chunk = {ALL}").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]).first()
-    n, v = n + documents, v + bool(documents)
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    own = {r["lang"]: r["n"] for r in often}
+    share = np.array([*(own[c] for c in classes), documents - sum(own[c] for c in classes)], np.float64)
+    buckets = max(8, docs.rdd.getNumPartitions())
+    chunks = stored(chunk_table(docs, buckets, classes))
+    counts = stored(count_table(chunks))
+    names = ("n", "v", "once", "twice")
+    rows = counts.where(f"chunk = {ALL}").select(F.posexplode(F.arrays_zip(*names)).alias("k", "z")).groupBy("k").agg(*[F.sum(f"z.{c}").alias(c) for c in names]).collect()  # one row per class
+    total = np.zeros((4, len(classes) + 2), np.int64)
+    for r in rows:
+        total[:, r["k"]] = [r[c] for c in names]
+    # an end is a token too; each class ends as often as it has documents
+    size = total[0] + np.append(share, documents).astype(np.int64)
+    types = total[1] + (np.append(share, documents) > 0)
+    discount = np.clip(total[2] / np.maximum(total[2] + 2 * total[3], 1), 0.1, 0.9)
+    n, v = int(size[-1]), int(types[-1])
     pieces, logp, end = fit(counts, documents, model, rounds)
     sent = spark.sparkContext.broadcast((pieces, logp, end_logp(pieces, logp, end)))
 
@@ -407,40 +428,43 @@ def score(docs: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> DataFram
         pieces, logp, last = sent.value
         lattice = _lattice(pieces, logp)
         floor = np.log10(n + 0.1 * (v + 1))
-
-        def joined(c, lm):
-            """log10 of the whole-word arc and the pieces' lattice together."""
-            if not n:
-                return lm / LN10
-            with np.errstate(divide="ignore"):
-                return np.logaddexp(np.log(np.maximum(c - discount, 0.0)), np.log(discount * v) + lm) / LN10 - np.log10(n)
-
         answers = dict(zip(right["bucket"], right["counts"], strict=True))
         out = []
         for body, parts in zip(left["body"], left["parts"], strict=True):
-            ids, is_held, per, pairs, steps, times, size = _unpack(body)
+            ids, is_held, per, pairs, steps, times, words = _unpack(body)
             c, lm = [], []
             for k, part in enumerate(parts):
                 if part is not None:
                     data, lengths, _ = _unpack(part)
                     c.append(_unpack(answers[k])[0])
                     lm.append(lattice.word_logps(data, lengths))
-            c = np.concatenate(c) if c else np.zeros(0, np.int64)
+            c = np.concatenate(c) if c else np.zeros((0, len(share)), np.int64)
             lm = np.concatenate(lm) if lm else np.zeros(0)
-            word = np.cumsum(steps.astype(np.int64)) % max(size, 1)
+            word = np.cumsum(steps.astype(np.int64)) % max(words, 1)
             doc = np.repeat(np.arange(len(ids)), pairs)
             add = lambda x: np.bincount(doc, x * times, minlength=len(ids))  # noqa: E731, B023
-            base = add(np.log10(c + 0.1)[word] - floor)
+            every = c.sum(axis=1)
+            base = add(np.log10(every + 0.1)[word] - floor)
+            joint = []
+            for k in range(len(share)):
+                if share[k] or not n:
+                    one = lambda c, e, x: mixed(c, e, x, size[[k, -1]], types[[k, -1]], discount[[k, -1]])  # noqa: E731, B023
+                    prior = np.log10(share[k] / documents) if n else 0.0
+                    joint.append(prior + reuse(one(c[:, k], every, lm)[word], times, doc, per, float(one(share[k], documents, last))))
+                if not n:
+                    break
+            best = np.max(joint, axis=0)
+            score = best + np.log10(np.sum(10.0 ** (np.array(joint) - best), axis=0))
             out.append(
                 pd.DataFrame(
                     {
                         "doc_id": pd.array(ids, "Int64"),
                         "held_out": is_held,
                         "n_tokens": per + 1,
-                        "n_known": add((c > 0)[word]).astype(np.int64) + (documents > 0),
+                        "n_known": add((every > 0)[word]).astype(np.int64) + (documents > 0),
                         "train_tokens": n,
                         "base_score": base + np.log10(documents + 0.1) - floor,
-                        "score": reuse(joined(c, lm)[word], times, doc, per, joined(documents, last)),
+                        "score": score,
                     }
                 )
             )
@@ -449,4 +473,19 @@ def score(docs: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> DataFram
     return chunks.groupBy("chunk").cogroup(counts.where(f"chunk <> {ALL}").groupBy("chunk")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def mixed(c, every, lm, size, types, discount):
+    """log10 probability of a token in one class: its count there, then with SHARE each the lattice and all classes, which leave the rest to the lattice.
+
+    c, every: its training counts in the class and in all; lm: natural log of its lattice; size, types, discount: of the class and of all.
+    """
+    if not size[1]:
+        return lm / LN10
+    lattice = np.exp(lm)
+    broad = (np.maximum(every - discount[1], 0.0) + discount[1] * types[1] * lattice) / size[1]
+    own = np.maximum(c - discount[0], 0.0) + discount[0] * types[0] * (SHARE * lattice + (1 - SHARE) * broad)
+    with np.errstate(divide="ignore"):
+        small = np.log(discount[0] * types[0] / size[0] * (SHARE + (1 - SHARE) * discount[1] * types[1] / size[1])) + lm  # what stands where exp(lm) is zero
+        return np.maximum(np.log(own / size[0]), small) / LN10
+
+
 __all__ = ["score", "fit", "Lattice", "vocabulary", "words_of", "hashes"]

@@ -63,15 +63,22 @@ def test_expected_uses_are_derivatives(lattice):
         assert abs((whole(up) - whole(down)) / 2e-4 - uses[k]) < 1e-3
 
 
-def test_against_one_word_at_a_time(spark, documents, words):
+def test_against_one_word_at_a_time(spark, words):
     rows = [(k, " ".join(words(30 + k, 5 * (k % 7)))) for k in range(60)] + [(900, None), (901, ""), (902, "Zzyzx zzyzx é"), (903, "a " * 500)]
-    out = {r["doc_id"]: r for r in op.score(documents(rows), rounds=1).collect()}
+    lang = {i: ("en", "fr", None, "en")[i % 4] for i, _ in rows}
+    table = spark.createDataFrame([(i, t, lang[i], 1) for i, t in rows], "doc_id long, text string, lang string, size int")
+    out = {r["doc_id"]: r for r in op.score(table, rounds=1).collect()}
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
-    count = Counter(w for _, t in train for w in tokens(t))
-    count["end"] = len(train)
-    n, v = sum(count.values()), len(count)
-    once, twice = (sum(c == x for k, c in count.items() if k != "end") for x in (1, 2))
-    d = min(max(once / (once + 2 * twice), 0.1), 0.9)
+
+    def counts(docs):
+        c = Counter(w for _, t in docs for w in tokens(t))
+        once, twice = (sum(x == n for x in c.values()) for n in (1, 2))
+        c["end"] = len(docs)
+        return c, sum(c.values()), len(c), min(max(once / (once + 2 * twice), 0.1), 0.9)
+
+    every = counts(train)
+    classes = {k: [r for r in train if lang[r[0]] == k] for k in ("en", "fr", None)}
+    count, n, v, _ = every
     # one round of expectation maximisation over the types
     pieces, logp, end = op.vocabulary()
     lat = op.Lattice(pieces, logp)
@@ -82,20 +89,31 @@ def test_against_one_word_at_a_time(spark, documents, words):
         logp = np.log(uses / uses.sum())
     starts = sum(math.exp(x) for p, x in zip(pieces, logp, strict=True) if p.startswith(b"\xe2"))
     last = math.exp(logp[end]) / (math.exp(logp[end]) + starts)
-    prob = lambda w: (max(count[w] - d, 0) + d * v * (math.exp(marginal(w, pieces, logp)) if w != "end" else last)) / n
+    spelled = {w: math.exp(marginal(w, pieces, logp)) for _, t in rows for w in tokens(t)} | {"end": last}
+    share = lambda stats, w, rest: (max(stats[0][w] - stats[3], 0) + stats[3] * stats[2] * rest) / stats[1]
     for i, t in rows:
         r, ws = out[i], tokens(t)
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, "end"])
-        stop, seen, score = prob("end"), Counter(), 0.0
-        for k, w in enumerate(ws):
-            score += math.log10((1 - stop) * (seen[w] + op.PRIOR * prob(w) / (1 - stop)) / (k + op.PRIOR))
-            seen[w] += 1
-        score += math.log10(stop)
+        joint = []
+        for docs in classes.values():
+            stats = counts(docs)
+            prob = lambda w: share(stats, w, op.SHARE * spelled[w] + (1 - op.SHARE) * share(every, w, spelled[w]))  # noqa: E731, B023
+            stop, seen, score = prob("end"), Counter(), math.log10(len(docs) / len(train))
+            for k, w in enumerate(ws):
+                score += math.log10((1 - stop) * (seen[w] + op.PRIOR * prob(w) / (1 - stop)) / (k + op.PRIOR))
+                seen[w] += 1
+            joint.append(score + math.log10(stop))
+        score = max(joint) + math.log10(sum(10 ** (x - max(joint)) for x in joint))
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws) + 1, sum(count[w] > 0 for w in [*ws, "end"]), n)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and abs(r["score"] - score) < 1e-6 * max(1, abs(score)), i
 
 
+def test_held_out_documents_score_above_the_base(spark):
+    out = op.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")).where("held_out").toPandas()
+    assert out["score"].sum() > out["base_score"].sum()
+
+
 def test_many_chunks_and_buckets_agree(spark, documents, words, monkeypatch):
     rows = [(k, " ".join(words(40, k % 9))) for k in range(40)]
     want = sorted(map(tuple, op.score(documents(rows), rounds=1).collect()))
