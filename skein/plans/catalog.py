@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import Tables
 from ..functions import text as tx
 from ..functions.vectors import cosine, norm
-from ..operators import budget, curation, documents, evidence, graph, relational, retrieval, segments, writes
+from ..operators import budget, curation, documents, evidence, graph, relational, retrieval, segments, services, writes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -722,3 +722,114 @@ def receipt_outcomes(t):
 def open_notes(t):
     """The latest note of a thread and author."""
     return curation.open_notes(t.conversations.select(F.col("conv_id").alias("thread"), F.col("role").alias("author"), F.col("turn").alias("id"), F.col("turn").alias("created_at")))
+
+
+# ---- composed reads -------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT 'rich' AS section, 0 AS place, CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS score FROM customer ORDER BY score DESC, c_custkey::VARCHAR LIMIT 7), b AS (SELECT 'supply', 1, CAST(s_suppkey AS VARCHAR), s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey::VARCHAR LIMIT 7), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT section, place, id, score, CAST(row_number() OVER (PARTITION BY section ORDER BY score DESC, id) AS INTEGER) AS rank FROM u""")
+def unified_search(t):
+    """Lanes side by side."""
+    return services.unified({"rich": t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("score")), "supply": t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_acctbal").alias("score"))}, 7)
+
+
+@query("""SELECT lang AS mode, count(*) AS eligible, count(q) AS current, count(*) = count(q) AS complete FROM (SELECT lang, CASE WHEN doc_id % 3 <> 0 OR lang = 'es' THEN 1 END AS q FROM documents) GROUP BY 1""")
+def semantic_coverage(t):
+    """Vectors that are current by mode."""
+    nodes = t.documents.select(F.col("doc_id").alias("identity"), F.md5("text").alias("fingerprint"), F.col("lang").alias("mode"))
+    vectors = nodes.join(t.documents.select(F.col("doc_id").alias("identity"), "lang"), "identity").select("identity", F.when((F.col("identity") % 3 != 0) | (F.col("lang") == "es"), F.col("fingerprint")).otherwise("old").alias("fingerprint"), F.lit("m").alias("embedding_model"))
+    return services.coverage(nodes, vectors, "m")
+
+
+@query("""SELECT p_partkey, count(*) OVER (PARTITION BY p_name, p_brand) = 1 AS is_unique FROM part""")
+def stable_identity(t):
+    """Identities and whether they are unique."""
+    return services.identities(t.part, "p_name", "p_brand").select("p_partkey", "is_unique")
+
+
+@query("""SELECT slug, CASE WHEN d AND g THEN 'linked' WHEN d THEN 'declared' ELSE 'granted' END AS state FROM (SELECT DISTINCT p_name AS slug, true AS d FROM part WHERE p_size < 5) FULL JOIN (SELECT DISTINCT p_name AS slug, true AS g FROM part WHERE p_size > 47) USING (slug)""")
+def share_link_states(t):
+    """Declared against granted."""
+    return services.link_states(t.part.where("p_size < 5").select(F.col("p_name").alias("slug")), t.part.where("p_size > 47").select(F.col("p_name").alias("slug")))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'deleted' WHEN o_orderkey % 7 = 1 THEN 'moved' WHEN o_orderkey % 7 = 2 THEN 'retracted' WHEN o_orderkey % 7 = 3 THEN 'updated' ELSE 'ok' END AS state FROM orders""")
+def share_live_states(t):
+    """What became of shared records."""
+    m = F.col("o_orderkey") % 7
+    shares = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("record_id"), F.lit("a").alias("project"), F.sha2("o_orderpriority", 256).alias("content_hash"))
+    records = t.orders.where(m != 0).select(F.col("o_orderkey").alias("record_id"), F.when(m == 1, "b").otherwise("a").alias("project"), F.when(m == 3, "new").otherwise(F.col("o_orderpriority")).alias("content"), F.when(m == 2, F.col("o_orderdate")).alias("retracted_at"))
+    return services.live_states(shares, records)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey = 9 OR l_suppkey = 9""")
+def edges_of_record(t):
+    """Rows that name a record at either end."""
+    return services.of_either(t.lineitem, "l_partkey", "l_suppkey", 9).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"""SELECT event_id, CASE WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 5 DAY AND event_type = 'click' THEN CASE WHEN value > 50 THEN 'cancelled' ELSE 'failed' END WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status FROM events""")
+def lost_jobs(t):
+    """Jobs whose heartbeat stopped."""
+    jobs = t.events.select("event_id", F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("heartbeat_at"), (F.col("value") > 50).alias("cancel_requested"))
+    return services.recovered(jobs, NOW, 5 * 86400).select("event_id", "status")
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)\\bring\\b') THEN 'first' WHEN regexp_matches(p_name, '(?i)^red') THEN 'second' END AS route FROM part""")
+def first_match_route(t):
+    """The first rule that fits."""
+    return t.part.select("p_partkey", services.routed(F.col("p_name"), [(r"\bring\b", "first"), ("^red", "second")]).alias("route"))
+
+
+@query("""SELECT 'plan' || n_nationkey AS slug, count(DISTINCT o_orderkey) AS commits, CASE WHEN count(o_orderkey) = 0 THEN 'wait' WHEN n_nationkey % 2 = 0 THEN 'complete' ELSE 'start' END AS action FROM nation LEFT JOIN (SELECT o_orderkey, o_custkey % 40 AS k, o_orderdate FROM orders) ON k = n_nationkey AND o_orderdate > TIMESTAMP '2001-01-01' GROUP BY n_nationkey""")
+def plan_lifecycle(t):
+    """Commits after approval that name a plan."""
+    slug = F.concat(F.lit("plan"), F.col("n_nationkey").cast("string"))
+    plans = t.nation.select(slug.alias("slug"), F.concat(slug, F.lit(".md")).alias("path"), F.concat(F.lit("tok"), slug).alias("token"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("approved_at"), (F.col("n_nationkey") % 2).alias("tasks_open"))
+    k = F.concat(F.lit("plan"), (F.col("o_custkey") % 40).cast("string"))
+    commits = t.orders.select(F.col("o_orderkey").alias("commit_hash"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("feat: do ("), k, F.lit(") now"))).otherwise("chore").alias("message"), F.when(F.col("o_orderkey") % 2 == 1, F.array(F.concat(k, F.lit(".md")))).otherwise(F.array().cast("array<string>")).alias("files"), F.col("o_orderdate").alias("committed_at"))
+    return services.plan_actions(plans, commits)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'not-configured' WHEN p_size % 5 = 1 THEN 'no-url' WHEN p_size % 5 = 2 THEN 'never' WHEN p_size < 25 THEN 'behind-code' ELSE 'fresh' END AS state FROM part""")
+def schema_freshness(t):
+    """The state of a scanned schema."""
+    m = F.col("p_size") % 5
+    return t.part.select("p_partkey", services.freshness(F.when(m != 2, F.col("p_size")), F.lit(25), m != 0, m != 1).alias("state"))
+
+
+@query()
+def code_semantic_search(t):
+    """Two vectors fused, lexical hits for what has none."""
+    nodes = t.documents.where("n_chars < 3000").select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("identity"), F.left("text", F.lit(200)).alias("text"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("body"), F.transform("embedding", lambda x: -x.cast("double")).alias("cue"))
+    joined = t.documents.select(F.md5("text").alias("identity"), F.col("doc_id").alias("v")).join(vectors, "v").select("identity", "body", "cue").dropDuplicates(["identity"])
+    return services.code_search(nodes, joined, _QUERY, _vector(t), 20)
+
+
+@query()
+def reembed_stale(t):
+    """Vectors of another model made anew."""
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 2 == 0, "m").alias("embedding_model"), F.array(F.lit(1.0)).alias("embedding"))
+    return services.reembedded(rows, "m", services.hash_embedder(32)).select("id", "embedding_model", F.size("embedding").alias("dims"))
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k <= 3""")
+def project_recall(t):
+    """§2.15: the newest few of each project."""
+    return relational.top_of(t.orders, ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 3, "k").select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT c_custkey, c_acctbal + CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 1 ELSE 0 END AS surfaced FROM customer""")
+def surfaced_bump(t):
+    """A counter raised once for each row that was shown."""
+    ids = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return writes.bumped(t.customer.select("c_custkey", F.col("c_acctbal").alias("surfaced")), ids, "surfaced", "c_custkey")
+
+
+@query("""SELECT 'p' || p_partkey AS id, 1000.0::DOUBLE * CASE WHEN p_partkey IN (3, 1, 2) THEN CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END ELSE p_partkey END AS sort_order, p_partkey IN (1, 2, 3) AND CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END <> p_partkey AS changed FROM part WHERE p_partkey < 10""")
+def idea_reorder(t):
+    """An order given by hand."""
+    rows = t.part.where("p_partkey < 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") * 1000.0).alias("sort_order"))
+    return writes.reordered(rows, ["p3", "p1", "p2"])
