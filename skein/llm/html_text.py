@@ -29,6 +29,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related recommended replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Those that within an article mark its own head.
+TOPS = frozenset(("header", "masthead", "banner"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -50,7 +52,7 @@ class Node:
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _left_out(tag: str, attrs: str, up: Node) -> bool:
+def _left_out(tag: str, attrs: str, up: Node, names: bool) -> bool:
     if tag in LEFT_OUT:
         return True
     if tag == "header":
@@ -59,8 +61,10 @@ def _left_out(tag: str, attrs: str, up: Node) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(_WORD.findall(value)):
-            return True
+        if name in ("class", "id") and names and not (tag in ("html", "body", "main") or tag == "article" and not _inside(up, "article")):
+            hit = NAMES.intersection(_WORD.findall(value))
+            if hit and (hit - TOPS or not _inside(up, "article")):
+                return True
     return False
 
 
@@ -72,8 +76,8 @@ def _inside(node: Node | None, tag: str) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; text children are strings.  Broken markup is mended as browsers do: blocks end an open p."""
+def parse(page: str, names: bool = True) -> Node:
+    """The tree of a page; text children are strings.  names: leave parts out by their class and id names too.  Broken markup is mended as browsers do: blocks end an open p."""
     root = at = Node("html", None, False)
     seen, n = 0, len(page)
     pos = 0
@@ -111,7 +115,7 @@ def parse(page: str) -> Node:
                 x = x.up
             if tag in ("html", "body") and _inside(at, tag) and (tag == "body" or at is root):
                 continue
-        node = Node(tag, at, at.out or _left_out(tag, attrs, at))
+        node = Node(tag, at, at.out or _left_out(tag, attrs, at, names))
         if not node.out:
             at.kids.append(node)
         if tag in RAW:
@@ -166,8 +170,7 @@ def extract(page: str | None) -> str:
     """The main text of a page: blocks joined by newlines; null, empty or without text: the empty string."""
     if not page:
         return ""
-    root = parse(page)
-    blocks = list(_blocks(root))
+    blocks = list(_blocks(parse(page))) or list(_blocks(parse(page, names=False)))  # a name on a wrapper of the whole page says nothing
     nodes: dict[int, Node] = {}
     for owner, text, linked in blocks:
         points = (0.5 if owner.tag in HEADINGS else 1.0) + text.count(",") + text.count("、") + len(text) / 100

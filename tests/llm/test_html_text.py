@@ -28,6 +28,12 @@ def test_odd_pages():
     assert extract(f"<body><nav><a>m</a></nav><article><p>{long}</p></article></body>") == long
 
 
+def test_names_in_and_around_an_article():
+    page = '<div id="{}"><article class="post share"><div class="entry-header"><h1>Head</h1></div><p>One, two.</p><article class="comment"><p>Mine, too.</p></article></article></div>'
+    assert extract(page.format("main")) == "Head\nOne, two."
+    assert extract(page.format("has-sidebar")).startswith("Head\nOne, two.")
+
+
 def test_link_lists_lose_to_text():
     menu = "".join(f'<p><a href="/{k}">A link, with, commas, number, {k}</a></p>' for k in range(30))
     assert extract(f"<div><div>{menu}</div><div><p>The article, which has some words.</p><p>And more, of them.</p></div></div>") == "The article, which has some words.\nAnd more, of them."
