@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import Tables
 from ..functions import text as tx
 from ..functions.vectors import cosine, norm
-from ..operators import budget, curation, documents, evidence, graph, relational, retrieval, segments, services, writes
+from ..operators import budget, curation, documents, evidence, graph, records, relational, retrieval, segments, services, writes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -833,3 +833,50 @@ def idea_reorder(t):
     """An order given by hand."""
     rows = t.part.where("p_partkey < 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") * 1000.0).alias("sort_order"))
     return writes.reordered(rows, ["p3", "p1", "p2"])
+
+
+# ---- records --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT o_custkey AS id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS e, bool_or(o_orderpriority = '5-LOW' AND o_orderstatus = 'F') AS s, bool_or(o_orderpriority = '5-LOW' AND o_orderstatus <> 'F') AS p FROM orders GROUP BY 1)
+SELECT c_custkey AS id, round(CASE WHEN coalesce(e, 0) > 0 THEN least(0.97 + 0.05, 1.0) ELSE 0.97 END, 6)::DOUBLE AS score, coalesce(e, 0) AS reinforcement_count, coalesce(s, false) AS superseded, coalesce(p, false) AND NOT coalesce(s, false) AS proposed FROM customer LEFT JOIN c ON c.id = c_custkey""")
+def citation_effects(t):
+    """What citations do to what they cite."""
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.lit(0.97).alias("score"), F.lit(0).cast("long").alias("reinforcement_count"), F.lit(False).alias("superseded"))
+    relation = F.when(F.col("o_orderpriority") == "1-URGENT", "extends").when(F.col("o_orderpriority") == "5-LOW", "supersedes").otherwise("relates")
+    cites = t.orders.select(F.col("o_custkey").alias("cited_id"), relation.alias("relation"), F.when(F.col("o_orderstatus") == "F", "operator").otherwise("agent").alias("source"))
+    return records.cited(rows, cites).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS slug, l_partkey AS h, bool_and(l_returnflag = 'R') AS d FROM lineitem WHERE l_linenumber < 5 GROUP BY 1, 2), o AS (SELECT DISTINCT l_orderkey AS slug, l_partkey AS h FROM lineitem WHERE l_linenumber > 3) SELECT slug, CAST(h AS VARCHAR) AS task_hash, CASE WHEN n.d IS NULL THEN 'gone' WHEN n.d THEN 'done' WHEN o.h IS NULL THEN 'new' ELSE 'open' END AS state FROM (SELECT slug, h, true AS there FROM o) x FULL JOIN n USING (slug, h) LEFT JOIN o USING (slug, h)""")
+def task_sync(t):
+    """Tasks after a checklist was read again."""
+    li = t.lineitem.select(F.col("l_orderkey").alias("slug"), F.col("l_partkey").cast("string").alias("task_hash"), "l_linenumber", (F.col("l_returnflag") == "R").alias("done"))
+    return records.synced_tasks(li.where("l_linenumber > 3").select("slug", "task_hash").distinct(), li.where("l_linenumber < 5"))
+
+
+@query("""SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag <> 'R') AS open, count(*) AS total FROM lineitem GROUP BY 1""")
+def pending_tasks(t):
+    """Open and all tasks."""
+    return records.pending(t.lineitem.withColumn("done", F.col("l_returnflag") == "R"), "l_suppkey").select("l_suppkey", "open", "total")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'closed' WHEN o_orderkey % 5 = 4 THEN 'open' ELSE 'open' END AS status, CASE o_orderkey % 5 WHEN 1 THEN 'applied' WHEN 2 THEN 'needs_note' WHEN 3 THEN 'foreign' END AS outcome FROM orders""")
+def finding_updates(t):
+    """Findings closed with a note, in their own project."""
+    m = F.col("o_orderkey") % 5
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("a").alias("project"), F.lit("open").alias("status"))
+    changes = t.orders.where(m.isin(1, 2, 3)).select(F.col("o_orderkey").alias("id"), F.when(m == 3, "b").otherwise("a").alias("project"), F.lit("closed").alias("status"), F.when(m != 2, "done").alias("note"))
+    return records.closed(rows, changes).select("id", "status", "outcome")
+
+
+@query("""SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'view') / sum(value), 6) AS ratio FROM events GROUP BY 1""")
+def cache_hit_ratio(t):
+    """§2.14: share of what came from a cache."""
+    return t.events.groupBy("user_id").agg(F.round(records.hit_ratio(F.sum(F.when(F.col("event_type") == "view", F.col("value"))), F.sum("value")), 6).alias("ratio"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey > 40 ORDER BY 1 LIMIT 10""")
+def cursor_page(t):
+    """The page after a cursor."""
+    return records.page_after(t.orders.select("o_orderkey"), "orders", ["o_orderkey"], records.cursor("orders", [40]), 10)[0]

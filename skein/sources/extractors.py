@@ -128,3 +128,46 @@ def extract(files: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     nodes = found.where("what = 'node'").select("kind", F.col("name").alias("qualified_name"), F.col("path").alias("file_path"), "line", F.lit(name).alias("extracted_by"))
     edges = found.where("what = 'edge'").select(F.col("name").alias("from_name"), "relation", F.col("kind").alias("to_kind"), F.col("target").alias("to_name"), "line")
     return nodes, edges
+
+
+#: What opens a definition or an import in each language, one pattern for each kind; the name is the first group.
+PATTERNS: dict[str, tuple[str, dict[str, str]]] = {
+    "script": (r"\.(ts|tsx|js|jsx|mjs|cjs)$", {"function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "imports": r"^\s*import\s.*?from\s+['\"]([^'\"]+)|require\(\s*['\"]([^'\"]+)", "inherits": r"class\s+\w+\s+extends\s+([\w.]+)", "exports": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|interface|type|enum)\s+(\w+)", "serves_route": r"\b\w+\.(?:get|post|put|delete|patch)\(\s*['\"](/[^'\"]*)", "emits": r"\.emit\(\s*['\"]([^'\"]+)", "listens_on": r"\.on\(\s*['\"]([^'\"]+)"}),
+    "cpp": (r"\.(c|cc|cpp|cxx|h|hpp)$", {"function": r"^[\w:<>,&*~\s]+?[\s&*]([\w:~]+)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{", "class": r"^\s*(?:class|struct)\s+(?:[A-Z_]+\s+)?(\w+)[^;(]*\{", "imports": r"^\s*#\s*include\s*[<\"]([^>\"]+)", "inherits": r"^\s*(?:class|struct)\s+.*?:\s*(?:public|protected|private)\s+([\w:]+)"}),
+    "kotlin": (r"\.kts?$", {"function": r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)\s*\(", "class": r"^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)", "imports": r"^\s*import\s+([\w.*]+)", "inherits": r"\bclass\s+\w+[^:{]*:\s*(\w+)", "depends_on": r"implementation\(project\(\"([^\"]+)"}),
+    "swift": (r"\.swift$", {"function": r"^\s*(?:\w+\s+)*func\s+(\w+)", "class": r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol|actor)\s+(\w+)", "imports": r"^\s*import\s+(\w+)", "inherits": r"\b(?:class|struct)\s+\w+\s*:\s*(\w+)"}),
+    "php": (r"\.php$", {"function": r"^\s*(?:\w+\s+)*function\s+&?(\w+)\s*\(", "class": r"^\s*(?:abstract\s+|final\s+)*(?:class|interface|trait)\s+(\w+)", "imports": r"^\s*(?:use\s+([\w\\]+)|(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+))", "inherits": r"\bclass\s+\w+\s+extends\s+([\w\\]+)", "emits": r"\bdo_action\(\s*['\"]([^'\"]+)", "listens_on": r"\badd_(?:action|filter)\(\s*['\"]([^'\"]+)"}),
+    "go": (r"\.go$", {"function": r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "class": r"^type\s+(\w+)\s+(?:struct|interface)", "imports": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"}),
+    "rust": (r"\.rs$", {"function": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", "class": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", "imports": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "inherits": r"^\s*impl(?:<[^>]*>)?\s+(\w+)\s+for\b"}),
+    "java": (r"\.java$", {"function": r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:<[^>]*>\s*)?[\w<>\[\],.? ]+\s+(\w+)\s*\(", "class": r"^\s*(?:\w+\s+)*(?:class|interface|enum|record)\s+(\w+)", "imports": r"^\s*import\s+(?:static\s+)?([\w.*]+)", "inherits": r"\bclass\s+\w+\s+extends\s+([\w.]+)"}),
+    "csharp": (r"\.cs$", {"function": r"^\s*(?:(?:public|protected|private|internal|static|async|override|virtual|sealed)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\(", "class": r"^\s*(?:\w+\s+)*(?:class|interface|struct|record|enum)\s+(\w+)", "imports": r"^\s*using\s+([\w.]+)\s*;", "inherits": r"\bclass\s+\w+\s*:\s*([\w.]+)"}),
+    "unreal": (r"\.Build\.cs$", {"depends_on": r"\"(\w+)\"", "module": r"\bclass\s+(\w+)\s*:\s*ModuleRules"}),
+}
+_KINDS = {"imports": "module", "inherits": "class", "depends_on": "module", "serves_route": "endpoint", "emits": "event_channel", "listens_on": "event_channel", "exports": "function"}
+_NO_FUNCTIONS = frozenset("if for while switch catch return sizeof else do new delete throw".split())
+
+
+def by_patterns(language: str) -> Callable[[str, str], Found]:
+    """An extractor that reads a language line by line (X1, X3 to X8): declarations, imports, bases, routes and events, but no scopes or calls."""
+    rules = {k: re.compile(p, re.M) for k, p in PATTERNS[language][1].items()}
+
+    def run(path: str, text: str) -> Found:
+        out = [node("file", path, 1)]
+        for kind, rule in rules.items():
+            for m in rule.finditer(text):
+                name = next((g for g in m.groups() if g), "")
+                line = text.count("\n", 0, m.start()) + 1
+                if kind in ("function", "class", "module"):
+                    if name and name not in _NO_FUNCTIONS:
+                        out += [node(kind, f"{path}::{name}", line), edge(path, "defines", kind, f"{path}::{name}", line)]
+                elif name:
+                    target = _KINDS[kind]
+                    if target in ("endpoint", "event_channel"):
+                        out.append(node(target, name, line))
+                    out.append(edge(path, kind, target, f"{path}::{name}" if kind == "exports" else name, line))
+        return out
+
+    return run
+
+
+EXTRACTORS |= {name: (pattern, by_patterns(name)) for name, (pattern, _) in PATTERNS.items()}
