@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in a document of a smaller doc_id are cut out; bytes of characters cut in two go with them.  A null text becomes empty."""
-    out = suffix_dedup.deduplicate(docs.select(*COLUMNS), texts=True, carry=("lang", "source", "n_chars"))
+    out = suffix_dedup.deduplicate(docs.select(*COLUMNS), texts="kept_text", carry=("lang", "source", "n_chars"))
     size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 

@@ -337,9 +337,9 @@ def _answer_strings(sent: DataFrame) -> DataFrame:
     return sent.where("shard >= 0").groupBy("shard").applyInPandas(run, "chunk long, shard int, part binary")
 
 
-def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts: bool, carried: list[StructField]) -> DataFrame:
+def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts: str, carried: list[StructField]) -> DataFrame:
     """One row per document, with its kept text and carried columns if asked for."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if texts else []), *(c.name for c in carried)]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *([texts] if texts else []), *(c.name for c in carried)]
 
     def run(key, left, right):
         import pandas as pd
@@ -370,22 +370,22 @@ def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts
                 removed = int(c.sum())
                 kept = (flat[a:b][~c] if removed else flat[a:b]).tobytes()
                 spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
-                out.append((None if ids[k] == LAST else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept, kept.decode("utf-8", "ignore")] if texts else []), *more_columns[k]))
+                out.append((None if ids[k] == LAST else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept if texts == "kept" else kept.decode("utf-8", "ignore")] if texts else []), *more_columns[k]))
         # nullable whole numbers stay whole
         return pd.DataFrame({n: pd.array([x[k] for x in out], "Int64") if whole[k] else pd.Series([x[k] for x in out], dtype=object) for k, n in enumerate(names)})
 
-    fixed = [StructField(n, LongType()) for n in names[:4]] + [StructField("kept_sha256", StringType())] + [StructField("kept", BinaryType()), StructField("kept_text", StringType())] * texts
+    fixed = [StructField(n, LongType()) for n in names[:4]] + [StructField("kept_sha256", StringType())] + ([StructField(texts, BinaryType() if texts == "kept" else StringType())] if texts else [])
     schema = StructType([*fixed, *carried])
     whole = [isinstance(f.dataType, (LongType, IntegerType)) for f in schema.fields]
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, kept_text][, carried columns]) of documents(doc_id, text).
+def deduplicate(docs: DataFrame, length: int = LENGTH, texts: str = "", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept or kept_text][, carried columns]) of documents(doc_id, text).
 
     Removes each byte that a string of `length` bytes covers which also starts in a document with a smaller doc_id;
-    matches stay within documents, and strings are judged on the input.  kept, kept_text (if texts): the remaining bytes, and
-    these as text without the stray bytes of characters cut in two;
+    matches stay within documents, and strings are judged on the input.  texts: also return the column
+    kept, the remaining bytes, or kept_text, these as text without the stray bytes of characters cut in two;
     carry: other columns (strings and whole numbers) to return with each row.  A null text
     is empty; a null doc_id counts as larger than all others; rows of one doc_id remove nothing from each other; rows come
     back as often as they come; an empty table gives no rows; other columns are ignored.

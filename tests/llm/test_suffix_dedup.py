@@ -65,7 +65,7 @@ def test_kept_bytes_repeated_ids_and_nulls(documents, words):
     text = " ".join(words(60, 3))
     rows = [(1, text), (1, text), (None, text), (None, "q" + text), (2, text[:80] + "!" + text)]
     assert got(documents, rows) == brute(rows)
-    kept = {(r["doc_id"], r["n_bytes"]): r["kept"] for r in op.deduplicate(documents(rows), texts=True).collect()}
+    kept = {(r["doc_id"], r["n_bytes"]): r["kept"] for r in op.deduplicate(documents(rows), texts="kept").collect()}
     assert kept[1, len(text)].decode() == text and kept[None, len(text)] == b"" and kept[None, len(text) + 1] == b"q" and kept[2, len(text) + 81] == b"!"
 
 
