@@ -25,10 +25,10 @@ def numbered(df: DataFrame, order: list[Column], name: str, keys: list[str] | No
 
 
 def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0, total: str = "total") -> DataFrame:
-    """A page whose rows carry the count of all rows (N2): the count is an aggregate, not a window over one partition."""
-    n = df.agg(F.count(F.lit(1)).alias(total))
+    """A page whose rows carry the count of all rows (N2): one number, counted apart from the page."""
+    n = df.count()
     page = df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
-    return page.join(F.broadcast(n), F.lit(True), "left")  # one row by construction
+    return page.withColumn(total, F.lit(n).cast("long"))
 
 
 def sentinel_page(df: DataFrame, order: list[Column], limit: int, flag: str = "capped") -> DataFrame:
