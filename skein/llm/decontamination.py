@@ -4,7 +4,8 @@ Texts are lower-cased and cut to words, words become 64-bit hashes, and fixed ma
 words (some ignored) become seed hashes.  The seeds of all documents meet those of the benchmark in a hash join; each
 meeting fixes an alignment of the item to the document, and the words of that alignment are compared one by
 one.  A document is contaminated if, in some alignment, a window of min(n, max(13, n / 2)) consecutive words of the item's n
-words has at least four fifths of them equal; the others are substituted.
+words has at least four fifths of them equal (the others are substituted), or if min(n, 13) consecutive words are all
+equal, however long the item: an excerpt of a long item counts as one of a short item does.
 
 The masks lose nothing: every window of at least five words with at most a fifth of its words substituted holds a
 place where one of the masks sees only equal words (checked for lengths 5 to 25; a longer window contains such a one).
@@ -95,7 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = named.join(items.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of").join(again, F.col("doc_id").eqNullSafe(F.col("id")))
     same = F.transform("words", lambda w, i: F.when(F.get("doc_words", F.col("start") + i) == w, "1").otherwise("0"))
     pairs = pairs.select("doc_id", "item_id", "window", F.size("words").alias("n"), F.array_join(same, "").alias("equal"))
-    enough = F.exists(F.sequence(F.lit(1), F.col("n") - F.col("window") + 1), lambda i: F.length(F.replace(F.substr("equal", i, F.col("window")), F.lit("0"), F.lit(""))) * WHOLE >= F.col("window") * EQUAL)
+    verbatim = F.contains("equal", F.repeat(F.lit("1"), F.least("n", F.lit(WINDOW))))
+    enough = verbatim | F.exists(F.sequence(F.lit(1), F.col("n") - F.col("window") + 1), lambda i: F.length(F.replace(F.substr("equal", i, F.col("window")), F.lit("0"), F.lit(""))) * WHOLE >= F.col("window") * EQUAL)
     return pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("n").alias("item_words"), F.max(F.length(F.replace("equal", F.lit("0"), F.lit("")))).alias("equal_words"))
 
 

@@ -47,6 +47,19 @@ def test_against_every_alignment(spark, documents, words):
     assert len(got) > 25 and (103, 6) in got
 
 
+def test_verbatim_excerpts_of_long_items(spark, documents, words):
+    items = [(k, " ".join(words(n, 70 + k))) for k, n in enumerate((38, 59, 1000))]
+    docs = []
+    for k, text in items:
+        v = text.split()
+        for n in (12, 13, 20, len(v) // 2 - 1):
+            for at in (0, 5, len(v) - n):
+                docs.append((len(docs), " ".join(words(30) + v[at : at + n] + words(30))))
+    want = {(d, d // 12) for d in range(len(docs)) if d % 12 >= 3}
+    found = run(spark, documents, docs, items)
+    assert set(found) == want and found[3, 0][1] >= 13
+
+
 def test_masks_lose_nothing():
     for n in range(5, 19):
         for gone in itertools.combinations(range(n), n // 5):
