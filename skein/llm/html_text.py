@@ -3,8 +3,9 @@
 The page is parsed to a tree in one pass; parts that are never article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role or class name.  Each
 remaining text block passes points for its length and commas to its ancestors, less with each level; a container's
-points are discounted by its link density.  The best container and those of its siblings that score near it are
-kept, and their blocks are joined in page order.
+points are discounted by its link density.  If the best container lies in an
+article or main, that whole element is kept, with those of its siblings that score near; elsewhere all siblings that
+are not link-dense are, whatever their tags.  The blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 BONUS = {"article": 10.0, "main": 8.0}
-#: Siblings of the best container are kept from this share of its score.
+#: Parts of tables: what stands around the whole table is beside them too.
+PARTS = frozenset("td th tr tbody thead tfoot caption".split())
+#: Siblings of the article are kept from this share of the best score.
 SIBLING_SHARE = 0.2
 #: Ancestors that a block passes points to.
 LEVELS = 24
@@ -166,6 +169,44 @@ def _blocks(root: Node):
             owner = owner or root
 
 
+def _article(best: Node) -> Node | None:
+    """The outermost article that holds the best container, or else main."""
+    out, x = None, best
+    while x is not None:
+        if x.tag == "article" or x.tag == "main" and (out is None or out.tag == "main"):
+            out = x
+        x = x.up
+    return out
+
+
+def _beside(best: Node, blocks: list) -> list[str]:
+    """Texts of the best container and of what stands beside it without being mostly links.  A container alone in another counts as that one."""
+    levels, x = set(), best
+    while x.up is not None:
+        levels.add(id(x.up))
+        if x.tag not in PARTS and any(k.strip() if isinstance(k, str) else k is not x and k.kids for k in x.up.kids):
+            break
+        x = x.up
+    sides: dict[int, int] = {}
+    sizes: dict[int, list[int]] = {}
+    places = []
+    for k, (owner, text, linked) in enumerate(blocks):
+        path, x = [], owner
+        while x is not None and id(x) not in sides and id(x) != id(best) and id(x) not in levels and not (x.up is not None and id(x.up) in levels):
+            path.append(id(x))
+            x = x.up
+        # text right in a level is a side by itself; what lies in none is not kept
+        side = 0 if x is None else sides.get(id(x), -k - 1 if id(x) in levels and x is not best else id(x))
+        if side > 0:
+            sides[id(x)] = side
+        sides.update(dict.fromkeys(path, max(side, 0)))
+        places.append(side)
+        size = sizes.setdefault(side, [0, 0])
+        size[0] += len(text)
+        size[1] += min(linked, len(text))
+    return [text for (_, text, _), side in zip(blocks, places, strict=True) if side == id(best) or side and 2 * sizes[side][1] <= sizes[side][0]]
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: blocks joined by newlines; null, empty or without text: the empty string."""
     if not page:
@@ -185,9 +226,12 @@ def extract(page: str | None) -> str:
         return ""
     score = {k: (x.points + BONUS.get(x.tag, 0.0)) * (1 - x.linked / max(1, x.chars)) for k, x in nodes.items()}
     best = max((x for x in nodes.values() if x.tag in CONTAINERS), key=lambda x: score[id(x)], default=None) or next(iter(nodes.values()))
-    keep = {id(best)}
-    if best.up is not None:
-        for kid in best.up.kids:
+    article = _article(best)
+    if article is None:
+        return "\n".join(_beside(best, blocks))
+    keep = {id(article)}
+    if article.up is not None:
+        for kid in article.up.kids:
             if isinstance(kid, Node) and id(kid) in score and kid.tag in CONTAINERS and score[id(kid)] >= max(10.0, SIBLING_SHARE * score[id(best)]):
                 keep.add(id(kid))
     out = []
@@ -199,7 +243,7 @@ def extract(page: str | None) -> str:
             x = x.up
         inside = x is not None and (id(x) in keep or kept[id(x)])
         kept.update(dict.fromkeys(path, inside))
-        if inside or owner.up is best.up is not None and owner.tag == "p" and len(text) >= 80:
+        if inside or owner.up is article.up is not None and owner.tag == "p" and len(text) >= 80:
             out.append(text)
     return "\n".join(out)
 

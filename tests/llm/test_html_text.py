@@ -34,6 +34,19 @@ def test_names_in_and_around_an_article():
     assert extract(page.format("has-sidebar")).startswith("Head\nOne, two.")
 
 
+def test_a_long_section_does_not_hide_its_article():
+    long, short = "word, " * 1000 + "end.", "Some, more, words, " + "and so on " * 28 + "here."
+    rest = f"<section><p>{short}</p></section><ul><li>Item</li></ul><pre>code</pre><table><tr><td>cell</td></tr></table><p>Short end.</p>"
+    want = f"T\n{long}\n{short}\nItem\ncode\ncell\nShort end."
+    for tag in ("section", "blockquote", "div"):
+        inner = f"<h1>T</h1><{tag}><p>{long}</p></{tag}>{rest}"
+        menu = '<ul><li><a href="/a">A link</a></li><li><a href="/b">Another link</a></li></ul>'
+        for page in (f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div>{menu}{inner}{menu}</div>"):
+            assert extract(f"<body><nav>m</nav>{page}</body>") == want, (tag, page[:40])
+    assert extract(f"<table><tr><th>Head</th></tr><tr><td>One.</td><td><p>{long}</p></td></tr><tr><td>Two.</td></tr></table><p>After.</p>") == f"Head\nOne.\n{long}\nTwo.\nAfter."
+    assert extract(f"<div><h1>T</h1><div><section><p>{long}</p></section></div>Bare.<p>Short end.</p></div>") == f"T\n{long}\nBare.\nShort end."
+
+
 def test_link_lists_lose_to_text():
     menu = "".join(f'<p><a href="/{k}">A link, with, commas, number, {k}</a></p>' for k in range(30))
     assert extract(f"<div><div>{menu}</div><div><p>The article, which has some words.</p><p>And more, of them.</p></div></div>") == "The article, which has some words.\nAnd more, of them."
