@@ -205,7 +205,7 @@ def _send_runs(chunks: DataFrame, shards: int, length: int) -> DataFrame:
                 heads = heads[by_bucket]
                 g, c, doc = r["g"][heads], r["c"][heads], r["doc"][heads].astype(np.uint32 if len(ids) > 65535 else np.uint16)
                 cut = _cut(_shard(g, shards), shards)
-                parts = [_pack(ids, g[a:b].astype(np.uint32), (c[a:b] >> np.uint64(32)).astype(np.uint32), doc[a:b]) for _, a, b in cut]
+                parts = [_pack(ids, g[a:b].astype(np.uint32), c[a:b], doc[a:b]) for _, a, b in cut]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(cut), pa.int64()), pa.array([k for k, _, _ in cut], pa.int32()), pa.array(parts, pa.binary())], ["chunk", "shard", "part"])
 
     return chunks.select("chunk", "body").mapInArrow(run, "chunk long, shard int, part binary")
@@ -217,19 +217,20 @@ def _answer_runs(sent: DataFrame) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
-        keys, docs, sizes = [], [], []
+        grams, keys, docs, sizes = [], [], [], []
         for part in pdf["part"]:
             ids, g, c, doc = _unpack(part)
-            keys.append((g.astype(np.uint64) << np.uint64(32)) | c)
+            grams.append(g)
+            keys.append(c)
             docs.append(ids[doc])
             sizes.append(len(g))
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        new = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))
-        least = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        g = sorted_keys >> np.uint64(32)
+        grams, keys, docs = np.concatenate(grams), np.concatenate(keys), np.concatenate(docs)
+        # a bucket may be told by a part of its identifier, as the whole string's goes with it; that one decides and is whole
+        order = np.lexsort((keys, grams))
+        g, c = grams[order], keys[order]
         new_g = np.concatenate(([True], g[1:] != g[:-1]))
+        new = new_g | np.concatenate(([True], c[1:] != c[:-1]))
+        least = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         at = np.flatnonzero(new_g)
         several = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(docs[order], at) != np.maximum.reduceat(docs[order], at))
         bits = np.empty(len(keys), np.uint8)

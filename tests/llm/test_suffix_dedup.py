@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from skein.llm import suffix_dedup as op
 
@@ -73,6 +75,40 @@ def test_empty(documents):
     assert op.deduplicate(documents([(1, "a")]).limit(0)).count() == 0
 
 
+def test_runs_that_agree_in_half_their_identifiers(monkeypatch):
+    # what is sent for a bucket tells apart runs that agree in the upper, or the lower, 32 bits of their identifiers
+    bits = [(5 << 32) | 1, (5 << 32) | 2, (6 << 32) | 2, (6 << 32) | 2]
+    ids, sizes = np.arange(4), np.array([60] * 4)
+    made = {"g": np.full(4, 7, np.uint64), "c": np.array(bits, np.uint64), "doc": np.arange(4), "low": np.arange(4) * 60, "high": np.arange(4) * 60 + 10}
+    part = {k: {n: x[[k]] for n, x in made.items()} | {"doc": np.zeros(1, np.int64)} for k in range(4)}
+    sent = []
+
+    class Chunks:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+
+    chunks = Chunks()
+    monkeypatch.setattr(op, "_opened", lambda body: (ids[[body]], sizes[:1], np.zeros(60, np.uint8)))
+    monkeypatch.setattr(op, "runs", lambda flat, sizes, length: part[now])
+    op._send_runs(chunks, 1, 50)
+    for now in range(4):
+        for b in chunks.run([pa.RecordBatch.from_arrays([pa.array([now]), pa.array([now])], ["chunk", "body"])]):
+            sent += b.to_pylist()
+
+    class Sent:
+        def groupBy(self, _):
+            return self
+
+        def applyInPandas(self, run, _):
+            return run
+
+    out = op._answer_runs(Sent())(pd.DataFrame(sent))
+    assert [op._unpack(x)[0].tolist() for x in out["answer"]] == [[2], [2], [2], [3]]
+
+
 def test_buckets_are_refined_from_later_offsets():
     flat = np.frombuffer(b"abcabcabcabxabcabc", np.uint8)
     q, full = op.buckets(flat, 3, 6)
