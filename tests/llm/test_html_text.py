@@ -34,6 +34,14 @@ def test_names_in_and_around_an_article():
     assert extract(page.format("has-sidebar")).startswith("Head\nOne, two.")
 
 
+def test_attribute_names_are_compared_whole():
+    text = "<p>One, two.</p>"
+    for attrs in ('style="overflow:hidden"', 'title="hidden gems"', 'data-hidden="false"', 'data-id="related-1"', "data-class=sidebar", 'title="class=\'menu\' id=ad"', 'data-role="dialog"', "data-x=hidden", 'alt="a > b hidden"', 'data-aria-hidden="true"'):
+        assert extract(f"<body><div {attrs}>{text}</div></body>") == "One, two.", attrs
+    for attrs in ("hidden", 'class="x" hidden', "hidden=''", 'HIDDEN', 'a="1"hidden', 'aria-hidden="true"', "role=dialog", 'class = "menu"', "id='ad'", "data-x=1 id=related-1"):
+        assert extract(f"<body><div {attrs}>{text}</div><p>Three.</p></body>") == "Three.", attrs
+
+
 def test_a_long_section_does_not_hide_its_article():
     long, short = "word, " * 1000 + "end.", "Some, more, words, " + "and so on " * 28 + "here."
     rest = f"<section><p>{short}</p></section><ul><li>Item</li></ul><pre>code</pre><table><tr><td>cell</td></tr></table><p>Short end.</p>"
