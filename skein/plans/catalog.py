@@ -802,7 +802,7 @@ def schema_freshness(t):
 @query()
 def code_semantic_search(t):
     """Two vectors fused, lexical hits for what has none."""
-    nodes = t.documents.where("n_chars < 3000").select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("identity"), F.left("text", F.lit(200)).alias("text"))
+    nodes = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("identity"), "text")
     vectors = t.embeddings.select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("body"), F.transform("embedding", lambda x: -x.cast("double")).alias("cue"))
     joined = t.documents.select(F.md5("text").alias("identity"), F.col("doc_id").alias("v")).join(vectors, "v").select("identity", "body", "cue").dropDuplicates(["identity"])
     return services.code_search(nodes, joined, _QUERY, _vector(t), 20)
