@@ -43,13 +43,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is set (as in tests)."""
+    """A new folder in the shared checkpoint folder, removed when the application ends.
+
+    Where none is set, a temporary one is used by a local session (as in tests); a cluster is refused, as its
+    machines share no such folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         base = getattr(scratch_dir, "local", None) or tempfile.mkdtemp(prefix="skein-")
         scratch_dir.local = base
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
