@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import dropped, released, small_batches, stored
+from .common import dropped, released, scratch_dir, small_batches, stored
 
 LENGTH = 50
 CHUNK_BYTES = 1 << 20
@@ -39,7 +39,7 @@ CHUNK_BYTES = 1 << 20
 ROWS_AT_ONCE = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
 #: Bytes of text whose buckets are made at once.
 SLICE = 1 << 18
-#: Stands for a null doc_id: no document comes after it.
+#: Sorts a null doc_id: no document comes after it.  Which ids are null is kept beside them.
 LAST = np.iinfo(np.int64).max
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
@@ -138,7 +138,7 @@ def _unpack(b: bytes) -> tuple:
 
 def _opened(body: bytes):
     """Ids (rising), bytes of each document and all bytes of a chunk."""
-    ids, sizes, data, _ = _unpack(body)
+    ids, sizes, data, _, _ = _unpack(body)
     return ids, sizes, np.frombuffer(data, np.uint8)
 
 
@@ -169,9 +169,9 @@ def chunk_table(docs: DataFrame, name: str, number: int, carry: tuple[str, ...]
         ids, texts, more, size = [], [], [], 0
 
         def row():
-            order = np.argsort(np.array([LAST if i is None else i for i in ids], np.int64), kind="stable")
+            order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
             known = np.array([LAST if ids[k] is None else ids[k] for k in order], np.int64)
-            body = _pack(known, np.array([len(texts[k]) for k in order], np.int64), b"".join([texts[k] for k in order]), [more[k] for k in order])
+            body = _pack(known, np.array([len(texts[k]) for k in order], np.int64), b"".join([texts[k] for k in order]), [more[k] for k in order], [ids[k] is None for k in order])
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([body], pa.binary())], ["chunk", "body"])
 
         for b in batches:
@@ -189,8 +189,11 @@ def chunk_table(docs: DataFrame, name: str, number: int, carry: tuple[str, ...]
     spark = docs.sparkSession
     small_batches(spark)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carry).mapInArrow(run, "chunk long, body binary")
-    packed.write.format("parquet").bucketBy(number, "chunk").saveAsTable(name)
-    return spark.table(name)
+    path = scratch_dir(spark)
+    packed.write.format("parquet").option("path", path).bucketBy(number, "chunk").saveAsTable(name)
+    out = spark.table(name)
+    out._skein_path = path
+    return out
 
 
 def _send_runs(chunks: DataFrame, shards: int, length: int) -> DataFrame:
@@ -348,7 +351,7 @@ def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts
         out = []
         for body in left["body"]:
             ids, sizes, flat = _opened(body)
-            more_columns = _unpack(body)[3]
+            _, _, _, more_columns, null = _unpack(body)
             state = [p for k, p in zip(right["shard"], right["part"], strict=True) if k < 0]
             got = {k: p for k, p in zip(right["shard"], right["part"], strict=True) if k >= 0}
             low, high, steps, owner = _unpack(state[0])
@@ -371,7 +374,7 @@ def _finish(chunks: DataFrame, found: DataFrame, shards: int, length: int, texts
                 removed = int(c.sum())
                 kept = (flat[a:b][~c] if removed else flat[a:b]).tobytes()
                 spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
-                out.append((None if ids[k] == LAST else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept if texts == "kept" else kept.decode("utf-8", "ignore")] if texts else []), *more_columns[k]))
+                out.append((None if null[k] else int(ids[k]), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept if texts == "kept" else kept.decode("utf-8", "ignore")] if texts else []), *more_columns[k]))
         # nullable whole numbers stay whole
         return pd.DataFrame({n: pd.array([x[k] for x in out], "Int64") if whole[k] else pd.Series([x[k] for x in out], dtype=object) for k, n in enumerate(names)})
 
@@ -408,6 +411,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, texts: str = "", carry: t
         more = _answer_strings(settled)
         out = stored(_finish(chunks, settled.where("shard < 0").unionByName(more), shards, length, texts, [docs.schema[c] for c in carry]))
         dropped(settled)
+        dropped(chunks)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         released(spark)
