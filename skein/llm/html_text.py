@@ -1,11 +1,11 @@
 """Main text of web pages by tree scoring.
 
-The page is parsed to a tree in one pass; parts that are never article text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role or class name.  Each
-remaining text block passes points for its length and commas to its ancestors, less with each level; a container's
-points are discounted by its link density.  If the best container lies in an
-article or main, that whole element is kept, with those of its siblings that score near; elsewhere all siblings that
-are not link-dense are, whatever their tags.  The blocks are joined in page order.
+The page is parsed to a tree in one pass, in time that grows with its length only; parts that are never article text
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role
+or class name.  Each remaining text block passes points for its length and commas to its ancestors, half as many with
+each level; a container's points are discounted by its link density.  The article or main around the best
+container, or else that container, is kept whole, and so is what stands beside it unless that is mostly links.  The
+blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What stands in a tag: anything, with quoted values whole.
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 #: One attribute: its whole name, and its value in quotes or bare.
 _ATTR = re.compile(r"""([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -33,6 +35,8 @@ NAMES = frozenset(
 )
 #: Those that within an article mark its own head.
 TOPS = frozenset(("header", "masthead", "banner"))
+#: Words that may stand beside those of NAMES in a name within an article, which marks no junk if it holds any other.
+PLAIN = frozenset("area articles bar block body bottom box btn button buttons container content form group icons inline inner item items label left link links list more outer panel posts right section slot small stories text title top unit wrap wrapper".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,10 +45,6 @@ CONTAINERS = frozenset("article main section div body td blockquote".split())
 BONUS = {"article": 10.0, "main": 8.0}
 #: Parts of tables: what stands around the whole table is beside them too.
 PARTS = frozenset("td th tr tbody thead tfoot caption".split())
-#: Siblings of the article are kept from this share of the best score.
-SIBLING_SHARE = 0.2
-#: Ancestors that a block passes points to.
-LEVELS = 24
 
 
 class Node:
@@ -56,91 +56,135 @@ class Node:
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _left_out(tag: str, attrs: str, up: Node, names: bool) -> bool:
+def _tags(page: str):
+    """(start, end, closing, tag, attributes) of each tag in order; the tag of comments and declarations is None.
+
+    A quote that nothing closes makes all later tags end at their first >.  So does a tag that never ends otherwise.
+    """
+    pos, n, strict = 0, len(page), True
+    while (start := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            pos = n if end < 0 else end + 3
+            yield start, pos, "", None, ""
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start)
+            pos = n if end < 0 else end + 1
+            yield start, pos, "", None, ""
+            continue
+        m = _NAME.match(page, start)
+        if not m:
+            pos = start + 1
+            continue
+        end = _INSIDE.match(page, m.end()).end() if strict else n
+        if end >= n or page[end] != ">":
+            strict = False
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        pos = end + 1
+        # the caller may jump ahead, over the contents of a script
+        jump = yield start, pos, m[1], m[2].lower(), page[m.end() : end]
+        if jump is not None:
+            pos = jump
+            yield None
+
+
+def _names_junk(value: str, within: bool) -> bool:
+    """Whether a class or id names a part that is no article text; within an article only a name that says nothing else does."""
+    if not within:
+        return not NAMES.isdisjoint(_WORD.findall(value))
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        hit = words & NAMES
+        if hit - TOPS and words <= NAMES | PLAIN:
+            return True
+    return False
+
+
+def _left_out(tag: str, attrs: str, within: bool, names: bool) -> bool:
+    """within: the element lies in an article."""
     if tag in LEFT_OUT:
         return True
     if tag == "header":
-        return not _inside(up, "article")
+        return not within
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and names and not (tag in ("html", "body", "main") or tag == "article" and not _inside(up, "article")):
-            hit = NAMES.intersection(_WORD.findall(value))
-            if hit and (hit - TOPS or not _inside(up, "article")):
-                return True
-    return False
-
-
-def _inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
+        if name in ("class", "id") and names and not (tag in ("html", "body", "main") or tag == "article" and not within) and _names_junk(value, within):
             return True
-        node = node.up
     return False
 
 
-def parse(page: str, names: bool = True) -> Node:
-    """The tree of a page; text children are strings.  names: leave parts out by their class and id names too.  Broken markup is mended as browsers do: blocks end an open p."""
+def parse(page: str, names: bool = True) -> list[Node]:
+    """All nodes of a page's tree, parents first; text children are strings.  names: leave parts out by their class and id names too.  Broken markup is mended as browsers do: blocks end an open p."""
     root = at = Node("html", None, False)
-    seen, n = 0, len(page)
-    pos = 0
-    while pos <= n:
-        m = _TOKEN.search(page, pos)
-        start = m.start() if m else n
+    nodes, opened = [root], {"html": 1}  # how many elements of each tag are open
+    seen = 0
+
+    def leave(to: Node):
+        nonlocal at
+        while at is not to:
+            opened[at.tag] -= 1
+            at = at.up
+
+    tags = _tags(page)
+    for start, end, closing, tag, attrs in tags:
         if start > seen and not at.out:
             at.kids.append(html.unescape(page[seen:start]))
-        if not m:
-            break
-        pos = seen = m.end()
-        closing, tag, attrs = m.groups()
+        seen = end
         if tag is None:
             continue
-        tag = tag.lower()
         if closing:
-            x = at
+            x = at if opened.get(tag) else None
             while x is not None and x.tag != tag:
-                if tag not in BLOCKS and x.tag in BLOCKS:  # a stray inline end tag does not end a block
-                    x = None
-                    break
-                x = x.up
+                x = None if tag not in BLOCKS and x.tag in BLOCKS else x.up  # a stray inline end tag does not end a block
             if x is not None and x.up is not None:
-                at = x.up
+                leave(x.up)
             continue
         if tag in VOID:
             at.kids.append(Node(tag, at, at.out))
             continue
         if tag in BLOCKS:
             ends = ("p", tag) if tag == "li" else ("p", "dd", "dt") if tag in ("dd", "dt") else ("p",)
-            x = at
-            while x is not None and (x.tag not in BLOCKS or x.tag in ends):
+            last, x, left = None, at, sum(opened.get(e, 0) for e in ends)
+            while left and x is not None and (x.tag not in BLOCKS or x.tag in ends):
                 if x.tag in ends:
-                    at = x.up
+                    last, left = x, left - 1
                 x = x.up
-            if tag in ("html", "body") and _inside(at, tag) and (tag == "body" or at is root):
+            if last is not None:
+                leave(last.up)
+            if tag == "body" and opened.get("body") or tag == "html" and at is root:
                 continue
-        node = Node(tag, at, at.out or _left_out(tag, attrs, at, names))
+        node = Node(tag, at, at.out or _left_out(tag, attrs, bool(opened.get("article")), names))
         if not node.out:
             at.kids.append(node)
+            nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = seen = end.end() if end else n
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            seen = close.end() if close else len(page)
+            tags.send(seen)
             continue
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
             at = node
-    return root
+            opened[tag] = opened.get(tag, 0) + 1
+    if seen < len(page) and not at.out:
+        at.kids.append(html.unescape(page[seen:]))
+    return nodes
 
 
 def _blocks(root: Node):
     """(owner, text, linked characters) of each text block in page order."""
     held: list[str] = []
     linked = 0
-    owner = root
+    owners = [root]  # open blocks, the innermost last
 
     def flush():
         nonlocal held, linked
         text = " ".join("".join(held).split())
-        out = (owner, text, linked) if text else None
+        out = (owners[-1], text, linked) if text else None
         held, linked = [], 0
         return out
 
@@ -150,7 +194,7 @@ def _blocks(root: Node):
         if k == 0 and node.tag in BLOCKS:
             if out := flush():
                 yield out
-            owner = node
+            owners.append(node)
         if k < len(node.kids):
             stack.append((node, k + 1, link))
             kid = node.kids[k]
@@ -164,10 +208,7 @@ def _blocks(root: Node):
         elif node.tag in BLOCKS:
             if out := flush():
                 yield out
-            owner = node.up
-            while owner is not None and owner.tag not in BLOCKS:
-                owner = owner.up
-            owner = owner or root
+            owners.pop()
 
 
 def _article(best: Node) -> Node | None:
@@ -212,47 +253,33 @@ def extract(page: str | None) -> str:
     """The main text of a page: blocks joined by newlines; null, empty or without text: the empty string."""
     if not page:
         return ""
-    blocks = list(_blocks(parse(page))) or list(_blocks(parse(page, names=False)))  # a name on a wrapper of the whole page says nothing
-    nodes: dict[int, Node] = {}
-    for owner, text, linked in blocks:
-        points = (0.5 if owner.tag in HEADINGS else 1.0) + text.count(",") + text.count("、") + len(text) / 100
-        x, level = (owner if owner.tag in CONTAINERS else owner.up or owner), 1
-        while x is not None and level <= LEVELS:
-            nodes[id(x)] = x
-            x.points += points / 2 ** (level - 1)
-            x.chars += len(text)
-            x.linked += min(linked, len(text))
-            x, level = x.up, level + 1
-    if not nodes:
+    for names in (True, False):  # a name on a wrapper of the whole page says nothing
+        nodes = parse(page, names)
+        blocks = list(_blocks(nodes[0]))
+        if blocks:
+            break
+    else:
         return ""
-    score = {k: (x.points + BONUS.get(x.tag, 0.0)) * (1 - x.linked / max(1, x.chars)) for k, x in nodes.items()}
-    best = max((x for x in nodes.values() if x.tag in CONTAINERS), key=lambda x: score[id(x)], default=None) or next(iter(nodes.values()))
-    article = _article(best)
-    if article is None:
-        return "\n".join(_beside(best, blocks))
-    keep = {id(article)}
-    if article.up is not None:
-        for kid in article.up.kids:
-            if isinstance(kid, Node) and id(kid) in score and kid.tag in CONTAINERS and score[id(kid)] >= max(10.0, SIBLING_SHARE * score[id(best)]):
-                keep.add(id(kid))
-    out = []
-    kept: dict[int, bool] = {}
-    for owner, text, _ in blocks:
-        path, x = [], owner
-        while x is not None and id(x) not in keep and id(x) not in kept:
-            path.append(id(x))
-            x = x.up
-        inside = x is not None and (id(x) in keep or kept[id(x)])
-        kept.update(dict.fromkeys(path, inside))
-        if inside or owner.up is article.up is not None and owner.tag == "p" and len(text) >= 80:
-            out.append(text)
-    return "\n".join(out)
+    for owner, text, linked in blocks:
+        x = owner if owner.tag in CONTAINERS else owner.up or owner
+        x.points += (0.5 if owner.tag in HEADINGS else 1.0) + text.count(",") + text.count("、") + len(text) / 100
+        x.chars += len(text)
+        x.linked += min(linked, len(text))
+    for x in reversed(nodes):  # children before parents
+        if x.up is not None:
+            x.up.points += x.points / 2
+            x.up.chars += x.chars
+            x.up.linked += x.linked
+    score = lambda x: (x.points + BONUS.get(x.tag, 0.0)) * (1 - x.linked / max(1, x.chars))
+    best = max((x for x in nodes if x.tag in CONTAINERS and x.chars), key=score, default=nodes[0])
+    return "\n".join(_beside(_article(best) or best, blocks))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages(page_id, url, html); n_chars counts code points.
 
-    Null or empty html gives an empty text; very long pages are read whole; rows come back as they are, repeated
+    Null or empty html gives an empty text; very long pages, and deeply nested ones, are read whole; of containers of
+    one score the first is the best; rows come back as they are, repeated
     ones and null ids too; other columns are ignored.
     """
 

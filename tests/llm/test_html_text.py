@@ -75,3 +75,50 @@ def test_nulls_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (None, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_all_sections_of_an_article_and_what_stands_beside(words):
+    long = ", ".join(words(400, 5))
+    pages = {
+        f"<article><h1>T</h1><section><p>{long}</p></section><section><p>Short, closing section.</p></section><p>End.</p></article>": f"T\n{long}\nShort, closing section.\nEnd.",
+        f"<body><div>{long}</div><p>Closing line.</p></body>": f"{long}\nClosing line.",
+        f"<body><div class=content>{long}</div><div class=content>Second.</div></body>": f"{long}\nSecond.",
+        f"<article><p>{long}</p><div class='related-work'>Kept.</div><div class='related-posts'>x</div><div class=ad>y</div></article>": f"{long}\nKept.",
+    }
+    for page, text in pages.items():
+        assert html_text.extract(page) == text
+
+
+def test_generated_pages(words):
+    """Articles of several sections among parts that are left out, against what they were made of."""
+    import random
+
+    rng = random.Random(4)
+    line = lambda n: " ".join(words(rng.randrange(2, n)))
+    junk = ("<nav><a href=/a>%s</a></nav>", "<div class='ad box'>%s</div>", "<aside><p>%s</p></aside>", "<form><label>%s</label></form>", "<script>%s</script>", "<div id=comments><p>%s</p></div>", "<style>%s</style>", "<div role=alert>%s</div>", "<!-- %s -->")
+    for _ in range(200):
+        want, body = [], ""
+        for _ in range(rng.randrange(1, 5)):
+            part = ""
+            for _ in range(rng.randrange(1, 6)):
+                kind = rng.choice(("p", "h2", "pre", "blockquote", "li", "td"))
+                text = line(60)
+                want.append(text)
+                inner = text.replace(" ", rng.choice((" ", "\n ", "&#32;", " <b>", "</i> ")), 1)
+                block = f"<{kind}>{inner}</{kind}>"
+                part += {"li": f"<ul>{block}</ul>", "td": f"<table><tr>{block}</tr></table>"}.get(kind, block)
+                if rng.random() < 0.3:
+                    part += rng.choice(junk) % line(30)
+            body += f"<section>{part}</section>" if rng.random() < 0.7 else part
+        out = lambda: "".join(rng.choice(junk) % line(200) for _ in range(rng.randrange(4)))
+        page = f"<html><head><title>{line(9)}</title></head><body>{out()}<article>{body}</article>{out()}<footer>{line(30)}</footer></body></html>"
+        assert html_text.extract(page) == "\n".join(want)
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    for make in (lambda k: '<a href="x ' * k, lambda k: "<b>" * k + "<p>x" * k, lambda k: "<div>" * k + "x", lambda k: "<p>a</i></b>" * k):
+        began = time.time()
+        html_text.extract(make(3000))
+        assert time.time() - began < 3
