@@ -57,7 +57,7 @@ def test_links_spread_distrust_backward_and_trust_forward(spark):
     ]
     out = judged(spark, rows)
     edges = [("farm.com", "bad.net", 1), ("farm.com", "worse.net", 1), ("mixed.com", "bad.net", 1), ("mixed.com", "good.com", 1), ("mixed.com", "fine.com", 1), ("good.com", "fine.com", 1), ("bad.net", "farm.com", 1), ("bad.net", "good.com", 1), ("seed.org", "saved.com", 1), ("saved.com", "bad.net", 1)]
-    hosts = {h for e in edges for h in e[:2]} | {"worse.net"}
+    hosts = {h for e in edges for h in e[:2]}
     trust = rank({"seed.org": 1.0}, edges, hosts)
     distrust = rank({"bad.net": 1.0, "worse.net": 1.0}, [(b, a, n) for a, b, n in edges], hosts)
     for r in out.values():
@@ -76,3 +76,23 @@ def test_partly_blocked_host_keeps_its_other_pages(spark):
 def test_empty_and_repeated(spark):
     assert url_filter.judge(pages(spark, [(1, "", "")]).limit(0)).count() == 0
     assert url_filter.judge(pages(spark, [(None, "http://a.net/", None)] * 3)).count() == 3
+
+
+def test_relative_links_and_bases(spark):
+    rows = [
+        (1, "http://a.com/1", '<a href="/x">s</a><a href="//B.com/y">o</a><a href="mailto:x@c.com">m</a><a href="#top">t</a><a class=k href=rel?u=http://d.com>r</a>'),
+        (2, "http://b.com/1", '<base href="https://e.com/dir/"><a href="page">p</a><a data-href="http://f.com/" name=n>n</a>'),
+        (3, "http://c.com/1", None),
+    ]
+    pages_of = pages(spark, rows)
+    host, path = url_filter.host_and_path(pages_of["url"])
+    got = {(r["src"], r["dst"], r["n"]) for r in url_filter.host_edges(pages_of.select(host.alias("host"), "html")).collect()}
+    assert got == {("a.com", "b.com", 1), ("b.com", "e.com", 1)}
+
+
+def test_slow_cycle_reaches_its_fixed_point(spark):
+    # two hosts that give each other all their links: distrust 0.15 / (1 - 0.85 ** 2) at the seed
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    out = judged(spark, [(1, "http://bad.net/", link("two.com")), (2, "http://two.com/", link("bad.net"))])
+    assert abs(out[1]["distrust"] - 0.15 / (1 - 0.85**2)) < 1e-6 and abs(out[2]["distrust"] - 0.85 * 0.15 / (1 - 0.85**2)) < 1e-6
+    assert out[2]["verdict"] == "block"
