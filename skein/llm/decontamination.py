@@ -5,7 +5,8 @@ words (some ignored) become seed hashes.  The seeds of all documents meet those
 meeting fixes an alignment of the item to the document, and the words of that alignment are compared one by
 one.  A document is contaminated if, in some alignment, a window of min(n, max(13, n / 2)) consecutive words of the item's n
 words has at least four fifths of them equal (the others are substituted), or if min(n, 13) consecutive words are all
-equal, however long the item: an excerpt of a long item counts as one of a short item does.
+equal, however long the item: an excerpt of a long item counts as one of a short item does.  An item of fewer than
+LEAST_WORDS words is no evidence within other text: it counts where a document holds its words and nothing else.
 
 The masks lose nothing: every window of at least five words with at most a fifth of its words substituted holds a
 place where one of the masks sees only equal words (checked for lengths 5 to 25; a longer window contains such a one).
@@ -79,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, equal_words) of documents(doc_id, text) and benchmark(item_id, text).
 
     One row per document and item that overlap as described above; equal_words: the most equal words of an alignment.
-    Null and blank texts overlap with nothing, items of under five words are no evidence and are left out, repeated
+    Null and blank texts overlap with nothing, items of under five words only with documents of the same words, repeated
     rows count once, a null id is an id like others, empty tables give no rows, other columns are ignored.
     """
     size = F.size("words")
@@ -87,7 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = F.lit(LONG_SEEDS)
     for n, x in LEAST_SEEDS.items():
         least = F.when(window == n, x).otherwise(least)
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(size >= LEAST_WORDS).distinct().select("*", window.alias("window"), least.alias("seeds")))
+    given = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(size > 0).distinct().select("*", window.alias("window"), least.alias("seeds")))
+    items, short = given.where(size >= LEAST_WORDS), given.where(size < LEAST_WORDS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(alignments(docs.select("doc_id", words_of(F.col("text")).alias("words")), items))
     # documents are read again only where an alignment was found; ids may be null
@@ -98,7 +100,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = pairs.select("doc_id", "item_id", "window", F.size("words").alias("n"), F.array_join(same, "").alias("equal"))
     verbatim = F.contains("equal", F.repeat(F.lit("1"), F.least("n", F.lit(WINDOW))))
     enough = verbatim | F.exists(F.sequence(F.lit(1), F.col("n") - F.col("window") + 1), lambda i: F.length(F.replace(F.substr("equal", i, F.col("window")), F.lit("0"), F.lit(""))) * WHOLE >= F.col("window") * EQUAL)
-    return pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("n").alias("item_words"), F.max(F.length(F.replace("equal", F.lit("0"), F.lit("")))).alias("equal_words"))
+    out = pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("n").alias("item_words"), F.max(F.length(F.replace("equal", F.lit("0"), F.lit("")))).alias("equal_words"))
+    if short.isEmpty():
+        return out
+    whole = docs.select("doc_id", words_of(F.col("text")).alias("words")).where(size < LEAST_WORDS).join(short.select("item_id", "words"), "words")
+    return out.unionByName(whole.select("doc_id", "item_id", size.alias("item_words"), size.alias("equal_words")).distinct())
 
 
 __all__ = ["contaminated", "alignments", "seeds", "words_of"]

@@ -88,3 +88,10 @@ def test_empty_null_and_repeated(spark, documents, words):
     assert run(spark, documents, [], [(1, item)]) == {}
     assert run(spark, documents, [(1, item)], []) == {}
     assert run(spark, documents, [(1, item), (1, item), (None, item)], [(1, item), (1, item), (None, None)]) == {(1, 1): (15, 15), (None, 1): (15, 15)}
+
+
+def test_short_items_count_where_they_are_the_whole_document(spark, documents):
+    items = spark.createDataFrame([(1, "Two words"), (2, "one"), (3, " "), (4, None), (5, "a b c d")], "item_id long, text string")
+    docs = documents([(1, "two  WORDS\n"), (2, "just two words"), (3, "one"), (4, ""), (5, None), (6, "a b c d"), (6, "a b c d")])
+    got = sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
+    assert got == [(1, 1, 2, 2), (3, 2, 1, 1), (6, 5, 4, 4)]
