@@ -5,8 +5,8 @@ thousands of copies cost one entry.  The distinct values are sorted by populatio
 its four 16-bit parts) and packed into tiles.  Every pair of tiles is compared exactly by numpy exclusive-or
 and bit counts, except pairs whose population counts already differ beyond the radius: the L1 distance of the
 part counts is a lower bound of the Hamming distance.  A pair of tiles returns a spanning forest of the links it
-found, never all pairs.  Tiles are dealt to `groups` groups and each pair of groups is one task; the number of
-groups grows with the data, so a task's memory does not.
+found, never all pairs.  Tiles are dealt to groups of one population count each, and each pair of groups whose counts are
+within the radius is one task; the number of groups grows with the data, so a task's memory does not.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _tiles(classes: DataFrame, rows: int) -> DataFrame:
-    """(tile, pc, low, high, fps, reps): packed runs of the classes in order of their population counts."""
+    """(tile, pc, fps, reps): packed runs of classes of one population count, in order of those of their parts."""
     part = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     keyed = classes.withColumn("key", F.concat(*[F.char(x + F.lit(33)) for x in (F.bit_count("fp"), part(0), part(1), part(2), part(3))]))
     n = max(1, -(-rows // (4 * TILE)))
@@ -83,7 +83,7 @@ def _tiles(classes: DataFrame, rows: int) -> DataFrame:
         if held:
             yield from _packed(held)
 
-    return keyed.repartitionByRange(n, "key").sortWithinPartitions("key").select("fp", "rep").mapInArrow(pack, "tile string, fps binary, reps binary")
+    return keyed.repartitionByRange(n, "key").sortWithinPartitions("key").select("fp", "rep").mapInArrow(pack, "tile string, pc int, fps binary, reps binary")
 
 
 def _packed(held):
@@ -92,9 +92,9 @@ def _packed(held):
     fps, reps = np.concatenate([x for x, _ in held]).view(np.uint64), np.concatenate([x for _, x in held])
     pc = np.bitwise_count(fps)
     cuts = [0, *(np.flatnonzero(np.diff(pc)) + 1).tolist(), len(fps)]
-    rows = [(uuid.uuid4().hex, fps[i : min(i + TILE, b)].tobytes(), reps[i : min(i + TILE, b)].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) for i in range(a, b, TILE)]
+    rows = [(uuid.uuid4().hex, int(pc[a]), fps[i : min(i + TILE, b)].tobytes(), reps[i : min(i + TILE, b)].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) for i in range(a, b, TILE)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["tile", "fps", "reps"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["tile", "pc", "fps", "reps"])
 
 
 class Forest:
@@ -152,14 +152,22 @@ def compare(tiles: list[tuple[int, np.ndarray]], radius: int) -> list[tuple[int,
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): representatives of fingerprints within the radius; a spanning forest per pair of tile groups."""
-    spark = classes.sparkSession
-    rows = classes.count()
-    groups = max(LEAST_GROUPS, -(-rows // GROUP_ROWS))
+    at = classes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()  # 65 counts at most
+    rows = sum(r["n"] for r in at)
+    most = max(1, min(GROUP_ROWS, -(-rows // LEAST_GROUPS)))
+    several, first, groups = {}, {}, 0
+    for r in sorted(at, key=lambda r: r["pc"]):
+        several[r["pc"]], first[r["pc"]] = -(-r["n"] // most), groups
+        groups += several[r["pc"]]
+    if not groups:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    near = {pc: [g for other in first if abs(other - pc) <= radius for g in range(first[other], first[other] + several[other])] for pc in first}
     tiles = stored(_tiles(classes, rows))
-    g = F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")
+    # a few numbers a count: first group, number of groups, and the groups that it meets
+    per_count = F.broadcast(classes.sparkSession.createDataFrame([(pc, first[pc], several[pc], near[pc]) for pc in first], "pc int, first int, several int, near array<int>"))
     cells = (
-        tiles.withColumn("g", g)
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        tiles.join(per_count, "pc")
+        .select((F.col("first") + F.pmod(F.xxhash64("tile"), F.col("several"))).cast("int").alias("g"), F.explode("near").alias("k"), "fps", "reps")
         .select(F.least("g", "k").alias("i"), F.greatest("g", "k").alias("j"), (F.col("g") > F.col("k")).cast("int").alias("side"), "fps", "reps")
     )
 
@@ -173,7 +181,6 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         out = np.array(compare(tiles, radius), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": reps[out[:, 0]], "b": reps[out[:, 1]]})
 
-    del spark
     return cells.groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
