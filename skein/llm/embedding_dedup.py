@@ -10,6 +10,7 @@ its links, so neither pairs nor vectors are gathered.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -24,6 +25,8 @@ COSINE = 0.98
 LEADING = 8
 BLOCK, LEAF = 512, 64
 _SLACK = 1e-9
+#: Cosines this close to the bound are computed exactly.
+BORDER = 1e-12
 
 
 def usable() -> F.Column:
@@ -125,7 +128,13 @@ def ego_join(u: np.ndarray, p: np.ndarray, v: np.ndarray, q: np.ndarray, same: b
         if (gap * gap).sum() > eps * eps:
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            i, j = np.nonzero(u[a:b] @ v[c:d].T >= cosine)
+            dots = u[a:b] @ v[c:d].T
+            i, j = np.nonzero(dots >= cosine - BORDER)
+            # a product's last bits depend on the shape of the blocks: near the bound they are taken anew, in one order
+            near = np.flatnonzero(dots[i, j] < cosine + BORDER)
+            if len(near):
+                exact = np.array([math.fsum(x) for x in u[a + i[near]] * v[c + j[near]]])
+                i, j = np.delete(i, near[exact < cosine]), np.delete(j, near[exact < cosine])
             if same and (a, b) == (c, d):
                 i, j = i[i < j], j[i < j]
             if len(i):
@@ -182,8 +191,14 @@ def _links(classes: DataFrame, dim: int, cosine: float, leading: int) -> DataFra
                 a, b, edge = _meet(row, row["block_a"] == row["block_b"], cosine, eps, leading)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(edge)], ["a", "b", "edge"])
 
-    classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return stored(meetings.mapInArrow(run, "a long, b long, edge boolean"))
+    spark, key = classes.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    # a row holds two blocks: as many as fit in 64 MB
+    spark.conf.set(key, str(max(1, min(16, (64 << 20) // (2 * BLOCK * (dim + leading) * 8)))))
+    try:
+        return stored(meetings.mapInArrow(run, "a long, b long, edge boolean"))
+    finally:
+        spark.conf.set(key, before)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, leading: int = LEADING) -> DataFrame:
