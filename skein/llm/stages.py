@@ -1,7 +1,7 @@
 """Stages of the corpus pipeline.  All but the last return the columns of documents.
 
-Rows without a doc_id cannot be named by results keyed by it: the stages for near-duplicates and contamination let
-them pass; the others judge every row by itself.
+Rows without a doc_id cannot be named by results keyed by it: the stages for near-duplicates and contamination name
+them by their texts for the while, by numbers above all others; the other stages judge every row by itself.
 """
 
 from __future__ import annotations
@@ -16,15 +16,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; the others come through as they are."""
+    """Documents that the quality classifier rejects go; the others come through as they are, null texts and repeated rows too."""
     return quality.scored(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """The columns of documents and `key`: doc_id, or else a number of 2^62 and more from the text."""
+    of_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), of_text).alias("key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest doc_id; of its repeated rows, one."""
-    keep = stored(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null").select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each SimHash group stays, that of the smallest doc_id (rows without one come last).
+
+    Rows of one doc_id and one text are one document, of which one row stays; those of one doc_id and other texts all do.
+    """
+    rows = named(docs)
+    keep = stored(simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    return rows.join(keep, "key", "left_semi").dropDuplicates(["key", "text"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +44,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    hit = stored(decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that overlap a benchmark item go, all rows of such a doc_id."""
+    rows = named(docs)
+    hit = stored(decontamination.contaminated(rows.select(F.col("key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct())
+    return rows.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each remaining text, and whether they decode to it."""
+    """Ids of each remaining text, and whether they decode to it.  Rows are encoded as often as they come; a null text has no ids."""
     return sentencepiece.round_trip(docs)
 
 
