@@ -9,14 +9,43 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extensions and the language each stands for.
+#: File extensions and the language each stands for; any other is "other".
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java",
-    "kt": "kotlin", "swift": "swift", "rb": "ruby", "php": "php", "cs": "csharp", "cpp": "cpp", "c": "c", "h": "c", "sql": "sql", "sh": "shell", "html": "html", "css": "css",
-    "json": "json", "yaml": "yaml", "md": "markdown",
-}
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".gd": "gdscript",
+    ".py": "python",
+    ".rs": "rust",
+    ".go": "go",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".swift": "swift",
+    ".c": "c",
+    ".cpp": "cpp",
+    ".h": "c-header",
+    ".hpp": "cpp-header",
+    ".md": "markdown",
+    ".sql": "sql",
+    ".sh": "bash",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".tres": "godot-resource",
+    ".tscn": "godot-scene",
+    ".gdshader": "godot-shader",
+}
 #: Words that say nothing about a task.
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "not", "but", "you", "your", "all", "can", "has", "have", "will", "use", "add", "fix", "new", "when", "what", "how", "why", "our", "its")
+STOPWORDS = (
+    "the and for with this that from into your you our its "
+    "was are has had not but all any can out via per off "
+    "add use fix get set new run let how why when make need "
+    "want should would could then than also only just work flow"
+).split()
+#: Whole numbers that a double holds exactly end here.
+SAFE = (1 << 53) - 1
 
 
 def trigrams(text: Column) -> Column:
@@ -90,8 +119,9 @@ def tokens(text: Column, least: int = 3) -> Column:
 
 
 def task_tokens(text: Column, most: int = 10) -> Column:
-    """The first distinct tokens of a task that are no stopwords."""
-    return F.slice(F.array_except(tokens(text), F.array(*map(F.lit, STOPWORDS))), 1, most)
+    """The first distinct tokens of a task (letters a to z and digits) that are no stopwords."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    return F.slice(F.array_except(words, F.array(*map(F.lit, STOPWORDS))), 1, most)
 
 
 def token_fraction(query: Column, text: Column) -> Column:
@@ -117,16 +147,17 @@ def first_sentence(text: Column) -> Column:
     return F.when(hit == "", text).otherwise(hit)
 
 
-def middle_trim(text: Column, size: int) -> Column:
-    """Head and tail of a text that is too long."""
-    half = size // 2
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, half), F.lit("\n…\n"), F.right(text, F.lit(size - half))))
+def middle_trim(items: Column, most: int) -> Column:
+    """Head and tail of an array of too many items; the head has the odd one."""
+    head = -(-most // 2)
+    return F.when(F.size(items) <= most, items).otherwise(F.concat(F.slice(items, 1, head), F.slice(items, F.size(items) - (most - head) + 1, most - head)))
 
 
 def language_of(path: Column) -> Column:
-    """Language by extension; unknown: null."""
+    """Language by extension, what follows the last dot of a file's name unless that is its first character; unknown: other."""
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.get(F.transform(F.array(F.lower(F.substring_index(path, ".", -1))), lambda e: F.try_element_at(table, e)), F.lit(0))
+    ext = F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
+    return F.coalesce(F.try_element_at(table, ext), F.lit("other"))
 
 
 def commit_type(message: Column) -> tuple[Column, Column]:
@@ -156,5 +187,16 @@ def host(url: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """A count for display: millions as such, anything invalid as ?."""
-    return F.when(n.isNull() | (n < 0), "?").when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).otherwise(n.cast("string"))
+    """A count for display: a million and more as such, what is no count as ?."""
+    return F.when(n.isNull() | (n < 0) | (n > SAFE) | (n != F.floor(n)), "?").when(n >= 1_000_000, "≥1M").otherwise(n.cast("long").cast("string"))
+
+
+def minute(at: Column) -> Column:
+    """A moment to the minute, in UTC."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def duration_minutes(start: Column, end: Column) -> Column:
+    """Whole minutes of a span, one at least."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.greatest(F.lit(1), F.floor(micros / 60_000_000 + 0.5)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,9 @@ def strict_total(rows: DataFrame, value: str, order: str, key: str, group: str)
 def open_notes(notes: DataFrame) -> DataFrame:
     """The latest note of each thread and author."""
     return notes.groupBy("thread", "author").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+
+
+def without_repeats(rows: DataFrame, group: str, order: list[str], key: str) -> DataFrame:
+    """Rows whose key is not that of the row before (A20): a cumulative value that was reported again."""
+    before = F.lag(key).over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(key))).drop("_b")

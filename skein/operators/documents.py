@@ -31,7 +31,8 @@ def chunk(text: str, cap: int = CHUNK_CHARS) -> list[tuple[int, int, int, str, s
         if m:
             mark, rest = m.groups()
             if not fence:
-                fence = mark
+                if mark[0] == "~" or "`" not in rest:  # what follows backticks holds none
+                    fence = mark
             elif mark[0] == fence[0] and len(mark) >= len(fence) and not rest.strip():
                 fence = ""
             continue

@@ -43,6 +43,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
         edges = edges.where(F.col("relation") == relation)
     ends = ("from_node", "to_node") if direction == "out" else ("to_node", "from_node")
     steps = both_ways(edges) if direction == "both" else edges.select("id", "relation", F.col(ends[0]).alias("here"), F.col(ends[1]).alias("there"))
+    steps = settled(steps)  # what makes the edges is computed once, not for each level
     seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"))
     front = seen
     for hop in range(1, hops + 1):
@@ -101,26 +102,37 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: list[S
     """Ordered typed traversal (G6): (nodes found with their step, edges kept).
 
     Each step takes edges from the last step's nodes by (relation, from, to, id); an allowance over all steps is charged
-    for every edge before duplicates go; nodes found once are not expanded again; edges stay only between returned nodes.
-    Without an allowance nothing is cut and nothing is counted.
+    for every edge before duplicates go, and ends the traversal when it is spent; nodes found once are not expanded again; edges
+    stay only between returned nodes.  Taken in both directions (G7), an edge leads to its end that is not in the frontier, or
+    to its to_node if both are, and is charged once.  Without an allowance nothing is cut and nothing is counted.  Levels are stored.
     """
     if not 1 <= len(steps) <= 3:
         raise ValueError("one to three steps")
     seen = seeds.select("id", F.lit(0).alias("step"))
     front, kept, left = seeds.select("id"), None, allowance
     for n, step in enumerate(steps, 1):
+        if left is not None and left <= 0:
+            break
         own = edges.where(F.col("relation").isin(*step.relations))
-        outward = own.select("*", F.col("from_node").alias("here"), F.col("to_node").alias("there"))
-        inward = own.select("*", F.col("to_node").alias("here"), F.col("from_node").alias("there"))
-        both = {"out": outward, "in": inward}.get(step.direction, None)
-        both = outward.unionByName(inward) if both is None else both
-        cand = both.join(front.select(F.col("id").alias("here")), "here", "left_semi")
+        near = front.select("id", F.lit(True).alias("_in"))
+        if step.direction == "both":
+            ends = [near.select(F.col("id").alias(end), F.col("_in").alias(f"_{end}")) for end in ("from_node", "to_node")]
+            # an edge with one end in the frontier is found from there; the other end is looked up
+            a = own.join(ends[0], "from_node").withColumn("there", F.col("to_node"))
+            b = own.join(ends[1], "to_node").join(front.select(F.col("id").alias("from_node")), "from_node", "left_anti").withColumn("there", F.col("from_node"))
+            cand = a.select(*edges.columns, "there").unionByName(b.select(*edges.columns, "there"))
+        else:
+            here, there = ("from_node", "to_node") if step.direction == "out" else ("to_node", "from_node")
+            cand = own.join(front.select(F.col("id").alias(here)), here, "left_semi").withColumn("there", F.col(there))
         if step.kinds:
             cand = cand.join(nodes.where(F.col("kind").isin(*step.kinds)).select(F.col("id").alias("there")), "there", "left_semi")
+        cand = cand.select(*edges.columns, "there")
+        if left is not None:
+            cand = cand.orderBy("relation", "from_node", "to_node", "id").limit(left)
+        cand = settled(cand)
         if left is not None:
-            cand = cand.orderBy("relation", "from_node", "to_node", "id").limit(left + 1).cache()
-            left = max(0, left - cand.count())  # at most the allowance and one
-        new = cand.select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti")
+            left -= cand.count()
+        new = settled(cand.select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.unionByName(new.select("id", F.lit(n).alias("step")))
         kept = cand if kept is None else kept.unionByName(cand)
         front = new
@@ -171,6 +183,83 @@ def risk(kind: Column, relations: Column, repos: Column, dependents: Column, rea
     return F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW")
 
 
+def risk_reasons(kinds: Column, relations: Column, repos: Column, dependents: Column, reasoning: Column, soft: Column, capped: Column, cap: int, stale: Column, unresolved: Column) -> Column:
+    """Why a change has its risk class (G5), in one fixed order, joined by semicolons."""
+    # The wording of the reasons.
+    boundary = F.filter(F.array_distinct(kinds), lambda k: k.isin(*BOUNDARY_KINDS))
+    crossed = F.filter(F.array_distinct(relations), lambda r: r.isin(*BOUNDARY_RELATIONS))
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    several = F.size(F.array_distinct(relations))
+    parts = [
+        F.when(capped, text("traversal capped at ", F.lit(cap), " edges")),
+        F.when(F.size(boundary) > 0, text("public boundary affected: ", F.array_join(boundary, ", "))),
+        F.when(F.size(crossed) > 0, text("boundary relation traversed: ", F.array_join(crossed, ", "))),
+        F.when(repos > 1, text("spans ", repos, " configured repositories")),
+        F.when(dependents >= 20, text(dependents, " dependents (>= 20)")).when(dependents >= 5, text(dependents, " dependents (>= 5)")),
+        F.when(several >= 2, text(several, " distinct dependency relations (>= 2)")),
+        F.when(reasoning > 0, text(reasoning, " linked decisions/lessons")),
+        F.when(F.size(soft) > 0, text("non-extracted edge confidence: ", F.array_join(soft, ", "))),
+        F.when(stale, F.lit("a returned code node is stale or unattributed")),
+        F.when(unresolved, F.lit("repository HEAD could not be established")),
+    ]
+    said = F.array_compact(F.array(*parts))
+    return F.when(F.size(said) == 0, "no boundary, cap, reasoning or staleness signal").otherwise(F.array_join(said, "; "))
+
+
+def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, records: DataFrame, hops: int = 2, stale: DataFrame | None = None) -> DataFrame:
+    """(id, dependents, relations, records, risk, confidence, reasons): what a change of each of seeds(id) reaches.
+
+    Dependents are found by incoming edges, for all seeds at once; records(node, record, valid) are decisions and lessons on the
+    seed or what depends on it; stale(id) are nodes whose source has changed.
+    """
+    found = settled(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")))
+    front, rows = found, None
+    for hop in range(1, hops + 1):
+        step = edges.join(front.select("seed", F.col("id").alias("to_node")), "to_node").select("seed", F.col("from_node").alias("id"), "relation", "confidence")
+        step = settled(step.join(found.select("seed", "id"), ["seed", "id"], "left_anti"))
+        rows = step if rows is None else rows.unionByName(step)
+        front = step.select("seed", "id").distinct().withColumn("hop", F.lit(hop))
+        found = settled(found.unionByName(front))
+    of_edges = rows.groupBy("seed").agg(F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set(F.when(F.col("confidence") != "EXTRACTED", F.col("confidence")))).alias("soft"))
+    placed = found.join(nodes.select("id", "kind"), "id")
+    of_nodes = placed.groupBy("seed").agg(F.sum(F.when(F.col("hop") > 0, 1).otherwise(0)).alias("dependents"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    known = found.join(records.where("valid").select(F.col("node").alias("id"), "record"), "id").groupBy("seed").agg(F.count_distinct("record").alias("records"))
+    out = of_nodes.join(of_edges, "seed", "left").join(known, "seed", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"relations": F.coalesce("relations", none), "soft": F.coalesce("soft", none), "records": F.coalesce("records", F.lit(0))})
+    if stale is not None:
+        old = found.join(stale.select("id"), "id", "left_semi").select("seed").distinct().withColumn("_old", F.lit(True))
+        out = out.join(old, "seed", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    else:
+        out = out.withColumn("_old", F.lit(False))
+    high = F.exists("kinds", lambda k: k.isin(*BOUNDARY_KINDS)) | F.exists("relations", lambda r: r.isin(*BOUNDARY_RELATIONS)) | (F.col("dependents") >= 20)
+    medium = (F.col("dependents") >= 5) | (F.size("relations") >= 2) | (F.col("records") > 0) | (F.size("soft") > 0) | F.col("_old")
+    no = F.lit(False)
+    return out.select(
+        F.col("seed").alias("id"),
+        "dependents",
+        "relations",
+        "records",
+        F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW").alias("risk"),
+        F.when(F.col("_old"), "LIMITED").otherwise("SUFFICIENT").alias("confidence"),
+        risk_reasons(F.col("kinds"), F.col("relations"), F.lit(1), F.col("dependents"), F.col("records"), F.col("soft"), no, 0, F.col("_old"), no).alias("reasons"),
+    )
+
+
+def named_seeds(nodes: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """(id): nodes that a query starts at (G8): that of the id, else those of the name, else those whose name holds it, by name and id."""
+    rank = F.when(F.col("id") == text, 0).when(F.lower("name") == text.lower(), 1).when(F.instr(F.lower("name"), F.lit(text.lower())) > 0, 2)
+    hit = nodes.withColumn("_r", rank).where("_r is not null").orderBy("_r", "name", "id").limit(most)
+    first = hit.select("id", "_r").groupBy("_r").agg(F.collect_list("id").alias("ids")).orderBy("_r").limit(1)
+    return first.select(F.explode("ids").alias("id"))
+
+
+def linked_tables(nodes: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(from_node, to_node): logical tables and the physical ones of the configured prefix (G20, J13, J14): prefix(p) is one row."""
+    logical = nodes.where("kind = 'wp_table'").crossJoin(F.broadcast(prefix.limit(1))).select(F.col("id").alias("from_node"), F.concat("p", "name").alias("name"))
+    return logical.join(nodes.where("kind = 'table'").select(F.col("id").alias("to_node"), "name"), "name").select("from_node", "to_node")
+
+
 def export(nodes: DataFrame, edges: DataFrame, most_nodes: int = 25_000, most_edges: int = 60_000) -> tuple[DataFrame, DataFrame]:
     """The largest part of a graph that may be drawn (G12): nodes by degree, then id; edges between them by id."""
     top = nodes.join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "id").limit(most_nodes)

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evidence import latest_holder, suffix_matches
@@ -24,11 +24,11 @@ def superseded(rows: DataFrame, by: DataFrame, now: str) -> DataFrame:
 def cited(rows: DataFrame, citations: DataFrame) -> DataFrame:
     """Effects of citations(cited_id, relation, source) on rows(id, score, reinforcement_count, superseded).
 
-    Extends reinforces once for each citation, one step of score in all; supersedes applies where a person said so and is proposed else.
+    Extends reinforces once for each citation; supersedes applies where a person said so and is proposed else.
     """
     c = citations.groupBy(F.col("cited_id").alias("id")).agg(F.count_if(F.col("relation") == "extends").alias("_e"), F.bool_or((F.col("relation") == "supersedes") & (F.col("source") == "operator")).alias("_s"), F.bool_or((F.col("relation") == "supersedes") & (F.col("source") != "operator")).alias("_p"))
     out = rows.join(c, "id", "left").withColumns({k: F.coalesce(k, F.lit(v)) for k, v in (("_e", 0), ("_s", False), ("_p", False))})
-    score = F.when(F.col("_e") > 0, reinforced(F.col("score"))).otherwise(F.col("score"))
+    score = F.when(F.col("_e") > 0, reinforced(F.col("score"), F.col("_e"))).otherwise(F.col("score"))
     return out.select("id", score.alias("score"), (F.col("reinforcement_count") + F.col("_e")).alias("reinforcement_count"), (F.col("superseded") | F.col("_s")).alias("superseded"), (F.col("_p") & ~F.col("_s")).alias("proposed"))
 
 
@@ -119,3 +119,31 @@ def bounded_cue(text: str, count, most: int = 512) -> str:
 def hit_ratio(cached: Column, total: Column) -> Column:
     """Share of cached tokens; null without any."""
     return F.try_divide(cached, total)
+
+
+def globalized(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows that belong to all projects from now on."""
+    hit = ids.select("id").distinct().withColumn("_g", F.lit(True))
+    return rows.join(hit, "id", "left").withColumn("project", F.when(F.col("_g").isNull(), F.col("project"))).drop("_g").select(*rows.columns)
+
+
+def share_states(events: DataFrame) -> DataFrame:
+    """(share_id, project, state, events) from requests(share_id, project, action, at) (W31): a request that changes nothing leaves no event."""
+    w = Window.partitionBy("share_id", "project").orderBy("at")
+    kept = events.withColumn("_b", F.lag("action").over(w)).where("_b is null or _b <> action")
+    return kept.groupBy("share_id", "project").agg(F.max_by("action", "at").alias("state"), F.count(F.lit(1)).cast("int").alias("events"))
+
+
+def posted_reviews(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """(plan, review, pass, findings, recurring) of reviews(plan, review, at) that have findings(review, recurs)."""
+    n = findings.groupBy("review").agg(F.count(F.lit(1)).alias("findings"), F.count_if("recurs").alias("recurring"))
+    placed = reviews.withColumn("pass", F.row_number().over(Window.partitionBy("plan").orderBy("at", "review")))
+    return placed.join(n, "review").select("plan", "review", "pass", "findings", "recurring")
+
+
+def changed_facts(facts: DataFrame, added: DataFrame, promote: DataFrame, retract: DataFrame) -> DataFrame:
+    """facts(id, project, retracted) after additions (once each), promotions to all projects and retractions."""
+    rows = facts.unionByName(added.join(facts.select("id"), "id", "left_anti"))
+    mark = lambda d, c: d.select("id").distinct().withColumn(c, F.lit(True))
+    out = rows.join(mark(promote, "_p"), "id", "left").join(mark(retract, "_r"), "id", "left")
+    return out.select("id", F.when(F.col("_p").isNull(), F.col("project")).alias("project"), (F.col("retracted") | F.coalesce("_r", F.lit(False))).alias("retracted"))

@@ -116,6 +116,29 @@ def similar_texts(rows: DataFrame, least: float, key: str = "id", text: str = "t
     return pairs.join(l, "_ka").join(r, "_kb").where("id_a < id_b").select("id_a", "id_b", "score")
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, a: str = "new_id", a_text: str = "_rule", b: str = "id", b_text: str = "rule") -> DataFrame:
+    """(a, b, score) of texts of two tables with a trigram similarity of at least so much.
+
+    A prefix filter as in similar_texts, in the order of the trigrams' rarity among the right texts.
+    """
+    sets = lambda d, k, t: d.select(k, trigrams(F.col(t)).alias("_g")).where(F.size("_g") > 0)
+    l, r = sets(left, a, a_text), sets(right, b, b_text)
+    often = r.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+
+    def probe(d, k):
+        order = d.select(k, F.explode("_g").alias("_t")).join(often, "_t", "left").groupBy(k).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_t"))).alias("_o"))
+        n = F.size("_o")
+        return order.select(k, F.explode(F.slice("_o", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("_p")).select(k, F.col("_p._t").alias("_t"))
+
+    cand = probe(l, a).join(probe(r, b), "_t").select(a, b).distinct()
+    return cand.join(l.withColumnRenamed("_g", "_ga"), a).join(r.withColumnRenamed("_g", "_gb"), b).withColumn("score", jaccard(F.col("_ga"), F.col("_gb"))).where(F.col("score") >= least).select(a, b, "score")
+
+
+def current_first(rows: DataFrame, fresh: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """The best rows whose source is current (R20): stale ones are passed over, not counted."""
+    return rows.join(fresh.select(key), key, "left_semi").orderBy(F.desc("score"), key).limit(limit)
+
+
 def by_keywords(rows: DataFrame, words: list[str], every: bool, keywords: str = "keywords") -> DataFrame:
     """Rows that hold any or every one of the words."""
     want = F.array(*map(F.lit, words))

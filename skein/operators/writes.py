@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import first_of
+from ..functions.vectors import cosine
+from .relational import first_of, top_of
+from .retrieval import similar_pairs
 
 #: The vocabulary of a code graph.
 CONFIDENCES = ("EXTRACTED", "INFERRED", "LIMITED")
@@ -35,7 +37,45 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new whose key is not there yet, the first of each (W9, W28): what an idempotent append adds."""
-    return first_of(new, keys, [F.xxhash64(*new.columns)]).join(old.select(*keys), keys, "left_anti").select(*new.columns)
+    return first_of(new.withColumn("_at", F.monotonically_increasing_id()), keys, [F.col("_at")]).join(old.select(*keys), keys, "left_anti").select(*new.columns)
+
+
+def upsert_guarded(old: DataFrame, new: DataFrame, keys: list[str], project: str = "project", keep: list[str] = ()) -> DataFrame:
+    """An upsert (W11) that fails if a row of new would take over a key of another project."""
+    theirs = old.select(*keys, F.col(project).alias("_p")).join(new.select(*keys, F.col(project).alias("_q")), keys).where(~F.col("_p").eqNullSafe(F.col("_q")))
+    require_none(theirs, "a row of another project")
+    return upsert(old, new, keys, keep)
+
+
+def add_edges(old: DataFrame, new: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("from_kind", "from_id", "to_kind", "to_id", "relation")) -> DataFrame:
+    """Links after an addition (G14): old and new have keys and a note; both ends must be known(kind, id), but for topics.
+
+    A link that is there already keeps its note unless the new one has one.
+    """
+    for end in ("from", "to"):
+        ends = new.where(F.col(f"{end}_kind") != "topic").select(F.col(f"{end}_kind").alias("kind"), F.col(f"{end}_id").alias("id"))
+        require_none(ends.join(known, ["kind", "id"], "left_anti"), "an end that is not known")
+    n = new.groupBy(*keys).agg(F.max("note").alias("_note"))
+    both = old.select(*keys, "note").join(n, list(keys), "full")
+    return both.select(*keys, F.coalesce("_note", "note").alias("note"))
+
+
+def dedup_match(rows: DataFrame, incoming: DataFrame, model: str, least_cosine: float = 0.66, least_trigram: float = 0.5, alone_trigram: float = 0.8, most: int = 5) -> DataFrame:
+    """(new_id, id, by): the row that each of incoming(new_id, rule, vector) repeats, if any.
+
+    rows(id, rule, embedding, embedding_model) are active.  The `most` best by trigrams, from least_trigram on, are candidates.
+    Those of the current model match by cosine only, and one that it rejects is not taken by trigrams; the best of another
+    model matches by trigrams from alone_trigram on.  Without a vector the best of all does.
+    """
+    near = similar_pairs(incoming.select(F.col("new_id"), F.col("rule").alias("_rule")), rows.select("id", "rule"), least_trigram)
+    best = top_of(near, ["new_id"], [F.desc("score"), F.col("id")], most, "_n")
+    c = best.join(rows.select("id", "embedding", F.col("embedding_model").eqNullSafe(model).alias("_current")), "id").join(incoming.select("new_id", "vector"), "new_id")
+    c = c.withColumn("_cos", F.when(F.col("_current") & F.col("vector").isNotNull(), cosine(F.col("embedding"), F.col("vector"))))
+    semantic = c.where(F.col("_cos") >= least_cosine).groupBy("new_id").agg(F.max_by("id", F.struct("_cos", -F.col("_n"))).alias("id")).withColumn("by", F.lit("cosine"))
+    # of what cosine could not compare, only the best counts
+    stale = c.where(F.col("vector").isNull() | ~F.col("_current")).groupBy("new_id").agg(F.min_by(F.struct("id", "score"), "_n").alias("_m"))
+    lexical = stale.where(F.col("_m.score") >= alone_trigram).select("new_id", F.col("_m.id").alias("id"), F.lit("trigram").alias("by"))
+    return semantic.unionByName(lexical.join(semantic.select("new_id"), "new_id", "left_anti"))
 
 
 def splice(old: DataFrame, new: DataFrame, extractor: str, keys: list[str], shared: list[str] = ()) -> DataFrame:
@@ -81,9 +121,9 @@ def promoted(confidence: Column, given: float | None = None) -> Column:
     return F.lit(float(given)) if given is not None else F.greatest(confidence, F.lit(0.85))
 
 
-def reinforced(score: Column) -> Column:
-    """Score after one more confirmation."""
-    return F.least(score + F.lit(0.05), F.lit(1.0))
+def reinforced(score: Column, times: Column | None = None) -> Column:
+    """Score after one more confirmation, or so many."""
+    return F.least(score + F.lit(0.05) * (F.lit(1) if times is None else times), F.lit(1.0))
 
 
 def adjusted(score: Column, delta: Column) -> Column:
@@ -144,3 +184,8 @@ def replaced_extracts(old: DataFrame, new: DataFrame) -> DataFrame:
     left = old.join(gone, "id", "left_anti")
     added = new.dropDuplicates(["session", "description"]).join(left.select("session", "description"), ["session", "description"], "left_anti")
     return left.unionByName(added.select(*old.columns))
+
+
+def restamped(nodes: DataFrame, head: str, ours: Column, column: str = "commit_sha") -> DataFrame:
+    """Stamps raised to head for our rows, where they differ."""
+    return nodes.withColumn(column, F.when(ours & ~F.col(column).eqNullSafe(head), head).otherwise(F.col(column)))

@@ -85,12 +85,12 @@ def longest_prefix_owner(t):
     return evidence.longest_prefix(files, "path", roots, "root").select("p_partkey", "root")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand || '/' || p_name AS a FROM part), b AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_name AS b FROM part WHERE p_size < 10 UNION SELECT DISTINCT p_name FROM part)
+@query("""WITH a AS (SELECT DISTINCT p_brand || '/' || p_name AS a FROM part), b AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_name AS b FROM part UNION SELECT DISTINCT p_name FROM part)
 SELECT a, b FROM a, b WHERE a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a)""")
 def suffix_path_join(t):
     """Paths of which one ends with the other."""
     a = t.part.select(F.concat_ws("/", "p_brand", "p_name").alias("a"))
-    b = t.part.where("p_size < 10").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("b")).unionByName(t.part.select(F.col("p_name").alias("b")))
+    b = t.part.select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("b")).unionByName(t.part.select(F.col("p_name").alias("b")))
     return evidence.suffix_matches(a, "a", b, "b")
 
 
@@ -115,19 +115,19 @@ def interval_window_join(t):
     return evidence.within(t.events.where("event_type = 'click'"), "ts", _spans(t).where("ended is not null"), F.col("started"), F.col("ended") + F.make_dt_interval(mins=F.lit(30)), ["user_id"]).select("event_id", "sid")
 
 
-@query("""WITH f AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS b FROM orders), s AS (SELECT DISTINCT left(sha256(CAST(o_orderkey AS VARCHAR)), 7 + CAST(o_orderkey % 3 AS INTEGER)) AS a FROM orders WHERE o_orderkey % 5 = 0)
+@query("""WITH f AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS b FROM orders), s AS (SELECT DISTINCT left(sha256(CAST(o_orderkey AS VARCHAR)), 7 + CAST(o_orderkey % 3 AS INTEGER)) AS a FROM orders)
 SELECT a, b, count(*) OVER (PARTITION BY a) AS n FROM s JOIN f ON starts_with(b, a)""")
 def prefix_hash_join(t):
     """Short hashes and what they stand for."""
     full = t.orders.select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("b"))
-    short = full.where("o_orderkey % 5 = 0").select(F.substr("b", F.lit(1), (7 + F.col("o_orderkey") % 3).cast("int")).alias("a")).distinct()
+    short = full.select(F.substr("b", F.lit(1), (7 + F.col("o_orderkey") % 3).cast("int")).alias("a")).distinct()
     return evidence.prefix_matches(short, "a", full.select("b"), "b")
 
 
-@query("""SELECT p_name AS alias, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS owner, count(DISTINCT p_brand) > 1 AS ambiguous FROM part WHERE p_size > 45 GROUP BY 1""")
+@query("""SELECT p_name AS alias, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS owner, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY 1""")
 def ambiguous_alias(t):
     """A name has an owner only if one claims it."""
-    return evidence.owners(t.part.where("p_size > 45").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("owner")), "alias", "owner")
+    return evidence.owners(t.part.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("owner")), "alias", "owner")
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), r(name, expr) AS (VALUES ('one', '^/en/[^/]+$'), ('rest', '^/de/.+$'), ('fixed', '^/fr/[^/]+\\.html$'), ('all', '^/.+$'))
@@ -162,11 +162,11 @@ def commit_summary_lateral(t):
     return out.select("o_orderkey", "files", "additions", "deletions", F.size("notes").cast("long").alias("notes"))
 
 
-@query("""SELECT a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON starts_with(a.p_name || '/' || a.p_partkey, b.p_name) OR starts_with(b.p_name, a.p_name || '/' || a.p_partkey) WHERE a.p_size <= 5 AND b.p_size = 50""")
+@query("""SELECT a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON starts_with(a.p_name || '/' || a.p_partkey, b.p_name) OR starts_with(b.p_name, a.p_name || '/' || a.p_partkey)""")
 def glob_overlap(t):
     """Claims whose fixed prefixes hold one another."""
-    a = t.part.where("p_size <= 5").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("*.py")).alias("glob"))
-    b = t.part.where("p_size = 50").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("**/[ab]")).alias("glob"))
+    a = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("*.py")).alias("glob"))
+    b = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("**/[ab]")).alias("glob"))
     return evidence.glob_overlaps(a, b)
 
 
@@ -233,11 +233,14 @@ def typed_traversal(t):
     return graph.traverse(_nodes(t), e, e.sparkSession.createDataFrame([("p:7",)], "id string"), steps, None)[0]
 
 
-@query()
+@query(f"""WITH {_E}, c1 AS (SELECT from_node, to_node, id, relation FROM e WHERE relation = 'supplied_by' AND from_node = 'p:7' ORDER BY relation, from_node, to_node, id LIMIT 100), f1 AS (SELECT DISTINCT to_node AS id FROM c1),
+c2 AS (SELECT CASE WHEN from_node IN (SELECT id FROM f1) THEN to_node ELSE from_node END AS there, row_number() OVER (ORDER BY relation, from_node, to_node, id) AS k FROM e WHERE relation = 'belongs_to' AND (from_node IN (SELECT id FROM f1) OR to_node IN (SELECT id FROM f1))), d2 AS (SELECT DISTINCT there AS id FROM c2 WHERE k <= 100 - (SELECT count(*) FROM c1)),
+f2 AS (SELECT id FROM d2 WHERE id NOT IN (SELECT id FROM f1)), c3 AS (SELECT CASE WHEN from_node IN (SELECT id FROM f2) THEN to_node ELSE from_node END AS there, row_number() OVER (ORDER BY relation, from_node, to_node, id) AS k FROM e WHERE relation = 'belongs_to' AND (from_node IN (SELECT id FROM f2) OR to_node IN (SELECT id FROM f2)))
+SELECT 'p:7' AS id, 0 AS step UNION ALL SELECT id, 1 FROM f1 UNION ALL SELECT id, 2 FROM f2 UNION ALL SELECT DISTINCT there, 3 FROM c3 WHERE k <= 100 - (SELECT count(*) FROM c1) - (SELECT count(*) FROM c2 WHERE k <= 100 - (SELECT count(*) FROM c1)) AND there NOT IN (SELECT id FROM f1) AND there NOT IN (SELECT id FROM f2)""")
 def typed_traversal_capped(t):
-    """The same with an allowance of 100 edges, charged before duplicates go."""
+    """An allowance of 100 edges over three steps, charged before duplicates go."""
     e = _edges(t)
-    steps = [graph.Step("out", ("supplied_by",)), graph.Step("both", ("belongs_to",))]
+    steps = [graph.Step("out", ("supplied_by",)), graph.Step("both", ("belongs_to",)), graph.Step("both", ("belongs_to",))]
     return graph.traverse(_nodes(t), e, e.sparkSession.createDataFrame([("p:7",)], "id string"), steps, 100)[0]
 
 
@@ -320,17 +323,17 @@ _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array
 _QUERY = "ther the onand of"
 
 
-@query(f"""SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT doc_id, {_GRAMS.format("left(text, 200)")} AS g, {_GRAMS.format(f"'{_QUERY}'")} AS q FROM documents)) WHERE s >= 0.15 ORDER BY s DESC, doc_id LIMIT 50""")
+@query(f"""SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT doc_id, {_GRAMS.format("text")} AS g, {_GRAMS.format(f"'{_QUERY}'")} AS q FROM documents)) WHERE s >= 0.02 ORDER BY s DESC, doc_id LIMIT 50""")
 def trigram_search(t):
-    """texts' openings by trigram similarity to a query."""
-    heads = t.documents.select("doc_id", F.left("text", F.lit(200)).alias("text"))
-    return retrieval.by_trigrams(heads, _QUERY, 0.15, 50, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """Texts by trigram similarity to a query."""
+    return retrieval.by_trigrams(t.documents.select("doc_id", "text"), _QUERY, 0.02, 50, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH g AS (SELECT doc_id, list_sort({_GRAMS.format("text")}) AS g FROM documents WHERE n_chars < 400) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
+@query(f"""WITH g AS (SELECT p_partkey AS doc_id, list_sort({_GRAMS.format("(p_name || ' of ' || p_brand || ' number ' || p_partkey)")}) AS g FROM part) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
 def trigram_dedup(t):
-    """Notes (short texts) that say the same."""
-    return retrieval.similar_texts(t.documents.where("n_chars < 400"), 0.8, key="doc_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
+    """Notes that say nearly the same."""
+    rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", F.lit("of"), "p_brand", F.lit("number"), F.col("p_partkey").cast("string")).alias("text"))
+    return retrieval.similar_texts(rows, 0.8, key="doc_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -651,10 +654,10 @@ def url_normalize(t):
     return t.pages.select("page_id", tx.host(F.col("url")).alias("host"), tx.alias(tx.host(F.col("url"))).alias("alias"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'markdown' END AS language FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'c-header' ELSE 'other' END AS language FROM part""")
 def language_by_ext(t):
     """§2.14: language by extension."""
-    ext = F.element_at(F.array(F.lit("ts"), F.lit("PY"), F.lit("md"), F.lit("xyz")), (F.col("p_size") % 4 + 1).cast("int"))
+    ext = F.element_at(F.array(F.lit("ts"), F.lit("PY"), F.lit("h"), F.lit("xyz")), (F.col("p_size") % 4 + 1).cast("int"))
     return t.part.select("p_partkey", tx.language_of(F.concat("p_name", F.lit("."), ext)).alias("language"))
 
 
@@ -828,10 +831,10 @@ def surfaced_bump(t):
     return writes.bumped(t.customer.select("c_custkey", F.col("c_acctbal").alias("surfaced")), ids, "surfaced", "c_custkey")
 
 
-@query("""SELECT 'p' || p_partkey AS id, 1000.0::DOUBLE * CASE WHEN p_partkey IN (3, 1, 2) THEN CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END ELSE p_partkey END AS sort_order, p_partkey IN (1, 2, 3) AND CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END <> p_partkey AS changed FROM part WHERE p_partkey < 10""")
+@query("""SELECT 'p' || p_partkey AS id, 1000.0::DOUBLE * CASE WHEN p_partkey IN (3, 1, 2) THEN CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END ELSE p_partkey END AS sort_order, p_partkey IN (1, 2, 3) AND CASE p_partkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END <> p_partkey AS changed FROM part""")
 def idea_reorder(t):
     """An order given by hand."""
-    rows = t.part.where("p_partkey < 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") * 1000.0).alias("sort_order"))
+    rows = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") * 1000.0).alias("sort_order"))
     return writes.reordered(rows, ["p3", "p1", "p2"])
 
 
@@ -839,10 +842,10 @@ def idea_reorder(t):
 
 
 @query("""WITH c AS (SELECT o_custkey AS id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS e, bool_or(o_orderpriority = '5-LOW' AND o_orderstatus = 'F') AS s, bool_or(o_orderpriority = '5-LOW' AND o_orderstatus <> 'F') AS p FROM orders GROUP BY 1)
-SELECT c_custkey AS id, round(CASE WHEN coalesce(e, 0) > 0 THEN least(0.97 + 0.05, 1.0) ELSE 0.97 END, 6)::DOUBLE AS score, coalesce(e, 0) AS reinforcement_count, coalesce(s, false) AS superseded, coalesce(p, false) AND NOT coalesce(s, false) AS proposed FROM customer LEFT JOIN c ON c.id = c_custkey""")
+SELECT c_custkey AS id, round(least(0.5 + 0.05 * coalesce(e, 0), 1.0), 6)::DOUBLE AS score, coalesce(e, 0) AS reinforcement_count, coalesce(s, false) AS superseded, coalesce(p, false) AND NOT coalesce(s, false) AS proposed FROM customer LEFT JOIN c ON c.id = c_custkey""")
 def citation_effects(t):
     """What citations do to what they cite."""
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.lit(0.97).alias("score"), F.lit(0).cast("long").alias("reinforcement_count"), F.lit(False).alias("superseded"))
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.lit(0.5).alias("score"), F.lit(0).cast("long").alias("reinforcement_count"), F.lit(False).alias("superseded"))
     relation = F.when(F.col("o_orderpriority") == "1-URGENT", "extends").when(F.col("o_orderpriority") == "5-LOW", "supersedes").otherwise("relates")
     cites = t.orders.select(F.col("o_custkey").alias("cited_id"), relation.alias("relation"), F.when(F.col("o_orderstatus") == "F", "operator").otherwise("agent").alias("source"))
     return records.cited(rows, cites).withColumn("score", F.round("score", 6))
@@ -880,3 +883,6 @@ def cache_hit_ratio(t):
 def cursor_page(t):
     """The page after a cursor."""
     return records.page_after(t.orders.select("o_orderkey"), "orders", ["o_orderkey"], records.cursor("orders", [40]), 10)[0]
+
+
+from . import memory  # noqa: E402, F401  registers its queries here

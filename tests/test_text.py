@@ -44,11 +44,12 @@ def test_route_matches(spark, pattern, path, want):
 
 def test_small_texts(spark):
     assert value(spark, tx.first_sentence(F.col("t")), t="One. Two.") == "One."
-    assert value(spark, tx.middle_trim(F.col("t"), 4), t="abcdefgh") == "ab\n…\ngh"
+    assert value(spark, tx.middle_trim(F.split("t", ""), 5), t="abcdefgh") == ["a", "b", "c", "g", "h"]
     assert value(spark, tx.alias(F.col("t")), t="My Service_2!") == "my-service-2"
-    assert [value(spark, tx.short_count(F.lit(n))) for n in (5, 2_500_000, -1)] == ["5", "2M", "?"]
+    assert [value(spark, tx.short_count(F.lit(n))) for n in (5, 999_999, 2_500_000, -1, 1 << 60)] == ["5", "999999", "≥1M", "?", "?"]
     assert value(spark, F.struct(*[c.alias(f"c{k}") for k, c in enumerate(tx.commit_type(F.col("t")))]), t="feat(core): x") == ("feat", "core")
-    assert value(spark, tx.language_of(F.col("t")), t="x.unknown") is None
+    assert value(spark, tx.language_of(F.col("t")), t="x.unknown") == "other" and [value(spark, tx.language_of(F.col("t")), t=t) for t in ("a/.sh", "b.SH", "x.d/y", "c.tar.hpp")] == ["other", "bash", "other", "cpp-header"]
+    assert value(spark, tx.task_tokens(F.col("t")), t="Save the workout card and the workout flow") == ["save", "workout", "card"]
     assert value(spark, documents.summary(F.col("t")), t="# A\n\n**TL;DR:** short\nand sweet\n\nmore") == "short\nand sweet"
     assert value(spark, documents.frontmatter(F.col("t"), "title"), t="---\ntitle: A b\n---\nx") == "A b"
 
