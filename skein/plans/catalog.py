@@ -329,10 +329,10 @@ def trigram_search(t):
     return retrieval.by_trigrams(t.documents.select("doc_id", "text"), _QUERY, 0.02, 50, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH g AS (SELECT p_partkey AS doc_id, list_sort({_GRAMS.format("(p_name || ' of ' || p_brand || ' number ' || p_partkey)")}) AS g FROM part) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
+@query(f"""WITH g AS (SELECT s_suppkey AS doc_id, list_sort({_GRAMS.format("(s_name || ' of nation ' || s_nationkey)")}) AS g FROM supplier) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
 def trigram_dedup(t):
     """Notes that say nearly the same."""
-    rows = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", F.lit("of"), "p_brand", F.lit("number"), F.col("p_partkey").cast("string")).alias("text"))
+    rows = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.concat_ws(" ", "s_name", F.lit("of nation"), F.col("s_nationkey").cast("string")).alias("text"))
     return retrieval.similar_texts(rows, 0.8, key="doc_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
