@@ -6,6 +6,9 @@ label and cells, and cut into blocks with bounding boxes.  Blocks of a label mee
 eps; each meeting recursively halves the two sequence intervals, skips halves that are provably distant, and
 compares the leaves exactly in double precision.  A meeting returns link counts per vector and a spanning forest of
 its links, so neither pairs nor vectors are gathered.
+
+Neighbouring blocks of a label travel together as a group: a group's vectors are sent once for each group that it meets,
+with the list of their meeting blocks.  Vectors find their class by a digest, so only groups carry vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .simhash import Forest
 COSINE = 0.98
 LEADING = 8
 BLOCK, LEAF = 512, 64
+#: Blocks of a group, and the bytes of vectors that it holds at most (but one block at least).
+GROUP, GROUP_BYTES = 16, 16 << 20
 _SLACK = 1e-9
 #: Cosines this close to the bound are computed exactly.
 BORDER = 1e-12
@@ -65,9 +70,10 @@ def _axes(classes: DataFrame, dim: int, leading: int) -> tuple[np.ndarray, np.nd
     return mean, np.ascontiguousarray(vectors[:, ::-1][:, : min(leading, dim)])
 
 
-def _blocks(classes: DataFrame, dim: int, eps: float, leading: int) -> DataFrame:
+def _groups(classes: DataFrame, dim: int, eps: float, leading: int) -> DataFrame:
+    """(group, label, boxes, units, places, reps, copies): up to GROUP blocks in grid order with a box each."""
     mean, axes = _axes(classes, dim, leading)
-    k = axes.shape[1]
+    size = BLOCK * max(1, min(GROUP, GROUP_BYTES // (BLOCK * (dim + leading) * 8)))
 
     def project(batches):
         for b in batches:
@@ -80,7 +86,7 @@ def _blocks(classes: DataFrame, dim: int, eps: float, leading: int) -> DataFrame
         held = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 8 * BLOCK:
+            if sum(x.num_rows for x in held) >= 2 * size:
                 yield from cut(held)
                 held = []
         if held:
@@ -97,23 +103,26 @@ def _blocks(classes: DataFrame, dim: int, eps: float, leading: int) -> DataFrame
         cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
         rows = []
         for a, z in zip(cuts, cuts[1:], strict=False):
-            for i in range(a, z, BLOCK):
-                j = min(i + BLOCK, z)
-                low, high = p[i:j].min(axis=0), p[i:j].max(axis=0)
-                rows.append((uuid.uuid4().hex, int(label[a]), int(np.floor(low[0] / eps)), int(np.floor(high[0] / eps)), low.tolist(), high.tolist(), u[i:j].tobytes(), p[i:j].tobytes(), reps[i:j].tobytes(), copies[i:j].tobytes()))
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        names = ["block", "label", "first", "last", "low", "high", "units", "places", "reps", "copies"]
+            for i in range(a, z, size):
+                j = min(i + size, z)
+                boxes = []
+                for x in range(i, j, BLOCK):
+                    low, high = p[x : min(x + BLOCK, j)].min(axis=0), p[x : min(x + BLOCK, j)].max(axis=0)
+                    boxes.append({"first": int(np.floor(low[0] / eps)), "last": int(np.floor(high[0] / eps)), "low": low.tolist(), "high": high.tolist()})
+                rows.append((uuid.uuid4().hex, int(label[a]), boxes, u[i:j].tobytes(), p[i:j].tobytes(), reps[i:j].tobytes(), copies[i:j].tobytes()))
+        box = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+        types = (pa.string(), pa.int64(), pa.list_(box), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        names = ["group", "label", "boxes", "units", "places", "reps", "copies"]
         yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], y) for x, y in enumerate(types)], names)
 
     placed = classes.select("label", "embedding", "rep", "copies").mapInArrow(project, "label long, cells string, embedding array<double>, rep long, copies long")
     spark = classes.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    del k
     return (
         placed.repartitionByRange(n, "label", "cells")
         .sortWithinPartitions("label", "cells")
         .select("label", "embedding", "rep", "copies")
-        .mapInArrow(pack, "block string, label long, first long, last long, low array<double>, high array<double>, units binary, places binary, reps binary, copies binary")
+        .mapInArrow(pack, "group string, label long, boxes array<struct<first: long, last: long, low: array<double>, high: array<double>>>, units binary, places binary, reps binary, copies binary")
     )
 
 
@@ -146,18 +155,24 @@ def ego_join(u: np.ndarray, p: np.ndarray, v: np.ndarray, q: np.ndarray, same: b
         stack += [(*x, *y) for x in left for y in right]
 
 
-def _meet(row: dict, same: bool, cosine: float, eps: float, leading: int):
-    """Link counts and spanning links of one pair of blocks."""
+def _meet(row: dict, same: bool, cosine: float, eps: float):
+    """Link counts and spanning links of the meeting blocks of a pair of groups."""
     load = lambda n, t: np.frombuffer(row[n], t)
     ra, rb, ca, cb = load("reps_a", np.int64), load("reps_b", np.int64), load("copies_a", np.int64), load("copies_b", np.int64)
     u, v = load("units_a", np.float64).reshape(len(ra), -1), load("units_b", np.float64).reshape(len(rb), -1)
     p, q = load("places_a", np.float64).reshape(len(ra), -1), load("places_b", np.float64).reshape(len(rb), -1)
-    na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
+    na = np.zeros(len(ra), np.int64)
+    nb = na if same else np.zeros(len(rb), np.int64)
+    shift = 0 if same else len(ra)
     forest = Forest(len(ra) + (0 if same else len(rb)))
-    for i, j in ego_join(u, p, v, q, same, cosine, eps):
-        np.add.at(na, i, cb[j])
-        np.add.at(na if same else nb, j, ca[i])
-        forest.add(i, j if same else j + len(ra))
+    for code in row["blocks"]:
+        x, y = divmod(code, GROUP)
+        a, b = slice(x * BLOCK, (x + 1) * BLOCK), slice(y * BLOCK, (y + 1) * BLOCK)
+        for i, j in ego_join(u[a], p[a], v[b], q[b], same and x == y, cosine, eps):
+            i, j = i + a.start, j + b.start
+            np.add.at(na, i, cb[j])
+            np.add.at(nb, j, ca[i])
+            forest.add(i, j + shift)
     ids = ra if same else np.concatenate((ra, rb))
     e = np.array(forest.links, np.int64).reshape(-1, 2)
     counts = [(ra, na)] if same else [(ra, na), (rb, nb)]
@@ -171,30 +186,33 @@ def _meet(row: dict, same: bool, cosine: float, eps: float, leading: int):
 def _links(classes: DataFrame, dim: int, cosine: float, leading: int) -> DataFrame:
     """(a, b, edge): a link of classes a and b, or (edge false) b links counted at class a."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
-    blocks = stored(_blocks(classes, dim, eps, leading))
-    side = lambda s, far: blocks.select(F.col("label"), F.explode(F.sequence(F.col("first") - far, F.col("last") + far)).alias("cell"), *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")])
+    groups = stored(_groups(classes, dim, eps, leading))
+    boxes = groups.select("label", "group", F.posexplode("boxes").alias("k", "box")).select("label", "group", "k", "box.*")
+    side = lambda s, far: boxes.select("label", F.explode(F.sequence(F.col("first") - far, F.col("last") + far)).alias("cell"), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "k", "low", "high")])
     gap = F.aggregate(
         F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)),
         F.lit(0.0),
         lambda acc, x: acc + x * x,
     )
-    pairs = side("a", 1).join(side("b", 0), ["label", "cell"]).where("block_a <= block_b").where(gap <= eps * eps).select("block_a", "block_b").distinct()
+    once = F.struct("group_a", "k_a") <= F.struct("group_b", "k_b")
+    code = (F.col("k_a") * GROUP + F.col("k_b")).alias("code")
     # both orders of a pair can come through different cells; the first dimension's cells are symmetric up to one
-    more = side("a", 0).join(side("b", 1), ["label", "cell"]).where("block_a <= block_b").where(gap <= eps * eps).select("block_a", "block_b").distinct()
-    pairs = stored(pairs.unionByName(more).distinct())
-    half = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "units", "places", "reps", "copies")])
-    meetings = pairs.join(half("a"), "block_a").join(half("b"), "block_b")
+    near = [side("a", x).join(side("b", 1 - x), ["label", "cell"]).where(once).where(gap <= eps * eps).select("group_a", "group_b", code) for x in (1, 0)]
+    # at most GROUP x GROUP pairs of blocks in a list
+    pairs = stored(near[0].unionByName(near[1]).groupBy("group_a", "group_b").agg(F.collect_set("code").alias("blocks")))
+    half = lambda s: groups.select(*[F.col(c).alias(f"{c}_{s}") for c in ("group", "units", "places", "reps", "copies")])
+    meetings = pairs.join(half("a"), "group_a").join(half("b"), "group_b")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                a, b, edge = _meet(row, row["block_a"] == row["block_b"], cosine, eps, leading)
+                a, b, edge = _meet(row, row["group_a"] == row["group_b"], cosine, eps)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(edge)], ["a", "b", "edge"])
 
     spark, key = classes.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    # a row holds two blocks: as many as fit in 64 MB
-    spark.conf.set(key, str(max(1, min(16, (64 << 20) // (2 * BLOCK * (dim + leading) * 8)))))
+    # a row holds two groups: as many as fit in 64 MB
+    spark.conf.set(key, str(max(1, min(16, (64 << 20) // (2 * max(BLOCK * (dim + leading) * 8, min(GROUP * BLOCK * (dim + leading) * 8, GROUP_BYTES)))))))
     try:
         return stored(meetings.mapInArrow(run, "a long, b long, edge boolean"))
     finally:
@@ -210,20 +228,22 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, leading: int
     Repeated rows count as different vectors; an empty table gives no rows; other columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    good = rows.where(usable())
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"))
+    # equal vectors have equal digests, and different ones different digests
+    digest = F.unhex(F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256))
+    rows = rows.withColumn("digest", F.when(usable(), digest))
+    classes = stored(rows.where("digest is not null").groupBy("label", "digest", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"))
     found = None
     for (dim,) in classes.select(F.size("embedding").alias("dim")).distinct().orderBy("dim").collect():  # vector widths: a handful
         part = _links(classes.where(F.size("embedding") == dim), dim, cosine, leading)
         found = part if found is None else found.unionByName(part)
-    out = classes.select("label", "embedding", "rep", (F.col("copies") - 1).alias("own"))
+    out = classes.select("label", "digest", "rep", (F.col("copies") - 1).alias("own"))
     if found is not None:
         near = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("near"))
         joined = components(found.where("edge")).select(F.col("node").alias("rep"), "component")
-        out = out.join(near, "rep", "left").join(joined, "rep", "left").select("label", "embedding", (F.col("own") + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        out = out.join(near, "rep", "left").join(joined, "rep", "left").select("label", "digest", (F.col("own") + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     else:
-        out = out.select("label", "embedding", F.col("own").alias("n_links"), F.col("rep").alias("component_id"))
+        out = out.select("label", "digest", F.col("own").alias("n_links"), F.col("rep").alias("component_id"))
     out = stored(out)
-    return rows.join(out, ["label", "embedding"], "left").select(
+    return rows.select("vec_id", "label", "digest").join(out, ["label", "digest"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept")
     )

@@ -80,3 +80,18 @@ def test_leaves_cover_all_pairs():
     pairs = [(int(x), int(y)) for i, j in embedding_dedup.ego_join(u, u[:, :2], u, u[:, :2], True, 0.9, float(np.sqrt(0.2)) + 1e-9) for x, y in zip(i, j, strict=True)]
     want = {(i, j) for i in range(333) for j in range(i + 1, 333) if u[i] @ u[j] >= 0.9}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_several_groups_of_several_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=(200, 5))[rng.integers(0, 200, 6000)] + rng.normal(size=(6000, 5)) * rng.choice([0.02, 0.3], (6000, 1)))
+    out = got(spark, [(k, v, 7) for k, v in enumerate(x.astype(float).tolist())])
+    u = embedding_dedup._units(x.astype(np.float64))
+    near = u @ u.T >= 0.98
+    root = np.arange(len(x))
+    while True:
+        low = np.array([root[n].min() for n in near])
+        if (low == root).all():
+            break
+        root = low
+    assert out == {k: (int(near[k].sum()) - 1, int(root[k]), bool(root[k] == k)) for k in range(len(x))}
