@@ -7,7 +7,8 @@ its words and its end.  One more arc spans the whole word: a training word seen
 piece of weight (c - d) / N, with the absolute discount d, and the lattice of the vocabulary's pieces gets the weight so
 left, d x V / N.  So may a word that the document has used before.  Counts are kept by language, and a document's
 probability is that of a mixture of the languages; its own label is not used.  Without these arcs the vocabulary's pieces alone,
-made for other text, score far below a word count.
+made for other text, score far below a word count; their marginal, of all segmentations into pieces and nothing else, is
+returned beside the score.
 
 Nothing is exploded per token.  A task turns about CHUNK_BYTES of text into one chunk: a dictionary of its distinct
 words, dealt to buckets by hash, and its documents as sparse counts over that dictionary.  Chunks are a stored
@@ -391,8 +392,9 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents(doc_id, text).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of documents(doc_id, text).
 
+    score: the model's log10 probability; lattice_score: that of the vocabulary's pieces alone, without arcs of whole words.
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0 (a null doc_id counts as the empty text).
     Null and empty texts have one token, their end.  Words of any length are scored whole.  Repeated rows are scored
     and counted as often as they come; with no training documents the vocabulary's own weights stand and every base
@@ -465,12 +467,13 @@ def score(docs: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> DataFram
                         "train_tokens": n,
                         "base_score": base + np.log10(documents + 0.1) - floor,
                         "score": score,
+                        "lattice_score": (add(lm[word]) + last) / LN10,
                     }
                 )
             )
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
-    return chunks.groupBy("chunk").cogroup(counts.where(f"chunk <> {ALL}").groupBy("chunk")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.groupBy("chunk").cogroup(counts.where(f"chunk <> {ALL}").groupBy("chunk")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
 
 
 def mixed(c, every, lm, size, types, discount):

@@ -107,6 +107,8 @@ def test_against_one_word_at_a_time(spark, words):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws) + 1, sum(count[w] > 0 for w in [*ws, "end"]), n)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and abs(r["score"] - score) < 1e-6 * max(1, abs(score)), i
+        alone = sum(math.log10(spelled[w]) for w in [*ws, "end"])
+        assert abs(r["lattice_score"] - alone) < 1e-6 * max(1, abs(alone)), i
 
 
 def test_held_out_documents_score_above_the_base(spark):
