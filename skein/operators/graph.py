@@ -16,8 +16,45 @@ from ..storage import settled
 #: The baseline of an edge's strength by its confidence.
 BASELINE = {"EXTRACTED": 3.0, "INFERRED": 2.0, "LIMITED": 1.0}
 #: Kinds and relations at the boundary of a system.
-BOUNDARY_KINDS = ("endpoint", "http_call", "table", "column", "policy", "event_channel")
-BOUNDARY_RELATIONS = ("serves_route", "references_table", "calls_endpoint", "fk_to", "secured_by", "emits", "listens_on")
+BOUNDARY_KINDS = ("endpoint", "table", "policy", "scheduled_job", "mcp_server", "event_channel")
+BOUNDARY_RELATIONS = ("serves_route", "references_table", "fk_to", "secured_by", "scheduled_by", "http_calls", "emits", "listens_on")
+#: What a relation says of its target.
+ROLES = {
+    "use": ("imports", "calls", "references_table", "reads_env", "invokes", "inherits", "depends_on", "reads_option", "writes_option", "http_calls", "emits"),
+    "ownership": ("exports", "defines"),
+    "root": ("scheduled_by", "serves_route", "secured_by", "fires", "listens_to", "listens_on"),
+    "context": ("co_changed_with", "fk_to"),
+}
+#: Kinds that a system is entered by; nothing that one of them reaches is unused.
+ROOT_KINDS = ("endpoint", "hook", "scheduled_job", "mcp_server", "shortcode", "capability", "event_channel")
+#: Kinds of each extractor whose uses are found in part; all others are not judged.
+COVERED = {
+    "php": ("function", "class"),
+    "cpp": ("function", "class"),
+    "swift": ("function", "class"),
+    "kotlin": ("function", "class"),
+    "python": ("function",),
+    "tier2-go": ("function",),
+    "tier2-rust": ("function",),
+    "tier2-java": ("function",),
+    "tier2-csharp": ("function",),
+}
+
+
+def role(relation: Column) -> Column:
+    """What a relation says of its target (G10): use, ownership, root or context; null for relations that are not known."""
+    out = F.lit(None).cast("string")
+    for name, relations in ROLES.items():
+        out = F.when(relation.isin(*relations), name).otherwise(out)
+    return out
+
+
+def coverage(extractor: Column, kind: Column) -> Column:
+    """How far an extractor finds the uses of a kind (G10): partial, or null where nothing may be said of it."""
+    known = F.lit(False)
+    for name, kinds in COVERED.items():
+        known = known | ((extractor == name) & kind.isin(*kinds))
+    return F.when(known, "partial")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

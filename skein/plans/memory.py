@@ -165,6 +165,19 @@ def restamped_nodes(t):
     return writes.restamped(nodes, "head", F.col("ours") & ~F.col("nested")).select("id", "commit_sha")
 
 
+@query("""SELECT o.relation, role, CASE WHEN x IN ('php:class', 'tier2-go:function') THEN 'partial' END AS coverage, count(*) AS n FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'emits' WHEN 1 THEN 'exports' WHEN 2 THEN 'scheduled_by' WHEN 3 THEN 'fk_to' ELSE 'mentions' END AS relation, CASE o_custkey % 4 WHEN 0 THEN 'php:class' WHEN 1 THEN 'tier2-go:class' WHEN 2 THEN 'tier2-go:function' ELSE 'ts:function' END AS x FROM orders) o LEFT JOIN (VALUES ('emits', 'use'), ('exports', 'ownership'), ('scheduled_by', 'root'), ('fk_to', 'context')) v(relation, role) ON v.relation = o.relation GROUP BY ALL""")
+def relation_roles(t):
+    """What relations say of their targets, and whether an extractor's silence on a kind counts."""
+    k, j = F.col("o_orderkey") % 5, F.col("o_custkey") % 4
+    rows = t.orders.select(
+        F.when(k == 0, "emits").when(k == 1, "exports").when(k == 2, "scheduled_by").when(k == 3, "fk_to").otherwise("mentions").alias("relation"),
+        F.when(j == 0, "php").when(j == 3, "ts").otherwise("tier2-go").alias("extractor"),
+        F.when(j < 2, "class").otherwise("function").alias("kind"),
+    )
+    rows = rows.withColumns({"role": graph.role(F.col("relation")), "coverage": graph.coverage(F.col("extractor"), F.col("kind"))})
+    return rows.groupBy("relation", "role", "coverage").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- writes ---------------------------------------------------------------------------------------------------
 
 
