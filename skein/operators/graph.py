@@ -99,7 +99,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 10) -> Dat
     Each level is one join and one aggregate; parents are kept per node, so only the path itself is followed on the driver.
     """
     spark = edges.sparkSession
-    steps = both_ways(edges)
+    steps = settled(both_ways(edges))  # computed once, not for each hop
     seen = spark.createDataFrame([(start, None, None, 0)], "id string, parent string, edge string, hop int")
     found = start == end
     hop = 0
