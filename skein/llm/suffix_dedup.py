@@ -16,6 +16,10 @@ Documents are packed into chunks of about CHUNK_BYTES in a table bucketed by chu
 Chunks send what they hold, once for each distinct run or string with its smallest document, to shards by bucket
 identifier; a shard answers every chunk with two bits or one per entry.  Copies of a passage, however many, are
 one entry per chunk, and the number of shards grows with the input.
+
+A bucket that holds many different runs (a line common to many documents, each with other neighbours) would fill one
+shard.  Such hot buckets are found in a part of the chunks; their runs are dealt by bucket and string together and are
+always refined, so their number bears on the work of a task only, never on the result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,12 @@ ROWS_AT_ONCE = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.exe
 SLICE = 1 << 18
 #: Sorts a null doc_id: no document comes after it.  Which ids are null is kept beside them.
 LAST = np.iinfo(np.int64).max
+#: A bucket is hot from this many different runs a chunk, on average over the chunks looked at.
+HOT_RUNS = 4
+#: Hot buckets at most, sent to every task.
+HOT_MOST = 20_000
+#: One chunk in so many is looked at for hot buckets.
+HOT_CHUNKS = 16
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _LETTERS = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,14 +152,26 @@ def _opened(body: bytes):
     return ids, sizes, np.frombuffer(data, np.uint8)
 
 
-def _classes(r: dict[str, np.ndarray], ids: np.ndarray):
-    """Runs grouped by identifier: order by group, group starts, and the place of each group's first run when groups go by bucket."""
+def _classes(r: dict[str, np.ndarray], hot: np.ndarray):
+    """Runs grouped by identifier: order by group, group starts, each group's first run, the order of groups by route, and their rising routes.
+
+    The route is the bucket, or bucket and string together where the bucket is hot.
+    """
     key = r["g"] ^ (r["c"] * np.uint64(_M))
     order = np.argsort(key, kind="stable")  # documents rise within a group
     starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(order) else np.zeros(0, np.int64)
     heads = order[starts]
-    by_bucket = np.argsort(r["g"][heads], kind="stable")
-    return order, starts, heads, by_bucket
+    route = r["g"][heads]
+    if len(hot):
+        route = np.where(np.isin(route, hot), _mixed(key[heads]), route)
+    by_route = np.argsort(route, kind="stable")
+    return order, starts, heads, by_route, route[by_route]
+
+
+def _own(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the documents that entries name, and the entries' places among them."""
+    used, place = np.unique(doc, return_inverse=True)
+    return ids[used], place.astype(np.uint32 if len(used) > 65535 else np.uint16)
 
 
 def _shard(x: np.ndarray, shards: int) -> np.ndarray:
@@ -196,7 +218,26 @@ def chunk_table(docs: DataFrame, name: str, number: int, carry: tuple[str, ...]
     return out
 
 
-def _send_runs(chunks: DataFrame, shards: int, length: int) -> DataFrame:
+def hot_buckets(chunks: DataFrame, length: int) -> np.ndarray:
+    """Rising identifiers of the buckets that hold HOT_RUNS different runs a chunk or more, the HOT_MOST largest; others share a shard as before."""
+
+    def run(batches):
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                _, sizes, flat = _opened(body)
+                r = runs(flat, sizes, length)
+                _, _, heads, _, _ = _classes(r, np.zeros(0, np.uint64))
+                g, n = np.unique(r["g"][heads], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g[n > 1].view(np.int64)), pa.array(n[n > 1])], ["g", "n"])
+
+    some = chunks.where(F.pmod("chunk", F.lit(HOT_CHUNKS)) == 0)
+    number = some.count()
+    counted = some.select("body").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= HOT_RUNS * number).orderBy(F.desc("n"), "g").limit(HOT_MOST).select("g")
+    return np.sort(np.array([x.g for x in found.collect()], np.int64).view(np.uint64))
+
+
+def _send_runs(chunks: DataFrame, shards: int, length: int, hot: np.ndarray) -> DataFrame:
     """(chunk, shard, part): the distinct runs of each chunk with their smallest document."""
 
     def run(batches):
@@ -204,11 +245,11 @@ def _send_runs(chunks: DataFrame, shards: int, length: int) -> DataFrame:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, sizes, flat = _opened(body)
                 r = runs(flat, sizes, length)
-                _, _, heads, by_bucket = _classes(r, ids)
-                heads = heads[by_bucket]
-                g, c, doc = r["g"][heads], r["c"][heads], r["doc"][heads].astype(np.uint32 if len(ids) > 65535 else np.uint16)
-                cut = _cut(_shard(g, shards), shards)
-                parts = [_pack(ids, g[a:b].astype(np.uint32), c[a:b], doc[a:b]) for _, a, b in cut]
+                _, _, heads, by_route, route = _classes(r, hot)
+                heads = heads[by_route]
+                g, c, doc = r["g"][heads], r["c"][heads], r["doc"][heads]
+                cut = _cut(_shard(route, shards), shards)
+                parts = [_pack(g[a:b].astype(np.uint32), c[a:b], *_own(ids, doc[a:b])) for _, a, b in cut]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(cut), pa.int64()), pa.array([k for k, _, _ in cut], pa.int32()), pa.array(parts, pa.binary())], ["chunk", "shard", "part"])
 
     return chunks.select("chunk", "body").mapInArrow(run, "chunk long, shard int, part binary")
@@ -222,7 +263,7 @@ def _answer_runs(sent: DataFrame) -> DataFrame:
 
         grams, keys, docs, sizes = [], [], [], []
         for part in pdf["part"]:
-            ids, g, c, doc = _unpack(part)
+            g, c, ids, doc = _unpack(part)
             grams.append(g)
             keys.append(c)
             docs.append(ids[doc])
@@ -244,7 +285,7 @@ def _answer_runs(sent: DataFrame) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(run, "chunk long, shard int, answer binary")
 
 
-def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int) -> DataFrame:
+def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int, hot: np.ndarray) -> DataFrame:
     """(chunk, shard, part): shard -1: what is settled and what waits; others: the strings to refine, with their smallest document."""
 
     def run(key, left, right):
@@ -254,11 +295,12 @@ def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int) ->
         for chunk, body in zip(left["chunk"], left["body"], strict=True):
             ids, sizes, flat = _opened(body)
             r = runs(flat, sizes, length)
-            order, starts, heads, by_bucket = _classes(r, ids)
+            order, starts, heads, by_route, route = _classes(r, hot)
             got = dict(zip(right["shard"], right["answer"], strict=True))
             bits = np.zeros(len(heads), np.uint8)
             if len(heads):
-                bits[by_bucket] = np.concatenate([_unpack(got[k])[0] for k, _, _ in _cut(_shard(r["g"][heads[by_bucket]], shards), shards)])
+                bits[by_route] = np.concatenate([_unpack(got[k])[0] for k, _, _ in _cut(_shard(route, shards), shards)])
+                bits |= np.isin(r["g"][heads], hot).astype(np.uint8) << 1  # no one shard has seen all runs of these
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
             doc = ids[r["doc"][order]]
             gone = (bits[group] & 1).astype(bool) | (doc > ids[r["doc"][heads]][group])
@@ -275,7 +317,7 @@ def _settle(chunks: DataFrame, answers: DataFrame, shards: int, length: int) ->
             settled = _joined(low[gone], high[gone])
             rows.append((chunk, -1, _pack(*(x.astype(small) for x in settled), np.diff(position, prepend=0).astype(small), owner.astype(np.int32))))
             for k, a, b in _cut(_shard(strings, shards), shards):
-                rows.append((chunk, k, _pack(ids, strings[a:b], holder[a:b].astype(np.uint32))))
+                rows.append((chunk, k, _pack(strings[a:b], *_own(ids, holder[a:b]))))
         return pd.DataFrame(rows, columns=["chunk", "shard", "part"])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "chunk long, shard int, part binary")
@@ -325,7 +367,7 @@ def _answer_strings(sent: DataFrame) -> DataFrame:
 
         keys, docs, sizes = [], [], []
         for part in pdf["part"]:
-            ids, strings, doc = _unpack(part)
+            strings, ids, doc = _unpack(part)
             keys.append(strings)
             docs.append(ids[doc])
             sizes.append(len(strings))
@@ -403,9 +445,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, texts: str = "", carry: t
         chunks = chunk_table(docs, name, parts, carry)
         for k, v in ROWS_AT_ONCE.items():
             spark.conf.set(k, v)
-        answers = stored(_answer_runs(_send_runs(chunks, shards, length)))
+        hot = hot_buckets(chunks, length)
+        answers = stored(_answer_runs(_send_runs(chunks, shards, length, hot)))
         released(spark)
-        settled = stored(_settle(chunks, answers, shards, length))
+        settled = stored(_settle(chunks, answers, shards, length, hot))
         dropped(answers)
         released(spark)
         more = _answer_strings(settled)

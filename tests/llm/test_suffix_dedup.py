@@ -63,6 +63,25 @@ def test_many_chunks_and_slices(documents, words, monkeypatch):
     assert got(documents, rows) == brute(rows)
 
 
+def test_hot_buckets_are_dealt_by_string(documents, words, monkeypatch):
+    line = "Share this page with your friends"
+    rows = [(k, f"{' '.join(words(4))} {line} {' '.join(words(4))}") for k in range(120)]
+    rows += [(200 + k, rows[k * 3][1][2:]) for k in range(30)] + corpus(words, 2)[:40]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(op, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(op, "HOT_CHUNKS", 1)
+    seen, find = [], op.hot_buckets
+    monkeypatch.setattr(op, "hot_buckets", lambda chunks, length: seen.append(find(chunks, length)) or seen[0])
+    assert got(documents, rows) == brute(rows)
+    assert 0 < len(seen[0]) < 30 and (np.diff(seen[0].astype(float)) > 0).all()
+    # the runs of a hot bucket have many routes, equal runs one
+    flat = np.frombuffer("".join(t for _, t in rows[:150]).encode(), np.uint8)
+    r = op.runs(flat, np.array([len(t.encode()) for _, t in rows[:150]]), 50)
+    _, _, heads, by_route, route = op._classes(r, seen[0])
+    hot = np.isin(r["g"][heads][by_route], seen[0])
+    assert len(np.unique(route[hot])) == hot.sum() > 3 * len(seen[0]) and (np.diff(route.astype(float)) >= 0).all()
+
+
 def test_kept_bytes_repeated_ids_and_nulls(documents, words):
     text = " ".join(words(60, 3))
     rows = [(1, text), (1, text), (None, text), (None, "q" + text), (2, text[:80] + "!" + text)]
@@ -93,7 +112,7 @@ def test_runs_that_agree_in_half_their_identifiers(monkeypatch):
     chunks = Chunks()
     monkeypatch.setattr(op, "_opened", lambda body: (ids[[body]], sizes[:1], np.zeros(60, np.uint8)))
     monkeypatch.setattr(op, "runs", lambda flat, sizes, length: part[now])
-    op._send_runs(chunks, 1, 50)
+    op._send_runs(chunks, 1, 50, np.zeros(0, np.uint64))
     for now in range(4):
         for b in chunks.run([pa.RecordBatch.from_arrays([pa.array([now]), pa.array([now])], ["chunk", "body"])]):
             sent += b.to_pylist()
