@@ -13,11 +13,14 @@ def brute(docs, items):
             v = (x or "").lower().split()
             n = len(v)
             if n < 5:
+                if n and w == v:
+                    out[d, k] = (n, n)
                 continue
             size = min(n, max(13, -(-n // 2)))
             for start in range(-n + 1, len(w)):
                 m = [0 <= start + i < len(w) and w[start + i] == v[i] for i in range(n)]
-                if any(sum(m[i : i + size]) * 5 >= size * 4 for i in range(n - size + 1)):
+                verbatim = "1" * min(n, 13) in "".join("01"[x] for x in m)
+                if verbatim or any(sum(m[i : i + size]) * 5 >= size * 4 for i in range(n - size + 1)):
                     out[d, k] = max(out.get((d, k), (n, 0)), (n, sum(m)))
     return out
 
@@ -93,5 +96,12 @@ def test_empty_null_and_repeated(spark, documents, words):
 def test_short_items_count_where_they_are_the_whole_document(spark, documents):
     items = spark.createDataFrame([(1, "Two words"), (2, "one"), (3, " "), (4, None), (5, "a b c d")], "item_id long, text string")
     docs = documents([(1, "two  WORDS\n"), (2, "just two words"), (3, "one"), (4, ""), (5, None), (6, "a b c d"), (6, "a b c d")])
-    got = sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
+    got = sorted(tuple(r) for r in op.contaminated(docs, items).collect())
     assert got == [(1, 1, 2, 2), (3, 2, 1, 1), (6, 5, 4, 4)]
+
+
+def test_short_items_among_others_against_brute(spark, documents, words):
+    items = [(k, " ".join(words(n, 30 + k))) for k, n in enumerate((1, 2, 3, 4, 5, 8))]
+    docs = [(k, (items[k % 6][1].upper() if k // 6 % 2 else items[k % 6][1] + " more") if k < 24 else " ".join(words(k % 7))) for k in range(60)]
+    got = run(spark, documents, docs, items)
+    assert got == brute(docs, items) and {k for _, k in got} == set(range(6))
