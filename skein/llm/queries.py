@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, lm_scoring, merkle, quality, sentencepiece, simhash, suffix_dedup, token_counts, url_filter
+from . import bpe, decontamination, embedding_dedup, html_text, lm_scoring, merkle, quality, sentencepiece, simhash, suffix_dedup, token_counts, url_filter
 from .common import read_table
 
 
@@ -63,5 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op4_suffix_dedup, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash, op11_merkle_manifest)}
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op4_suffix_dedup, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash, op11_merkle_manifest, op12_bpe)}
 ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.SQL}
