@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_text, lm_scoring, merkle, quality, sentencepiece, simhash, suffix_dedup, token_counts, url_filter
+from . import ball_kmeans, bpe, decontamination, embedding_dedup, html_text, lm_scoring, merkle, quality, sentencepiece, simhash, suffix_dedup, token_counts, url_filter
 from .common import read_table
 
 
@@ -68,5 +68,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op4_suffix_dedup, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash, op11_merkle_manifest, op12_bpe)}
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector."""
+    return ball_kmeans.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_lm_scoring, op4_suffix_dedup, op5_embedding_dedup, op6_decontamination, op7_token_counts, op8_html_text, op9_quality, op10_simhash, op11_merkle_manifest, op12_bpe, op13_ball_kmeans)}
 ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.SQL}
