@@ -3,6 +3,7 @@ import random
 import sys
 import unicodedata
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -23,7 +24,7 @@ def own():
 
 
 def ids_of(own, text):
-    raw = own.encode(text)
+    (raw,) = own.encode([text])
     return [int.from_bytes(raw[i : i + 4], sys.byteorder) for i in range(0, len(raw), 4)]
 
 
@@ -53,17 +54,30 @@ def test_every_character_falls_into_the_library_s_class(library, own):
         if unicodedata.category(c) == "Cn":  # those are split by the library itself
             continue
         text = f"a{c}1{c}!{c} {c}  b"
-        assert [text[x:y] for _, (x, y) in split(text)] == [p for u in own.v.units.findall(text) for p in own.v.pattern(u)]
+        assert [text[x:y] for _, (x, y) in split(text)] == own.v.pattern(text)
+
+
+def cut(v, piece):
+    at = [0, *v.cuts(np.frombuffer(piece, np.uint8)).tolist(), len(piece)]
+    return [piece[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_fragments_of_any_size_merge_alike(own, monkeypatch):
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randrange(1, 60))) for _ in range(500)] + ["a" * n for n in range(1, 60)]
+    together = own.v.encoded(pieces)
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert together == own.v.encoded(pieces)
 
 
 def test_merges_never_cross_a_certain_cut(own):
     v = own.v
-    assert all(len(v.cut(t)) == 1 for k, t in enumerate(v.table) if k not in v.special.values())
-    assert v.cut(b"ab1") == [b"ab", b"1"] and b"".join(v.cut(bytes(range(256)))) == bytes(range(256))
+    assert all(len(cut(v, t)) == 1 for k, t in enumerate(v.table) if k not in v.special.values())
+    assert cut(v, b"ab1") == [b"ab", b"1"] and b"".join(cut(v, bytes(range(256)))) == bytes(range(256))
     rng = random.Random(5)
     for _ in range(500):
         piece = bytes(rng.randrange(256) if rng.random() < 0.5 else rng.choice(b"theins") for _ in range(rng.randrange(1, 30)))
-        assert [k for f in v.cut(piece) for k in v.merged(f)] == v.merged(piece)
+        assert [k for f in cut(v, piece) for k in v.merged(f)] == v.merged(piece)
 
 
 def test_decodes_any_ids_as_the_library_does(library, own):
@@ -74,13 +88,19 @@ def test_decodes_any_ids_as_the_library_does(library, own):
 
 
 def test_nothing_depends_on_what_is_kept(library, words, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_UNITS", 5)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     monkeypatch.setattr(bpe, "LONGEST", 6)
     small = bpe.Encoder(open(FILE, encoding="utf-8").read())
     text = " ".join(words(400)) + "\n" + "antidisestablishment" * 3
     for _ in range(2):
         assert ids_of(small, text) == library.encode(text, add_special_tokens=False).ids
-    assert len(small.known) <= 5
+    assert small.older and all(len(x) <= 6 for x in small.known if x not in small.special)
+
+
+def test_texts_in_groups(library, own, words, monkeypatch):
+    texts = [" ".join(words(k * 7)) + ("<|endoftext|>" if k % 3 else "") for k in range(40)] + [None, "", "x" * 500]
+    monkeypatch.setattr(bpe, "GROUP", 300)
+    assert [np.frombuffer(x, np.int32).tolist() for x in own.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_a_long_text_without_cuts(library, own):
