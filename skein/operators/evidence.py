@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .writes import require_none
+
 
 def pair_counts(baskets: DataFrame, basket: str, item: str, smallest: int = 2, largest: int = 50, least: int = 2) -> DataFrame:
     """(item_a, item_b, weight): unordered pairs of items by the baskets that hold both.
@@ -65,8 +67,12 @@ def latest_holder(points: DataFrame, point: str, at: str, spans: DataFrame, span
 
 
 def prefix_matches(short: DataFrame, a: str, full: DataFrame, b: str, size: int = 7) -> DataFrame:
-    """(a, b, n): full hashes that a short one starts, and how many there are (J19, S4): bucketed by the first characters."""
-    l = short.where(F.length(a) >= size).select(a, F.substring(a, 1, size).alias("_k"))
+    """(a, b, n): full hashes that a short one starts, and how many there are (J19, S4): bucketed by the first characters.
+
+    Short ones of fewer than `size` characters are refused.
+    """
+    require_none(short.where(F.length(a) < size), f"a hash of fewer than {size} characters")
+    l = short.select(a, F.substring(a, 1, size).alias("_k"))
     r = full.select(b, F.substring(b, 1, size).alias("_k"))
     hit = l.join(r, "_k").where(F.col(b).startswith(F.col(a))).drop("_k").distinct()
     return hit.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(a)))
@@ -125,3 +131,45 @@ def remapped(commits: DataFrame, key: str, rewrites: DataFrame) -> DataFrame:
     """commits under their new hashes (W26): rewrites(old_hash, new_hash); a null new hash drops the commit."""
     r = rewrites.select(F.col("old_hash").alias(key), F.col("new_hash"), F.lit(True).alias("_moved"))
     return commits.join(r, key, "left").where("_moved is null or new_hash is not null").withColumn(key, F.coalesce("new_hash", key)).drop("new_hash", "_moved")
+
+
+def _translated(rows: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """(id, field, value, old_hash, new_hash) of rows(id, field, value) whose value is a hash, or the first 7 characters or more of one."""
+    short = rows.where(F.col("value").rlike("^[0-9a-fA-F]{7,40}$")).select("id", "field", "value", F.lower("value").alias("_v")).withColumn("_k", F.substring("_v", 1, 7))
+    return short.join(rewrites.select("old_hash", "new_hash", F.substring("old_hash", 1, 7).alias("_k")), "_k").where(F.startswith("old_hash", F.col("_v"))).drop("_k", "_v")
+
+
+def _sources(rewrites: DataFrame, commits: DataFrame, prior: DataFrame) -> DataFrame:
+    """rewrites with the commit that each old hash has been (_source) and the one that holds its new hash (_target)."""
+    was = commits.select(F.col("commit_hash").alias("old_hash"), F.col("id").alias("_now"))
+    before = prior.select("old_hash", F.col("commit_id").alias("_prior"))
+    there = commits.select(F.col("commit_hash").alias("new_hash"), F.col("id").alias("_target"))
+    out = rewrites.join(was, "old_hash", "left").join(before, "old_hash", "left").join(there, "new_hash", "left")
+    return out.withColumn("_source", F.coalesce("_now", "_prior")).drop("_now", "_prior")
+
+
+def remap_problems(commits: DataFrame, rewrites: DataFrame, findings: DataFrame, prior: DataFrame) -> DataFrame:
+    """(problem, id, field, value, n): why a rewrite of history(old_hash, new_hash) may not be taken over.
+
+    ambiguous: a hash of findings(id, field, value) is short and starts n old hashes; collision: a new hash already is another
+    commit's (n 1).  commits(id, commit_hash), prior(old_hash, commit_id) are former rewrites.
+    """
+    ambiguous = _translated(findings, rewrites).groupBy("id", "field", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("ambiguous").alias("problem"), "id", "field", "value", "n")
+    taken = _sources(rewrites, commits, prior).where("new_hash <> old_hash and _source is not null and _target is not null and _target <> _source")
+    return ambiguous.unionByName(taken.select(F.lit("collision").alias("problem"), F.col("_source").alias("id"), F.lit("commit_hash").alias("field"), F.col("new_hash").alias("value"), F.lit(1).cast("long").alias("n")))
+
+
+def remap_history(commits: DataFrame, rewrites: DataFrame, findings: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits, findings, prior) after a rewrite of history (W26), or an error with none of them changed.
+
+    Commits move to their new hashes; pruned ones (no new hash) keep theirs.  Findings' hashes, short ones too, become the whole new hash.  prior
+    gets or keeps a row for each old hash whose commit is known, with its new hash (null: pruned).
+    """
+    require_none(remap_problems(commits, rewrites, findings, prior), "the rewrite is refused")
+    moved = rewrites.where("new_hash <> old_hash").select(F.col("old_hash").alias("commit_hash"), "new_hash")
+    new_commits = commits.join(moved, "commit_hash", "left").select(*[F.coalesce("new_hash", "commit_hash").alias(c) if c == "commit_hash" else F.col(c) for c in commits.columns])
+    hit = _translated(findings, rewrites).where("new_hash is not null and new_hash <> old_hash").select("id", "field", "new_hash")
+    new_findings = findings.join(hit, ["id", "field"], "left").select(*[F.coalesce("new_hash", "value").alias(c) if c == "value" else F.col(c) for c in findings.columns])
+    told = _sources(rewrites, commits, prior).where(~F.col("new_hash").eqNullSafe(F.col("old_hash"))).select("old_hash", F.coalesce("_source", "_target").alias("commit_id"), "new_hash").where("commit_id is not null")
+    kept = prior.select("old_hash", "commit_id", *(["new_hash"] if "new_hash" in prior.columns else [F.lit(None).cast("string").alias("new_hash")])).join(told.select("old_hash"), "old_hash", "left_anti")
+    return new_commits, new_findings, kept.unionByName(told)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import similarity
 from ..storage import settled
+from .evidence import longest_prefix
 
 #: The baseline of an edge's strength by its confidence.
 BASELINE = {"EXTRACTED": 3.0, "INFERRED": 2.0, "LIMITED": 1.0}
@@ -173,6 +175,8 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: list[S
         seen = seen.unionByName(new.select("id", F.lit(n).alias("step")))
         kept = cand if kept is None else kept.unionByName(cand)
         front = new
+    if kept is None:  # nothing was allowed
+        return seen, edges.limit(0)
     kept = kept.select(*edges.columns).dropDuplicates(["id"])
     ends = seen.select("id")
     kept = kept.join(ends.select(F.col("id").alias("from_node")), "from_node", "left_semi").join(ends.select(F.col("id").alias("to_node")), "to_node", "left_semi")
@@ -213,14 +217,14 @@ def modules(nodes: DataFrame, edges: DataFrame, module: Column) -> tuple[DataFra
     return kinds, links
 
 
-def risk(kind: Column, relations: Column, repos: Column, dependents: Column, reasoning: Column, soft: Column, capped: Column) -> Column:
-    """Risk class of a change."""
-    high = capped | kind.isin(*BOUNDARY_KINDS) | F.arrays_overlap(relations, F.array(*map(F.lit, BOUNDARY_RELATIONS))) | (repos > 1) | (dependents >= 20)
+def risk(boundary: Column, relations: Column, repos: Column, dependents: Column, reasoning: Column, soft: Column, capped: Column) -> Column:
+    """Risk class of a change (G5).  boundary: a kind at the boundary of a system is affected; soft: an edge is not certain, or the graph itself is not."""
+    high = capped | boundary | F.arrays_overlap(relations, F.array(*map(F.lit, BOUNDARY_RELATIONS))) | (repos > 1) | (dependents >= 20)
     medium = (dependents >= 5) | (F.size(F.array_distinct(relations)) >= 2) | reasoning | soft
     return F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW")
 
 
-def risk_reasons(kinds: Column, relations: Column, repos: Column, dependents: Column, reasoning: Column, soft: Column, capped: Column, cap: int, stale: Column, unresolved: Column) -> Column:
+def risk_reasons(kinds: Column, relations: Column, repos: Column, dependents: Column, reasoning: Column, soft: Column, capped: Column, cap: int, stale: Column, unresolved: Column, schema: Column | None = None) -> Column:
     """Why a change has its risk class (G5), in one fixed order, joined by semicolons."""
     # The wording of the reasons.
     boundary = F.filter(F.array_distinct(kinds), lambda k: k.isin(*BOUNDARY_KINDS))
@@ -238,57 +242,107 @@ def risk_reasons(kinds: Column, relations: Column, repos: Column, dependents: Co
         F.when(F.size(soft) > 0, text("non-extracted edge confidence: ", F.array_join(soft, ", "))),
         F.when(stale, F.lit("a returned code node is stale or unattributed")),
         F.when(unresolved, F.lit("repository HEAD could not be established")),
+        F.when(schema if schema is not None else F.lit(False), F.lit("participating DB schema is stale or never introspected")),
     ]
     said = F.array_compact(F.array(*parts))
     return F.when(F.size(said) == 0, "no boundary, cap, reasoning or staleness signal").otherwise(F.array_join(said, "; "))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, records: DataFrame, hops: int = 2, stale: DataFrame | None = None) -> DataFrame:
-    """(id, dependents, relations, records, risk, confidence, reasons): what a change of each of seeds(id) reaches.
+def dependents(edges: DataFrame, seeds: DataFrame, hops: int = 2, cap: int | None = 100) -> tuple[DataFrame, DataFrame]:
+    """(seed, id, hop) of what depends on each of seeds(id), and (seed, edge columns, hop) of the edges found, for all seeds at once.
 
-    Dependents are found by incoming edges, for all seeds at once; records(node, record, valid) are decisions and lessons on the
-    seed or what depends on it; stale(id) are nodes whose source has changed.
+    Each hop takes the edges into the last hop's nodes by (relation, from_node, to_node, id); of all hops together a seed gets `cap`
+    edges at most, so a node counts as a dependent only where one of these edges leads to it.
     """
-    found = settled(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")))
-    front, rows = found, None
+    found = settled(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct())
+    front, kept = found, None
     for hop in range(1, hops + 1):
-        step = edges.join(front.select("seed", F.col("id").alias("to_node")), "to_node").select("seed", F.col("from_node").alias("id"), "relation", "confidence")
-        step = settled(step.join(found.select("seed", "id"), ["seed", "id"], "left_anti"))
-        rows = step if rows is None else rows.unionByName(step)
-        front = step.select("seed", "id").distinct().withColumn("hop", F.lit(hop))
-        found = settled(found.unionByName(front))
-    of_edges = rows.groupBy("seed").agg(F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set(F.when(F.col("confidence") != "EXTRACTED", F.col("confidence")))).alias("soft"))
-    placed = found.join(nodes.select("id", "kind"), "id")
+        near = edges.join(front.select("seed", F.col("id").alias("to_node")), "to_node").select("seed", *edges.columns)
+        if kept is not None:
+            near = near.join(kept.select("seed", "id"), ["seed", "id"], "left_anti")
+        if cap is not None:
+            order = Window.partitionBy("seed").orderBy("relation", "from_node", "to_node", "id")
+            near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap)
+            if kept is not None:
+                near = near.join(kept.groupBy("seed").agg(F.count(F.lit(1)).alias("_k")), "seed", "left").where(F.col("_n") <= cap - F.coalesce("_k", F.lit(0))).drop("_k")
+            near = near.drop("_n")
+        near = settled(near.withColumn("hop", F.lit(hop)))
+        kept = near if kept is None else kept.unionByName(near)
+        front = settled(near.select("seed", F.col("from_node").alias("id")).distinct().join(found.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        found = found.unionByName(front)
+    return found, kept
+
+
+def impact(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, decisions: DataFrame, lessons: DataFrame, roots: DataFrame | None = None, project: str = "", hops: int = 2, cap: int | None = 100,
+    stale: DataFrame | None = None, unresolved: bool = False, schema_stale: bool = False, most: int = 20,
+) -> DataFrame:
+    """(id, dependents, edges, capped, relations, repos, decisions, lessons, risk, confidence, reasons): what a change of each of seeds(id) reaches.
+
+    decisions(node, project, description, source, at, valid) count where they are the project's and valid, the newest `most`;
+    lessons(node, project, rule, valid) also where they are of no project, the first `most` by rule; both as arrays, the former as
+    structs (at, description, source).  roots(root): the repositories that paths belong to, by the longest that holds them.  stale(id): nodes whose
+    source has changed; unresolved: a repository's head is not known; schema_stale counts where a table, column or policy is affected.
+    """
+    found, kept = dependents(edges, seeds, hops, cap)
+    of_edges = kept.groupBy("seed").agg(F.count(F.lit(1)).alias("edges"), F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set(F.when(F.col("confidence") != "EXTRACTED", F.col("confidence")))).alias("soft"))
+    placed = settled(found.join(nodes.select("id", "kind", *(["file_path"] if roots is not None else [])), "id"))
     of_nodes = placed.groupBy("seed").agg(F.sum(F.when(F.col("hop") > 0, 1).otherwise(0)).alias("dependents"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    known = found.join(records.where("valid").select(F.col("node").alias("id"), "record"), "id").groupBy("seed").agg(F.count_distinct("record").alias("records"))
-    out = of_nodes.join(of_edges, "seed", "left").join(known, "seed", "left")
-    none = F.array().cast("array<string>")
-    out = out.withColumns({"relations": F.coalesce("relations", none), "soft": F.coalesce("soft", none), "records": F.coalesce("records", F.lit(0))})
-    if stale is not None:
-        old = found.join(stale.select("id"), "id", "left_semi").select("seed").distinct().withColumn("_old", F.lit(True))
-        out = out.join(old, "seed", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    if roots is not None:
+        paths = longest_prefix(placed.where("file_path is not null").select("file_path").distinct(), "file_path", roots, "root")
+        of_repos = placed.join(paths, "file_path").groupBy("seed").agg(F.count_distinct("root").alias("repos"))
     else:
-        out = out.withColumn("_old", F.lit(False))
-    high = F.exists("kinds", lambda k: k.isin(*BOUNDARY_KINDS)) | F.exists("relations", lambda r: r.isin(*BOUNDARY_RELATIONS)) | (F.col("dependents") >= 20)
-    medium = (F.col("dependents") >= 5) | (F.size("relations") >= 2) | (F.col("records") > 0) | (F.size("soft") > 0) | F.col("_old")
-    no = F.lit(False)
+        of_repos = of_nodes.select("seed", F.lit(1).cast("long").alias("repos"))
+    own = decisions.where("valid").where(F.col("project") == project).select(F.col("node").alias("id"), "at", "description", "source")
+    d = found.join(own, "id").select("seed", "at", "description", "source").distinct()
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("at"), "description", "source"))).where(F.col("_n") <= most)
+    d = d.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("_n", "at", "description", "source"))).alias("d")).select("seed", F.transform("d", lambda x: F.struct(x["at"].alias("at"), x["description"].alias("description"), x["source"].alias("source"))).alias("decisions"))
+    rules = lessons.where("valid").where((F.col("project") == project) | F.col("project").isNull()).select(F.col("node").alias("id"), "rule")
+    r = found.join(rules, "id").select("seed", "rule").distinct()
+    r = r.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("rule"))).where(F.col("_n") <= most).groupBy("seed").agg(F.array_sort(F.collect_list("rule")).alias("lessons"))
+    old = found.join(stale.select("id"), "id", "left_semi").select("seed").distinct().withColumn("old", F.lit(True)) if stale is not None else of_nodes.select("seed", F.lit(False).alias("old"))
+    out = of_nodes
+    for part in (of_edges, of_repos, d, r, old):
+        out = out.join(part, "seed", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"edges": F.coalesce("edges", F.lit(0)), "relations": F.coalesce("relations", none), "soft": F.coalesce("soft", none), "repos": F.coalesce("repos", F.lit(0)), "lessons": F.coalesce("lessons", none), "decisions": F.coalesce("decisions", F.filter("decisions", lambda _: F.lit(False)), F.array().cast(dict(d.dtypes)["decisions"])), "old": F.coalesce("old", F.lit(False))})
+    capped = F.lit(False) if cap is None else F.col("edges") >= cap
+    reasoning = F.size("decisions") + F.size("lessons")
+    schema = F.lit(schema_stale) & F.exists("kinds", lambda k: k.isin("table", "column", "policy"))
+    limited = F.col("old") | F.lit(unresolved) | schema
+    boundary = F.exists("kinds", lambda k: k.isin(*BOUNDARY_KINDS))
+    out = out.withColumns({"capped": capped, "reasoning": reasoning, "limited": limited, "schema": schema})
     return out.select(
-        F.col("seed").alias("id"),
-        "dependents",
-        "relations",
-        "records",
-        F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW").alias("risk"),
-        F.when(F.col("_old"), "LIMITED").otherwise("SUFFICIENT").alias("confidence"),
-        risk_reasons(F.col("kinds"), F.col("relations"), F.lit(1), F.col("dependents"), F.col("records"), F.col("soft"), no, 0, F.col("_old"), no).alias("reasons"),
-    )
-
-
-def named_seeds(nodes: DataFrame, text: str, most: int = 5) -> DataFrame:
-    """(id): nodes that a query starts at (G8): that of the id, else those of the name, else those whose name holds it, by name and id."""
-    rank = F.when(F.col("id") == text, 0).when(F.lower("name") == text.lower(), 1).when(F.instr(F.lower("name"), F.lit(text.lower())) > 0, 2)
-    hit = nodes.withColumn("_r", rank).where("_r is not null").orderBy("_r", "name", "id").limit(most)
-    first = hit.select("id", "_r").groupBy("_r").agg(F.collect_list("id").alias("ids")).orderBy("_r").limit(1)
-    return first.select(F.explode("ids").alias("id"))
+        F.col("seed").alias("id"), "dependents", "edges", "capped", "relations", "repos", "decisions", "lessons",
+        risk(boundary, F.col("relations"), F.col("repos"), F.col("dependents"), F.col("reasoning") > 0, (F.size("soft") > 0) | F.col("limited"), F.col("capped")).alias("risk"),
+        F.when(F.col("limited"), "LIMITED").otherwise("SUFFICIENT").alias("confidence"),
+        risk_reasons(F.col("kinds"), F.col("relations"), F.col("repos"), F.col("dependents"), F.col("reasoning"), F.col("soft"), F.col("capped"), cap or 0, F.col("old"), F.lit(unresolved), F.col("schema")).alias("reasons"),
+    )
+
+
+def named_seeds(nodes: DataFrame, text: str, kinds: tuple[str, ...] = (), path_prefix: str | None = None, most: int = 20) -> tuple[DataFrame, bool]:
+    """(seeds, capped): nodes that a query starts at (G8): that of the id alone, else all whose name or qualified name holds the text.
+
+    Letters' case does not count and no character is a wildcard.  Those that are the text come first, then by the greater
+    trigram similarity of the two names, kind, qualified name and id; kinds and a path prefix narrow what is looked at.  capped: there are more.
+    seeds have id, exact, score and place.
+    """
+    by_id = nodes.where(F.col("id") == text).select("id", F.lit(True).alias("exact"), F.lit(1.0).alias("score"), F.lit(1).alias("place"))
+    if not by_id.isEmpty():
+        return by_id, False
+    want = text.lower()
+    name, qualified = F.col("name"), F.coalesce("qualified_name", F.lit("")) if "qualified_name" in nodes.columns else F.lit("")
+    hit = nodes.where((F.instr(F.lower(name), F.lit(want)) > 0) | (F.instr(F.lower(qualified), F.lit(want)) > 0))
+    if kinds:
+        hit = hit.where(F.col("kind").isin(*kinds))
+    if path_prefix is not None:
+        hit = hit.where(F.startswith("file_path", F.lit(path_prefix)))
+    exact = (F.lower(name) == want) | (F.lower(qualified) == want)
+    score = F.greatest(similarity(name, F.lit(text)), similarity(qualified, F.lit(text)))
+    ranked = hit.select("id", exact.alias("exact"), score.alias("score"), "kind", F.when(qualified != "", qualified).otherwise(name).alias("_q"))
+    order = [F.desc("exact"), F.desc("score"), "kind", "_q", "id"]
+    top = settled(ranked.orderBy(*order).limit(most + 1).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "exact", "score", "place"))
+    return top.where(F.col("place") <= most), top.count() > most
 
 
 def linked_tables(nodes: DataFrame, prefix: DataFrame) -> DataFrame:

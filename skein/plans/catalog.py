@@ -275,7 +275,7 @@ def overview_links(t):
 def risk_class(t):
     """Risk of a change by what depends on it."""
     g = t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_partkey", "p_size").agg(F.count("l_orderkey").alias("n"), F.count_distinct("l_suppkey").alias("l"))
-    r = graph.risk(F.lit("function"), F.array(F.lit("calls")), F.lit(1), F.col("n"), F.col("p_size") % 10 == 3, F.lit(False), (F.col("p_size") == 50) | (F.col("l") > 7))
+    r = graph.risk(F.lit(False), F.array(F.lit("calls")), F.lit(1), F.col("n"), F.col("p_size") % 10 == 3, F.lit(False), (F.col("p_size") == 50) | (F.col("l") > 7))
     return g.select("p_partkey", r.alias("risk"))
 
 
@@ -885,4 +885,4 @@ def cursor_page(t):
     return records.page_after(t.orders.select("o_orderkey"), "orders", ["o_orderkey"], records.cursor("orders", [40]), 10)[0]
 
 
-from . import memory  # noqa: E402, F401  registers its queries here
+from . import code, memory  # noqa: E402, F401  register their queries here

@@ -137,25 +137,47 @@ def repo_staleness(t):
     return state.groupBy(F.col("p_brand").alias("subsystem")).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("fresh")).alias("stale"))
 
 
-@query(f"""WITH {_E}, {_N}, s AS (SELECT 'n:' || n_nationkey AS seed FROM nation), h1 AS (SELECT seed, from_node AS id, relation, confidence FROM s JOIN e ON to_node = seed), h2 AS (SELECT h1.seed, e.from_node AS id, e.relation, e.confidence FROM (SELECT DISTINCT seed, id FROM h1) h1 JOIN e ON e.to_node = h1.id WHERE e.from_node <> h1.seed),
-h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.seed = h2.seed AND h1.id = h2.id)), g AS (SELECT seed, count(DISTINCT h.id) FILTER (WHERE n.id IS NOT NULL) AS dependents, list_sort(list_distinct(list(relation))) AS relations, list_sort(list_distinct(list(confidence) FILTER (WHERE confidence <> 'EXTRACTED'))) AS soft FROM h LEFT JOIN n ON n.id = h.id GROUP BY 1),
-r AS (SELECT seed, count(DISTINCT rec) AS records FROM (SELECT seed, seed AS id FROM s UNION SELECT seed, id FROM h) f JOIN (SELECT 'c:' || c_custkey AS node, c_custkey AS rec FROM customer WHERE c_acctbal < 0) USING (id) GROUP BY 1)
-SELECT seed AS id, dependents, array_to_string(relations, ',') AS relations, coalesce(records, 0) AS records, CASE WHEN dependents >= 20 THEN 'HIGH' WHEN dependents >= 5 OR len(relations) >= 2 OR coalesce(records, 0) > 0 OR len(soft) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g LEFT JOIN r USING (seed)""".replace("USING (id) GROUP", "x ON x.node = f.id GROUP"))
+_REASONS = """concat_ws('; ', CASE WHEN edges >= 100 THEN 'traversal capped at 100 edges' END, CASE WHEN tables THEN 'public boundary affected: table' END, CASE WHEN repos > 1 THEN 'spans ' || repos || ' configured repositories' END,
+ CASE WHEN dependents >= 20 THEN dependents || ' dependents (>= 20)' WHEN dependents >= 5 THEN dependents || ' dependents (>= 5)' END, CASE WHEN len(relations) >= 2 THEN len(relations) || ' distinct dependency relations (>= 2)' END,
+ CASE WHEN reasoning > 0 THEN reasoning || ' linked decisions/lessons' END, CASE WHEN len(soft) > 0 THEN 'non-extracted edge confidence: ' || array_to_string(soft, ', ') END, CASE WHEN stale THEN 'a returned code node is stale or unattributed' END, CASE WHEN tables THEN 'participating DB schema is stale or never introspected' END)"""
+
+
+@query(f"""WITH {_E}, {_N}, m AS (SELECT id, CASE kind WHEN 'supplier' THEN 'table' ELSE kind END AS kind, CASE WHEN length(name) % 2 = 0 THEN 'a/' ELSE 'a/b/' END AS root FROM n WHERE kind <> 'part' UNION ALL SELECT id, kind, NULL FROM n WHERE kind = 'part'),
+h1 AS (SELECT * FROM (SELECT to_node AS seed, e.*, row_number() OVER (PARTITION BY to_node ORDER BY relation, from_node, to_node, id) AS r FROM e WHERE to_node IN (SELECT id FROM m)) WHERE r <= 100), k AS (SELECT seed, count(*) AS k FROM h1 GROUP BY 1), f1 AS (SELECT DISTINCT seed, from_node AS id FROM h1 WHERE from_node <> seed),
+h2 AS (SELECT x.* FROM (SELECT f1.seed, e.*, row_number() OVER (PARTITION BY f1.seed ORDER BY e.relation, e.from_node, e.to_node, e.id) AS r FROM f1 JOIN e ON e.to_node = f1.id WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.seed = f1.seed AND h1.id = e.id)) x JOIN k ON k.seed = x.seed WHERE r <= 100 - k),
+h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2), found AS (SELECT id AS seed, id FROM m UNION SELECT seed, from_node FROM h), o AS (SELECT seed, count(*) AS edges, list_sort(list_distinct(list(relation))) AS relations, list_sort(list_distinct(list(confidence) FILTER (WHERE confidence <> 'EXTRACTED'))) AS soft FROM h GROUP BY 1),
+p AS (SELECT seed, count(*) FILTER (WHERE m.id <> seed) AS dependents, bool_or(kind = 'table') AS tables, count(DISTINCT root) AS repos, bool_or(kind = 'part' AND substr(m.id, 3) IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 1)) AS stale FROM found JOIN m ON m.id = found.id GROUP BY 1),
+d AS (SELECT seed, list(c_name ORDER BY c_custkey DESC) AS names FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY c_custkey DESC) AS r FROM found JOIN customer ON id = 'c:' || c_custkey WHERE c_acctbal < 0 AND c_custkey % 3 <> 0) WHERE r <= 20 GROUP BY 1),
+l AS (SELECT seed, list_sort(list(rule)) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY rule) AS r FROM (SELECT DISTINCT seed, 'rule ' || s_suppkey % 47 AS rule FROM found JOIN supplier ON id = 's:' || s_suppkey WHERE s_acctbal > 0 AND s_suppkey % 2 = 0)) WHERE r <= 20 GROUP BY 1),
+g AS (SELECT p.*, coalesce(edges, 0) AS edges, coalesce(relations, []) AS relations, coalesce(soft, []) AS soft, coalesce(names, []) AS names, coalesce(rules, []) AS rules, len(coalesce(names, [])) + len(coalesce(rules, [])) AS reasoning FROM p LEFT JOIN o USING (seed) LEFT JOIN d USING (seed) LEFT JOIN l USING (seed))
+SELECT seed AS id, dependents, edges, edges >= 100 AS capped, array_to_string(relations, ',') AS relations, repos, array_to_string(names, ',') AS decisions, array_to_string(rules, ',') AS lessons, CASE WHEN edges >= 100 OR tables OR repos > 1 OR dependents >= 20 THEN 'HIGH' WHEN dependents >= 5 OR len(relations) >= 2 OR reasoning > 0 OR len(soft) > 0 OR stale THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+CASE WHEN stale OR tables THEN 'LIMITED' ELSE 'SUFFICIENT' END AS confidence, coalesce(nullif({_REASONS}, ''), 'no boundary, cap, reasoning or staleness signal') AS reasons FROM g""")
 def impact_report(t):
-    """What depends on each nation within two hops, decisions on it, and the risk of a change."""
-    e, seeds = _edges(t), t.nation.select(_sid("n:", "n_nationkey").alias("id"))
-    records = t.customer.select(_sid("c:", "c_custkey").alias("node"), F.col("c_custkey").alias("record"), (F.col("c_acctbal") < 0).alias("valid"))
-    nodes = _nodes(t)
-    out = graph.impact(nodes, e, seeds, records)
-    return out.select("id", "dependents", F.array_join("relations", ",").alias("relations"), "records", "risk")
+    """For every node what depends on it within two hops, at most 100 edges, over two repositories; the decisions and lessons on all that, and the risk of a change with its reasons."""
+    e, nodes = _edges(t), _nodes(t)
+    path = F.when(F.col("kind") != "part", F.concat(F.when(F.length("name") % 2 == 0, "a/").otherwise("a/b/"), F.col("name")))
+    nodes = nodes.select("id", F.when(F.col("kind") == "supplier", "table").otherwise(F.col("kind")).alias("kind"), path.alias("file_path"))
+    decisions = t.customer.select(_sid("c:", "c_custkey").alias("node"), F.when(F.col("c_custkey") % 3 == 0, "q").otherwise("p").alias("project"), F.col("c_name").alias("description"), F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("at"), (F.col("c_acctbal") < 0).alias("valid"))
+    lessons = t.supplier.select(_sid("s:", "s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 2 == 1, "q").alias("project"), F.concat(F.lit("rule "), (F.col("s_suppkey") % 47).cast("string")).alias("rule"), (F.col("s_acctbal") > 0).alias("valid"))
+    roots = e.sparkSession.createDataFrame([("a",), ("a/b",)], "root string")
+    stale = t.part.where("p_size = 1").select(_sid("p:", "p_partkey").alias("id"))
+    out = graph.impact(nodes, e, nodes.select("id"), decisions, lessons, roots, "p", stale=stale, schema_stale=True)
+    return out.select("id", "dependents", "edges", "capped", F.array_join("relations", ",").alias("relations"), "repos", F.array_join(F.transform("decisions", lambda x: x["description"]), ",").alias("decisions"), F.array_join("lessons", ",").alias("lessons"), "risk", "confidence", "reasons")
+
 
+_TEXT = "nation_1"
 
-@query(f"""WITH {_E}, {_N}, s AS (SELECT id FROM n WHERE lower(name) = 'nation_3'), a AS (SELECT DISTINCT from_node AS id FROM e JOIN n ON n.id = from_node WHERE relation = 'belongs_to' AND kind IN ('customer', 'supplier') AND to_node IN (SELECT id FROM s)) SELECT id, 0 AS step FROM s UNION ALL SELECT id, 1 FROM a""")
+
+@query(f"""WITH {_E}, {_N}, q AS (SELECT *, kind || '/' || name AS qn FROM n), hit AS (SELECT id, kind, qn, lower(name) = '{_TEXT}' OR lower(qn) = '{_TEXT}' AS exact, {_GRAMS.format("name")} AS a, {_GRAMS.format("qn")} AS b, {_GRAMS.format(f"'{_TEXT}'")} AS g FROM q WHERE contains(lower(name), '{_TEXT}') OR contains(lower(qn), '{_TEXT}')),
+ranked AS (SELECT id, row_number() OVER (ORDER BY exact DESC, greatest(len(list_intersect(a, g)) / (len(a) + len(g) - len(list_intersect(a, g))), len(list_intersect(b, g)) / (len(b) + len(g) - len(list_intersect(b, g)))) DESC, kind, qn, id) AS place FROM hit), s AS (SELECT * FROM ranked WHERE place <= 7),
+a AS (SELECT from_node FROM e JOIN n ON n.id = from_node WHERE relation = 'belongs_to' AND kind IN ('customer', 'supplier') AND to_node IN (SELECT id FROM s) ORDER BY relation, from_node, to_node, e.id LIMIT 100)
+SELECT id, 0 AS step, CAST(place AS INTEGER) AS place FROM s UNION ALL SELECT DISTINCT from_node, 1, NULL FROM a""")
 def graph_query_text(t):
-    """A query that starts at what a text names."""
-    e, nodes = _edges(t), _nodes(t)
-    seeds = graph.named_seeds(nodes, "nation_3")
-    return graph.traverse(nodes, e, seeds, [graph.Step("in", ("belongs_to",), ("customer", "supplier"))], None)[0]
+    """A query that starts at all that a text names, the first seven of them: the one of that very name, then the most similar."""
+    e, nodes = _edges(t), _nodes(t).withColumn("qualified_name", F.concat_ws("/", "kind", "name"))
+    seeds, _ = graph.named_seeds(nodes, _TEXT, most=7)
+    found = graph.traverse(nodes, e, seeds, [graph.Step("in", ("belongs_to",), ("customer", "supplier"))], 100)[0]
+    return found.join(seeds.select("id", "place"), "id", "left").select("id", "step", "place")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_custkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 'head' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'head' END END AS commit_sha FROM orders""")

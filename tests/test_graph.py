@@ -82,3 +82,36 @@ def test_writes(spark):
     assert names(writes.orphans(old, rows.withColumn("relation", F.lit("defines")), ["endpoint"])) == ["e"]
     assert writes.unknown_words(old, "kind", ["file"]).count() == 2
     assert names(writes.insert_new(old, new, ["kind", "qualified_name"])) == ["g"]
+
+
+def test_no_allowance_gives_no_edges(spark, g):
+    nodes, edges = graph.traverse(*g, ids(spark, "b"), [graph.Step("both", ("calls_endpoint",))], 0)
+    assert [(r["id"], r["step"]) for r in nodes.collect()] == [("b", 0)] and edges.count() == 0 and edges.columns == g[1].columns
+
+
+def test_seeds_keep_every_hit(spark):
+    rows = [("1", "function", "xy", "m.xy", "a/1"), ("2", "class", "x", "m.x", "a/2"), ("3", "function", "axb", None, "b/3"), ("4", "file", "q", "X", "b/4"), ("5", "file", "none", "none", "a/5"), ("x%", "file", "per%cent", None, None)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string, qualified_name string, file_path string")
+    found = lambda *a, **k: ([r["id"] for r in graph.named_seeds(nodes, *a, **k)[0].orderBy("place").collect()], graph.named_seeds(nodes, *a, **k)[1])
+    assert found("x") == (["2", "4", "1", "3"], False)
+    assert found("x", most=2) == (["2", "4"], True)
+    assert found("X", kinds=("function",)) == (["1", "3"], False) and found("x", path_prefix="b/") == (["4", "3"], False)
+    assert found("3") == (["3"], False) and found("%c") == (["x%"], False) and found("nothing") == ([], False)
+
+
+def test_impact_reasons_and_caps(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "table" if k == 9 else "function", "a/x" if k % 2 else "b/y") for k in range(10)], "id string, kind string, file_path string")
+    edges = spark.createDataFrame([(f"e{k}", f"n{k}", "n0", "calls", "EXTRACTED") for k in range(1, 9)] + [("e9", "n9", "n1", "imports", "INFERRED"), ("e10", "n0", "n0", "calls", "EXTRACTED")], "id string, from_node string, to_node string, relation string, confidence string")
+    decisions = spark.createDataFrame([("n1", "p", f"d{k}", "s", k, k != 3) for k in range(25)] + [("n1", "q", "other", "s", 99, True)], "node string, project string, description string, source string, at int, valid boolean")
+    lessons = spark.createDataFrame([("n0", None, "global", True), ("n0", "q", "theirs", True), ("n0", "p", "old", False), ("n2", "p", "own", True)], "node string, project string, rule string, valid boolean")
+    roots = spark.createDataFrame([("a",), ("b",)], "root string")
+    row = lambda **k: graph.impact(nodes, edges, ids(spark, "n0"), decisions, lessons, roots, "p", **k).collect()[0]
+    r = row()
+    assert (r["dependents"], r["edges"], r["capped"], r["repos"], r["risk"], r["confidence"]) == (9, 10, False, 2, "HIGH", "SUFFICIENT")
+    assert [d["description"] for d in r["decisions"]] == [f"d{k}" for k in range(24, 4, -1)] and r["lessons"] == ["global", "own"]
+    assert r["reasons"] == "public boundary affected: table; spans 2 configured repositories; 9 dependents (>= 5); 2 distinct dependency relations (>= 2); 22 linked decisions/lessons; non-extracted edge confidence: INFERRED"
+    r = row(cap=3, schema_stale=True, stale=ids(spark, "n1"))  # e10, e1 and e2 come first
+    assert (r["dependents"], r["edges"], r["capped"], r["confidence"]) == (2, 3, True, "LIMITED")
+    assert r["reasons"].startswith("traversal capped at 3 edges; spans 2") and r["reasons"].endswith("a returned code node is stale or unattributed")
+    quiet = graph.impact(nodes, edges, ids(spark, "n9"), decisions.limit(0), lessons.limit(0), roots.limit(0)).collect()[0]
+    assert (quiet["dependents"], quiet["risk"], quiet["decisions"]) == (0, "HIGH", [])
