@@ -24,19 +24,25 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 #: One attribute: its whole name, and its value in quotes or bare.
 _ATTR = re.compile(r"""([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset("head script style noscript template title nav footer aside form button select option textarea input label fieldset dialog iframe object embed svg canvas audio video map menu xmp noembed noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+ROLES = frozenset("navigation banner comment contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words of class and id names that mark a part as no article text.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related recommended replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words that as the head of a name say that readers' comments stand there, wherever that is.
+COMMENTS = frozenset("comment comments commenter commenters commentlist disqus replies reply respond responses talkback".split())
+#: Words that make a name say how something is rather than what stands there.
+STATES = frozenset("allow allowed closed disable disabled enable enabled has have hide is no not open show with without".split())
 #: Those that within an article mark its own head.
 TOPS = frozenset(("header", "masthead", "banner"))
 #: Words that may stand beside those of NAMES in a name within an article, which marks no junk if it holds any other.
 PLAIN = frozenset("area articles bar block body bottom box btn button buttons container content form group icons inline inner item items label left link links list more outer panel posts right section slot small stories text title top unit wrap wrapper".split())
+#: Words that may follow a word of COMMENTS in the name of such a part.
+STRUCTURE = PLAIN | frozenset("app author avatar count counter date embed feed heading holder main meta module number page pane permalink region root tab thread threads time tree user users view zone".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -91,14 +97,21 @@ def _tags(page: str):
             yield None
 
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(name)]
+
+
+def _names_comments(words: list[str]) -> bool:
+    """Whether a name's head, its last word but for those of mere structure, is one for readers' comments."""
+    return STATES.isdisjoint(words) and next((w for w in reversed(words) if w not in STRUCTURE), "") in COMMENTS
+
+
 def _names_junk(value: str, within: bool) -> bool:
-    """Whether a class or id names a part that is no article text; within an article only a name that says nothing else does."""
-    if not within:
-        return not NAMES.isdisjoint(_WORD.findall(value))
+    """Whether a class or id names a part that is no article text; within an article only a name for comments does, or one that says nothing else."""
     for name in value.split():
-        words = set(_WORD.findall(name))
-        hit = words & NAMES
-        if hit - TOPS and words <= NAMES | PLAIN:
+        words = _words(name)
+        hit = NAMES.intersection(words)
+        if not within and hit or hit - TOPS and NAMES.union(PLAIN).issuperset(words) or _names_comments(_words(name.split("--")[0])):
             return True
     return False
 
@@ -110,9 +123,13 @@ def _left_out(tag: str, attrs: str, within: bool, names: bool) -> bool:
     if tag == "header":
         return not within
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            return True
+        if name == "itemprop" and value.lower() == "comment" or name == "itemtype" and value.lower().rstrip("/").endswith(("schema.org/comment", "schema.org/usercomments")):
             return True
+        if name == "id" and tag in HEADINGS:  # made from the heading's words
+            continue
         if name in ("class", "id") and names and not (tag in ("html", "body", "main") or tag == "article" and not within) and _names_junk(value, within):
             return True
     return False

@@ -89,6 +89,47 @@ def test_all_sections_of_an_article_and_what_stands_beside(words):
         assert html_text.extract(page) == text
 
 
+COMMENT_PARTS = ("class='reader-comments'", "class='user-comments'", "class='post-comments-area'", "class='responses'", "class=commentList", "id=comments-section", "class='article__comments'", "class='c-box comments--open'", "id=respond", "class='comment-body'", "class='replies'", "role=comment", "itemprop=comment", "itemscope itemtype='https://schema.org/Comment'", "id=disqus_thread", "class=ReaderComments")
+NO_COMMENT_PARTS = ("class='has-comments'", "class='entry no-comments'", "class='comments-closed'", "class='comment-policy'", "id='responses-of-cells'", "class='in-reply-to'", "class=commentary", "data-comments=4", "class='commented-code'")
+
+
+def test_reader_comments_inside_and_beside_an_article(words):
+    """Threads of several depths under any of their usual names, against what the article was made of."""
+    import random
+
+    rng = random.Random(8)
+    line = lambda n: " ".join(words(rng.randrange(3, n)))
+
+    def thread(depth):
+        said = "".join(f"<li><span class=author>{line(4)}</span><time>{line(4)}</time><p>{line(90)}</p>{thread(depth - 1) if depth and rng.random() < 0.5 else ''}</li>" for _ in range(rng.randrange(1, 5)))
+        return f"<h3>{line(4)}</h3><ol>{said}</ol>"
+
+    for part in COMMENT_PARTS * 3:
+        tag = rng.choice(("div", "section", "ul"))
+        texts = [line(80) for _ in range(rng.randrange(1, 6))]
+        body = "".join(f"<p>{x}</p>" for x in texts)
+        comments = f"<{tag} {part}>{thread(2)}</{tag}>"
+        for page in (f"<article>{body}{comments}</article>", f"<article><div>{body}<div>{comments}</div></div></article>", f"<main><article>{body}</article>{comments}</main>", f"<article>{body}</article>{comments}"):
+            assert extract(f"<body><nav>m</nav>{page}<footer>f</footer></body>") == "\n".join(texts), (part, page[-200:])
+
+
+def test_names_that_only_sound_like_comments():
+    for part in NO_COMMENT_PARTS:
+        assert extract(f"<article><p>One.</p><div {part}><p>Two, three.</p></div></article>") == "One.\nTwo, three.", part
+    assert extract("<article><h2 id='comments-on-the-plan'>Comments on the plan</h2><p>One.</p></article>") == "Comments on the plan\nOne."
+
+
+def test_extra_columns_of_the_same_names(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "theirs", 9, "y")], "page_id long, url string, html string, text string, n_chars int, found string")
+    assert [tuple(r) for r in html_text.main_text(pages).select("page_id", "url", "text", "n_chars").collect()] == [(1, "u", "x", 1)]
+
+
+def test_ties_between_containers():
+    a, b = "<p>One, two, three, four.</p>", "<p>Aaa, bbb, ccccc, dddd.</p>"
+    assert extract(f"<body><div>{a}</div><div>{b}</div></body>") == "One, two, three, four.\nAaa, bbb, ccccc, dddd."
+    assert extract(f"<article>{a}</article><article>{b}</article>").startswith("One, two, three, four.")
+
+
 def test_generated_pages(words):
     """Articles of several sections among parts that are left out, against what they were made of."""
     import random
