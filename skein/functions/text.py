@@ -50,7 +50,7 @@ SAFE = (1 << 53) - 1
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of a text's words, lower-cased; each word stands between two blanks and one."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    words = F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 0)
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_literal, jaccard, similarity, trigrams
 from ..functions.vectors import cosine, dot, norm
+from ..storage import settled
 
 
 def literal_vector(v: list[float]) -> Column:
@@ -92,34 +99,122 @@ def similar_vectors(rows: DataFrame, least: float, key: str = "id", vector: str
     return a.join(b, block).where("id_a < id_b").withColumn("score", score).where(F.col("score") >= least).select("id_a", "id_b", "score")
 
 
-def similar_texts(rows: DataFrame, least: float, key: str = "id", text: str = "text") -> DataFrame:
-    """(id_a, id_b, score) of texts with a trigram similarity of at least so much.
+#: Bits of a trigram set's image, sets in one tile, and tiles' pairs that a worker holds at once.
+BITS, TILE, HELD = 1 << 15, 512, 4
+
 
-    Candidates share one of a text's rarest trigrams: two sets of similarity s share enough that the first
-    n - ceil(s x n) + 1 trigrams in order of rarity must meet.  Equal trigram sets are one candidate.
+def _tiles(kinds: DataFrame) -> DataFrame:
+    """(tile, low, high, kinds, sizes, losses, bits): classes in order of size, a few hundred in a row, each as an image of its set.
+
+    losses: how many trigrams of a set share their bit with another of it.
+    """
+
+    def image(grams: list[str]) -> np.ndarray:
+        out = np.zeros(BITS, bool)
+        out[[zlib.crc32(g.encode()) % BITS for g in grams]] = True
+        return np.packbits(out)
+
+    def run(batches):
+        held = []
+        for b in batches:
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (image(g) for g in b.column(2).to_pylist()), strict=True)
+            while len(held) >= TILE:
+                yield tile(held[:TILE])
+                held = held[TILE:]
+        if held:
+            yield tile(held)
+
+    def tile(rows):
+        sizes, bits = [n for _, n, _ in rows], np.stack([x for _, _, x in rows])
+        losses = np.array(sizes) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        values = [uuid.uuid4().hex, sizes[0], sizes[-1], [k for k, _, _ in rows], sizes, losses.tolist(), bits.tobytes()]
+        types = [pa.string(), pa.int64(), pa.int64(), kind, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["tile", "low", "high", "kinds", "sizes", "losses", "bits"])
+
+    of = dict(kinds.dtypes)["_kind"]
+    kind = pa.list_(pa.string() if of == "string" else pa.int64())
+    sized = kinds.select(F.col("_kind") if of == "string" else F.col("_kind").cast("long"), F.size("_g").cast("long").alias("_size"), "_g")
+    return settled(sized.repartitionByRange("_size", "_kind").sortWithinPartitions("_size", "_kind").mapInArrow(run, f"tile string, low long, high long, kinds array<{'string' if of == 'string' else 'long'}>, sizes array<long>, losses array<long>, bits binary"))
+
+
+def _meetings(tiles: DataFrame, least: float) -> DataFrame:
+    """(a, b): tiles of which some sizes are near enough; by an equi-join on steps of the sizes' logarithm."""
+    step = lambda n: F.floor(F.log(n.cast("double")) / -math.log(least)).cast("int")
+    edges = tiles.select("tile", "low", "high", step(F.col("low")).alias("_from"), step(F.col("high")).alias("_to"))
+    side = lambda s, far: edges.select(F.col("tile").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.explode(F.sequence(F.col("_from") - far, F.col("_to") + far)).alias("_k"))
+    near = (F.col("high_a") >= least * F.col("low_b") - 1e-6) & (F.col("high_b") >= least * F.col("low_a") - 1e-6)
+    return side("a", 1).join(side("b", 0), "_k").where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
+
+
+def _candidates(tiles: DataFrame, least: float) -> DataFrame:
+    """(_ka, _kb): pairs of classes whose images leave a similarity of `least` possible."""
+    half = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "kinds", "sizes", "losses", "bits")])
+    met = _meetings(tiles, least).join(half("a"), F.col("a") == F.col("tile_a")).join(half("b"), F.col("b") == F.col("tile_b"))
+    of = dict(tiles.dtypes)["kinds"].removeprefix("array<").removesuffix(">")
+    kind = pa.string() if of == "string" else pa.int64()
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                same = row["tile_a"] == row["tile_b"]
+                a, b = (np.frombuffer(row[f"bits_{s}"], np.uint64).reshape(-1, BITS // 64) for s in "ab")
+                (na, la), (nb, lb) = ((np.array(row[f"sizes_{s}"]), np.array(row[f"losses_{s}"])) for s in "ab")
+                left, right = [], []
+                for i in range(len(a)):
+                    js = np.flatnonzero(np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]) - 1e-9)
+                    js = js[js > i] if same else js
+                    if not len(js):
+                        continue
+                    shared = np.bitwise_count(b[js] & a[i]).sum(axis=1, dtype=np.int64) + np.minimum(lb[js], la[i])
+                    hit = js[shared * (1 + least) >= least * (nb[js] + na[i]) - 1e-6]
+                    left += [row["kinds_a"][i]] * len(hit)
+                    right += [row["kinds_b"][j] for j in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["_x", "_y"])
+
+    spark, key = tiles.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(HELD))  # a row holds two tiles
+    try:
+        found = settled(met.select(*[f"{c}_{s}" for s in "ab" for c in ("tile", "kinds", "sizes", "losses", "bits")]).mapInArrow(run, f"_x {of}, _y {of}"))
+    finally:
+        spark.conf.set(key, before)
+    return found.select(F.least("_x", "_y").alias("_ka"), F.greatest("_x", "_y").alias("_kb"))
+
+
+def similar_texts(rows: DataFrame, least: float, key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links) of texts with a trigram similarity of at least so much.
+
+    Texts of one trigram set are a class, named by its smallest key: members(key, class_id); links(class_a, class_b, score) are between
+    different classes.  Two texts are similar if they are of one class or their classes are linked, so copies make no pairs.
+
+    Long texts of a language share most of its trigrams, so no rare one tells which may be alike; sets are compared as bits, tile by
+    tile, where their sizes allow, and what the bits leave possible is compared exactly.  Texts without a trigram are similar to none.
     """
     sets = rows.select(key, trigrams(F.col(text)).alias("_g")).where(F.size("_g") > 0).select(key, F.array_sort("_g").alias("_g"))
-    kinds = sets.groupBy("_g").agg(F.min(key).alias("_kind"))
-    grams = kinds.select("_kind", F.explode("_g").alias("_t"))
-    often = grams.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
-    order = grams.join(often, "_t").groupBy("_kind").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))
-    n = F.size("_o")
-    probe = order.select("_kind", n.alias("_size"), F.explode(F.slice("_o", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("_p")).select("_kind", "_size", F.col("_p._t").alias("_t"))
-    a, b = (probe.select(F.col("_kind").alias(f"_k{s}"), F.col("_size").alias(f"_s{s}"), "_t") for s in "ab")
-    cand = a.join(b, "_t").where((F.col("_ka") < F.col("_kb")) & (F.least("_sa", "_sb") >= F.lit(least) * F.greatest("_sa", "_sb"))).select("_ka", "_kb").distinct()
+    sets = settled(sets.withColumn("_h", F.sha2(F.array_join("_g", " "), 256)))
+    kinds = settled(sets.groupBy("_h").agg(F.min(key).alias("_kind"), F.any_value("_g").alias("_g")))
     of = lambda s: kinds.select(F.col("_kind").alias(f"_k{s}"), F.col("_g").alias(f"_g{s}"))
-    scored = cand.join(of("a"), "_ka").join(of("b"), "_kb").withColumn("score", jaccard(F.col("_ga"), F.col("_gb"))).where(F.col("score") >= least).select("_ka", "_kb", "score")
-    same = kinds.select(F.col("_kind").alias("_ka"), F.col("_kind").alias("_kb"), F.lit(1.0).alias("score"))
-    pairs = scored.unionByName(scored.select(F.col("_kb").alias("_ka"), F.col("_ka").alias("_kb"), "score")).unionByName(same)
-    members = sets.join(kinds, "_g").select(key, "_kind")
-    l, r = (members.select(F.col(key).alias(f"id_{s}"), F.col("_kind").alias(f"_k{s}")) for s in "ab")
-    return pairs.join(l, "_ka").join(r, "_kb").where("id_a < id_b").select("id_a", "id_b", "score")
+    links = _candidates(_tiles(kinds), least).join(of("a"), "_ka").join(of("b"), "_kb").withColumn("score", jaccard(F.col("_ga"), F.col("_gb"))).where(F.col("score") >= least)
+    members = sets.select(key, "_h").join(kinds.select("_h", "_kind"), "_h").select(key, F.col("_kind").alias("class_id"))
+    return members, links.select(F.col("_ka").alias("class_a"), F.col("_kb").alias("class_b"), "score")
+
+
+def alike(rows: DataFrame, least: float, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links) of every row: its class, and how many other texts are similar to it (R8).  A text without a trigram is a class of its own."""
+    members, links = similar_texts(rows, least, key, text)
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("_size"))
+    both = links.select("class_a", "class_b").unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    near = both.join(sizes.select(F.col("class_id").alias("class_b"), "_size"), "class_b").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("_size").alias("_near"))
+    counts = sizes.join(near, "class_id", "left").select("class_id", (F.col("_size") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"))
+    out = rows.select(key).join(members.join(counts, "class_id"), key, "left")
+    return out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, a: str = "new_id", a_text: str = "_rule", b: str = "id", b_text: str = "rule") -> DataFrame:
     """(a, b, score) of texts of two tables with a trigram similarity of at least so much.
 
-    A prefix filter as in similar_texts, in the order of the trigrams' rarity among the right texts.
+    Candidates share one of a text's rarest trigrams among the right texts: two sets of similarity s share enough that the first
+    n - ceil(s x n) + 1 in order of rarity must meet.
     """
     sets = lambda d, k, t: d.select(k, trigrams(F.col(t)).alias("_g")).where(F.size("_g") > 0)
     l, r = sets(left, a, a_text), sets(right, b, b_text)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_SECONDS, CEILING = 24 * 3600, 150
@@ -61,31 +62,32 @@ def folded(entries: Iterable[tuple[float | None, bool, int]], **bounds) -> list[
     return [f.feed(*e) for e in entries]
 
 
-def segments(entries: DataFrame, transcript: str = "transcript", order: str = "ord", gap_seconds: int = GAP_SECONDS, ceiling: int = CEILING) -> DataFrame:
-    """(transcript, ord, segment) by all three rules (T1): entries(transcript, ord, ts, is_compaction, thinking).
-
-    The counter depends on earlier splits, so each transcript is folded in order; transcripts are spread by hash.
-    """
+def _in_order(entries: DataFrame, transcript: str, order: str, micros: Column, marker: Column, weight: Column, gap_seconds: float, ceiling: int) -> DataFrame:
+    """(transcript, ord, segment): each transcript's rows, sorted, pass through one fold a batch at a time; a task holds no transcript."""
     kind = dict(entries.dtypes)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        f = Fold(gap_seconds, ceiling)
-        pdf["segment"] = [f.feed(seconds(t), bool(c), int(n or 0)) for t, c, n in zip(pdf["ts"], pdf["is_compaction"], pdf["thinking"], strict=True)]
-        return pdf[[transcript, order, "segment"]]
+    def run(batches):
+        of, f = None, None
+        for b in batches:
+            out = []
+            for t, at, mark, n in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if f is None or t != of:
+                    of, f = t, Fold(gap_seconds, ceiling)
+                out.append(f.feed(None if at is None else at / 1e6, bool(mark), n or 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [transcript, order, "segment"])
 
-    return entries.select(transcript, order, "ts", "is_compaction", "thinking").groupBy(transcript).applyInPandas(run, f"{transcript} {kind[transcript]}, {order} {kind[order]}, segment int")
+    rows = entries.select(transcript, order, micros.alias("_at"), marker.alias("_mark"), weight.cast("long").alias("_n"))
+    return rows.repartition(transcript).sortWithinPartitions(transcript, order).mapInArrow(run, f"{transcript} {kind[transcript]}, {order} {kind[order]}, segment int")
 
 
-def native_ceiling(entries: DataFrame, transcript: str, order: str, weight: str, ceiling: int) -> DataFrame:
-    """(transcript, ord, segment) by the ceiling alone, folded over each transcript's sorted array inside the JVM (T1, count rule)."""
-    rows = entries.groupBy(transcript).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).cast("long").alias("w")))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
+def segments(entries: DataFrame, transcript: str = "transcript", order: str = "ord", gap_seconds: int = GAP_SECONDS, ceiling: int = CEILING) -> DataFrame:
+    """(transcript, ord, segment) by all three rules (T1): entries(transcript, ord, ts, is_compaction, thinking).
+
+    The counter depends on earlier splits, so a transcript is folded in order; transcripts are spread by hash.
+    """
+    return _in_order(entries, transcript, order, F.unix_micros(F.col("ts").cast("timestamp")), F.coalesce("is_compaction", F.lit(False)), F.col("thinking"), gap_seconds, ceiling)
 
-    def step(acc, x):
-        over = (F.size(acc["out"]) > 0) & (acc["n"] + x["w"] > ceiling)
-        s = F.when(over, acc["s"] + 1).otherwise(acc["s"])
-        return F.struct(F.when(over, x["w"]).otherwise(acc["n"] + x["w"]).alias("n"), s.alias("s"), F.array_append(acc["out"], s).alias("out"))
 
-    out = rows.select(transcript, F.arrays_zip(F.transform("e", lambda x: x["o"]).alias("o"), F.aggregate("e", start, step)["out"].alias("s")).alias("z"))
-    return out.select(transcript, F.explode("z").alias("z")).select(transcript, F.col("z.o").alias(order), F.col("z.s").alias("segment"))
+def by_ceiling(entries: DataFrame, transcript: str, order: str, weight: str, ceiling: int) -> DataFrame:
+    """(transcript, ord, segment) by the ceiling alone (T1, count rule)."""
+    return _in_order(entries, transcript, order, F.lit(None).cast("long"), F.lit(False), F.col(weight), GAP_SECONDS, ceiling)

@@ -329,11 +329,12 @@ def trigram_search(t):
     return retrieval.by_trigrams(t.documents.select("doc_id", "text"), _QUERY, 0.02, 50, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH g AS (SELECT s_suppkey AS doc_id, list_sort({_GRAMS.format("(s_name || ' of nation ' || s_nationkey)")}) AS g FROM supplier) SELECT id_a, id_b, round(s, 6) AS score FROM (SELECT x.doc_id AS id_a, y.doc_id AS id_b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM g x JOIN g y ON x.doc_id < y.doc_id AND len(x.g) > 0 AND len(y.g) > 0) WHERE s >= 0.8""")
+@query(f"""WITH k AS (SELECT doc_id, {_GRAMS.format("text")} AS g FROM documents), c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep, count(*) AS n FROM k WHERE len(g) > 0 GROUP BY 1), u AS (SELECT rep, n, len(g) AS size, unnest(g) AS t FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y, any_value(b.n) AS n, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS s FROM u a JOIN u b ON a.t = b.t AND a.rep <> b.rep GROUP BY ALL), q AS (SELECT x AS rep, CAST(sum(n) AS BIGINT) AS near FROM p WHERE s >= 0.8 GROUP BY 1)
+SELECT doc_id, coalesce(rep, doc_id) AS class_id, coalesce(c.n - 1, 0) + coalesce(near, 0) AS n_links FROM k LEFT JOIN c ON len(k.g) > 0 AND list_sort(k.g) = c.g LEFT JOIN q USING (rep)""")
 def trigram_dedup(t):
-    """Notes that say nearly the same."""
-    rows = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.concat_ws(" ", "s_name", F.lit("of nation"), F.col("s_nationkey").cast("string")).alias("text"))
-    return retrieval.similar_texts(rows, 0.8, key="doc_id").select("id_a", "id_b", F.round("score", 6).alias("score"))
+    """Every document with the class of those that have the same trigrams, and how many others say nearly the same."""
+    return retrieval.alike(t.documents, 0.8, key="doc_id")
 
 
 @query()
@@ -590,10 +591,11 @@ def session_gap_segments(t):
 @query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), f AS (SELECT conv_id, turn, k, CAST(w AS BIGINT) AS n, 0 AS s FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN f.n + o.w > 1000 THEN o.w ELSE f.n + o.w END, CASE WHEN f.n + o.w > 1000 THEN f.s + 1 ELSE f.s END FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1) SELECT conv_id, turn, CAST(s AS INTEGER) AS segment FROM f""")
 def session_ceiling_segments(t):
     """A running count that starts anew with each segment."""
-    return segments.native_ceiling(t.conversations.withColumn("w", F.length("text")), "conv_id", "turn", "w", 1000)
+    return segments.by_ceiling(t.conversations.withColumn("w", F.length("text")), "conv_id", "turn", "w", 1000)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, event_type = 'signup' AS mark, coalesce(CAST(trunc(value) AS BIGINT), 0) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT user_id, event_id, k, ts, w AS n, 0 AS s FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.event_id, o.k, o.ts, CASE WHEN o.mark OR o.ts - f.ts >= INTERVAL 24 HOUR OR f.n + o.w > 150 THEN o.w ELSE f.n + o.w END, CASE WHEN o.mark OR o.ts - f.ts >= INTERVAL 24 HOUR OR f.n + o.w > 150 THEN f.s + 1 ELSE f.s END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id AS transcript, event_id AS ord, CAST(s AS INTEGER) AS segment FROM f""")
 def session_fold_segments(t):
     """Gap, marker and ceiling in one fold."""
     e = t.events.select(F.col("user_id").alias("transcript"), F.col("event_id").alias("ord"), "ts", (F.col("event_type") == "signup").alias("is_compaction"), F.col("value").cast("int").alias("thinking"))

@@ -71,7 +71,14 @@ def test_similar_texts_lose_no_pair(spark):
 
     a, b = (docs.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"t_{s}")) for s in "ab")
     want = {(r[0], r[1]) for r in a.join(b, F.col("id_a") < F.col("id_b")).where(similarity(F.col("t_a"), F.col("t_b")) >= 0.3).select("id_a", "id_b").collect()}
-    assert {(r[0], r[1]) for r in retrieval.similar_texts(docs, 0.3, key="doc_id").select("id_a", "id_b").collect()} == want
+    members, links = retrieval.similar_texts(docs, 0.3, key="doc_id")
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    linked = {(r["class_a"], r["class_b"]) for r in links.collect()}
+    ids = sorted(of)
+    got = {(x, y) for k, x in enumerate(ids) for y in ids[k + 1 :] if of[x] == of[y] or (min(of[x], of[y]), max(of[x], of[y])) in linked}
+    assert got == want
+    links_of = {r["doc_id"]: r["n_links"] for r in retrieval.alike(docs, 0.3, key="doc_id").collect()}
+    assert links_of == {r["doc_id"]: sum(r["doc_id"] in p for p in want) for r in docs.collect()}
 
 
 def test_embedder_is_deterministic(spark):
