@@ -49,3 +49,41 @@ def test_the_command_prints_what_is_read():
     command = git.log_command("r", since="2026-01-01", every=True)
     assert command[:3] == ["git", "-C", "r"] and "--all" in command and "--since=2026-01-01" in command
     assert any(git.COMMIT in x and git.BODY in x and git.END in x for x in command)
+
+
+def commit(repo, name, at, text="x"):
+    import os
+    import subprocess
+
+    with open(os.path.join(repo, name), "w") as f:
+        f.write(text)
+    env = {**os.environ, "GIT_AUTHOR_DATE": at, "GIT_COMMITTER_DATE": at, "GIT_AUTHOR_NAME": "Ann", "GIT_COMMITTER_NAME": "Ann", "GIT_AUTHOR_EMAIL": "a@b.c", "GIT_COMMITTER_EMAIL": "a@b.c"}
+    for args in (["add", "."], ["commit", "-q", "-m", f"feat: {name}\n\nwhy ü {at}"]):
+        subprocess.run(["git", "-C", repo, *args], check=True, env=env)
+
+
+def test_two_syncs_with_late_commits_equal_one(spark, tmp_path):
+    import subprocess
+
+    from skein.sinks.snapshot import Snapshots
+    from skein.sources import gitlog
+
+    spark.dataSource.register(gitlog.GitLog)
+    repos = [str(tmp_path / x) for x in ("one", "two", "empty")]
+    for r in repos:
+        subprocess.run(["git", "init", "-q", r], check=True)
+    commit(repos[0], "a.py", "2024-01-01T10:00:00+02:00")
+    commit(repos[0], "b ü.py", "2024-06-01T10:00:00Z")
+    commit(repos[1], "c.py", "2024-03-01T10:00:00Z")
+    new = lambda name: Snapshots(spark, str(tmp_path / name), gitlog.COMMITS, ["repo", "hash"], parts=2)
+    table, once = new("t"), new("once")
+    assert gitlog.synced(spark, table, repos) == 3 and gitlog.synced(spark, table, repos) == 0
+    commit(repos[0], "late.py", "2024-05-28T10:00:00Z")  # within the overlap
+    commit(repos[1], "d.py", "2024-03-02T10:00:00Z")
+    assert gitlog.synced(spark, table, repos) == 2
+    assert gitlog.synced(spark, once, repos) == 5
+    key = lambda t: sorted(map(tuple, t.read().collect()), key=lambda r: r[:2])
+    assert key(table) == key(once)
+    assert {r["subject"] for r in table.read().collect()} == {f"feat: {x}" for x in ("a.py", "b ü.py", "c.py", "d.py", "late.py")}
+    logs = spark.read.format("git_log").option("repos", f'["{repos[0]}"]').option("days", "30").load()
+    assert logs.rdd.getNumPartitions() == 2 and {r["path"] for r in git.commit_files(logs).collect()} == {"a.py", "b ü.py", "late.py"}
