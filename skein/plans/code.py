@@ -150,3 +150,19 @@ def remapped_history(t):
     c, f, p = evidence.remap_history(commits, rewrites, findings, prior)
     out = c.select(F.lit("commit").alias("what"), "id", F.col("commit_hash").alias("value")).unionByName(f.select(F.lit("finding").alias("what"), "id", "value"))
     return out.unionByName(p.select(F.lit("rewrite").alias("what"), F.col("commit_id").alias("id"), F.concat("old_hash", F.lit(" "), F.coalesce("new_hash", F.lit("-"))).alias("value")))
+
+
+# ---- navigation -----------------------------------------------------------------------------------------------
+
+
+@query()
+def navigation(t):
+    """What is found for every region and nation, named with its parts, within eight steps from its own node."""
+    from ..functions.text import similarity
+    from ..operators.navigation import navigate
+    from .catalog import _edges, _nodes
+
+    nodes = _nodes(t).select("id", F.concat_ws(" ", "kind", "name").alias("text"))
+    asked = nodes.where("id like 'r:%' or id like 'n:%'").select(F.col("id").alias("question"), F.concat(F.lit("which customer or supplier of "), "text").alias("text"))
+    found = navigate(nodes, _edges(t), asked, asked.select("question", F.col("question").alias("id")), similarity)
+    return found.evidence.join(found.stops, "question").select("question", "place", "id", F.round("score", 6).alias("score"), "protected", "round", "stop")
