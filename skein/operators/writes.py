@@ -35,9 +35,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
     return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in cols])
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose key is not there yet, the first of each (W9, W28): what an idempotent append adds."""
-    return first_of(new.withColumn("_at", F.monotonically_increasing_id()), keys, [F.col("_at")]).join(old.select(*keys), keys, "left_anti").select(*new.columns)
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """Rows of new whose key is not there yet, the first of each (W9, W28): what an idempotent append adds.
+
+    order: columns that say which is first; without it the order of all other columns does, so a reread table gives the same rows.
+    """
+    return first_of(new, keys, order or [F.col(c) for c in new.columns if c not in keys] or [F.lit(1)]).join(old.select(*keys), keys, "left_anti").select(*new.columns)
 
 
 def upsert_guarded(old: DataFrame, new: DataFrame, keys: list[str], project: str = "project", keep: list[str] = ()) -> DataFrame:

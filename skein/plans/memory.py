@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import budget, evidence, graph, relational, retrieval, services, writes
+from ..operators import budget, evidence, graph, linkers, relational, retrieval, services, writes
 from .catalog import _B, _E, _GRAMS, _N, NOW, _edges, _nodes, _vector, query
 
 _PATH = "'src/' || p_brand || '/' || p_name || '.py'"
@@ -36,13 +36,13 @@ def total_with_latest(t):
     return total.join(F.broadcast(latest), F.lit(True), "left")
 
 
-@query("""SELECT 'w:' || a.p_partkey AS from_node, 't:' || b.p_partkey AS to_node FROM part a JOIN part b ON 'wp_' || a.p_brand || a.p_name = 'wp_' || b.p_brand || b.p_name""")
+@query("""SELECT 'w:' || a.p_partkey AS from_node, 't:' || b.p_partkey AS to_node FROM part a JOIN part b ON (SELECT n_name FROM nation WHERE n_nationkey = 3) || a.p_brand || a.p_name = 'NATION_' || b.p_size % 25 || b.p_brand || b.p_name""")
 def table_links(t):
-    """Logical tables linked to physical ones by a configured prefix, here a part's brand."""
-    brand = t.part.select("p_partkey", "p_brand", "p_name")
+    """Logical tables linked to the physical ones of a configured prefix, here a nation's name."""
+    brand = t.part.select("p_partkey", "p_brand", "p_name", "p_size")
     logical = brand.select(_sid("w:", "p_partkey").alias("id"), F.lit("wp_table").alias("kind"), F.concat("p_brand", "p_name").alias("name"))
-    physical = brand.select(_sid("t:", "p_partkey").alias("id"), F.lit("table").alias("kind"), F.concat(F.lit("wp_"), "p_brand", "p_name").alias("name"))
-    prefix = t.nation.where("n_nationkey = 999").agg(F.coalesce(F.min("n_name"), F.lit("wp_")).alias("p"))
+    physical = brand.select(_sid("t:", "p_partkey").alias("id"), F.lit("table").alias("kind"), F.concat(F.lit("NATION_"), (F.col("p_size") % 25).cast("string"), "p_brand", "p_name").alias("name"))
+    prefix = t.nation.where("n_nationkey = 3").agg(F.coalesce(F.min("n_name"), F.lit("wp_")).alias("p"))
     return graph.linked_tables(logical.unionByName(physical), prefix)
 
 
@@ -94,17 +94,15 @@ def latest_pass(t):
 # ---- graph ----------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part), d AS (SELECT o_orderkey, 'src/' || p_brand || '/' || p_name || '.py' AS f FROM orders JOIN part ON p_partkey = o_orderkey % 500 + 1 WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, p_name || '.py' FROM orders JOIN part ON p_partkey = o_orderkey % 500 + 1 WHERE o_orderstatus <> 'P')
+@query(f"""WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part), d AS (SELECT o_orderkey, 'src/' || p_brand || '/' || p_name || '.py' AS f FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1 WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, p_name || '.py' FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1 WHERE o_orderstatus <> 'P')
 SELECT DISTINCT o_orderkey AS decision, p_partkey AS node FROM d JOIN p ON p.path = d.f OR ends_with(p.path, '/' || d.f) WHERE o_orderkey % 7 <> 0""")
 def decision_file_links(t):
     """Decisions that hold linked to the files they name, by path or its end, but for links that are there."""
-    files = t.part.select("p_partkey", _path().alias("path"))
-    named = t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", (F.col("o_orderkey") % 500 + 1).alias("p_partkey")).join(t.part, "p_partkey")
-    named = named.select("o_orderkey", F.explode(F.array(_path(), F.concat("p_name", F.lit(".py")))).alias("named"))
-    there = t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("decision"))
-    ends = files.select("p_partkey", F.explode(evidence.suffixes(F.col("path"))).alias("named"))
-    out = named.join(ends, "named").select(F.col("o_orderkey").alias("decision"), F.col("p_partkey").alias("node")).distinct()
-    return out.join(there, "decision", "left_anti")
+    files = t.part.select(F.col("p_partkey").alias("node"), _path().alias("path"))
+    n = t.part.count()
+    named = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("decision"), (F.col("o_orderkey") % n + 1).alias("p_partkey")).join(t.part, "p_partkey")
+    named = named.select("decision", F.explode(F.array(_path(), F.concat("p_name", F.lit(".py")))).alias("named"))
+    return linkers.decision_files(named, files, t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("decision")))
 
 
 @query(f"""WITH n AS (SELECT p_partkey AS id, 'r/' || p_brand AS root, {_PATH} AS rel FROM part WHERE p_size % 2 = 0), c AS (SELECT o_orderkey, 'r/Brand#' || (10 * (o_orderkey % 5 + 1) + o_custkey % 5 + 1) AS root, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END, TIMESTAMP '2020-01-01') AS at FROM orders WHERE o_orderkey % 11 <> 0)
@@ -113,28 +111,26 @@ def last_touched_by_owner(t):
     """When commits of a file's own repository, found by the longest root, last touched it; pruned commits do not count."""
     files = t.part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("r/"), "p_brand", F.lit("/"), _path()).alias("file_path"))
     roots = t.part.select(F.concat(F.lit("r/"), "p_brand").alias("root")).distinct()
-    rel = evidence.longest_prefix(files, "file_path", roots, "root").where("root is not null").select("id", "root", F.substr("file_path", F.length("root") + 2).alias("path"))
     touched = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.part, "p_partkey").select(F.col("l_orderkey").alias("commit"), _path().alias("path")).distinct()
     commits = t.orders.select(F.col("o_orderkey").alias("commit"), F.concat(F.lit("r/Brand#"), (10 * (F.col("o_orderkey") % 5 + 1) + F.col("o_custkey") % 5 + 1).cast("string")).alias("root"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("committed_at"))
     pruned = t.orders.where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("commit"))
     own = commits.join(pruned, "commit", "left_anti").withColumn("at", F.coalesce("committed_at", F.lit("2020-01-01").cast("timestamp_ntz")))
-    return rel.join(touched, "path").join(own, ["commit", "root"]).groupBy("id").agg(F.unix_micros(F.max("at").cast("timestamp")).alias("last_touched"))
+    return linkers.last_touched(files, roots, touched, own).select("id", F.unix_micros(F.col("at").cast("timestamp")).alias("last_touched"))
 
 
 @query("""SELECT l_partkey AS id, max(o_totalprice) AS confidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag <> 'R' GROUP BY 1""")
 def node_confidence(t):
     """The greatest confidence of the decisions that hold and affect a node."""
-    valid = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-    return t.lineitem.where("l_returnflag <> 'R'").join(valid, "l_orderkey").groupBy(F.col("l_partkey").alias("id")).agg(F.max("o_totalprice").alias("confidence"))
+    valid = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("decision"), F.col("o_totalprice").alias("confidence"))
+    return linkers.node_confidence(t.lineitem.where("l_returnflag <> 'R'").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("decision")), valid)
 
 
 @query("""SELECT p_brand AS subsystem, count(*) AS total, count(*) FILTER (WHERE p_size % 5 = 0 OR p_size % 7 = 0) AS stale FROM part GROUP BY 1""")
 def repo_staleness(t):
     """Nodes of each subsystem, and those whose source has changed or is gone."""
-    nodes = t.part.select("p_partkey", "p_brand", F.md5("p_name").alias("content_hash"))
-    source = t.part.where("p_size % 7 <> 0").select("p_partkey", F.md5(F.when(F.col("p_size") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name"))).alias("now"))
-    state = nodes.join(source, "p_partkey", "left").withColumn("fresh", F.coalesce(F.col("content_hash") == F.col("now"), F.lit(False)))
-    return state.groupBy(F.col("p_brand").alias("subsystem")).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("fresh")).alias("stale"))
+    nodes = t.part.select(F.col("p_partkey").alias("id"), "p_brand", F.md5("p_name").alias("content_hash"))
+    source = t.part.where("p_size % 7 <> 0").select(F.col("p_partkey").alias("id"), F.md5(F.when(F.col("p_size") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name"))).alias("content_hash"))
+    return linkers.subsystem_staleness(linkers.staleness(nodes, source), "p_brand")
 
 
 _REASONS = """concat_ws('; ', CASE WHEN edges >= 100 THEN 'traversal capped at 100 edges' END, CASE WHEN tables THEN 'public boundary affected: table' END, CASE WHEN repos > 1 THEN 'spans ' || repos || ' configured repositories' END,
@@ -389,8 +385,8 @@ def lexical_code_search(t):
 def claim_matches(t):
     """Claims that are active, of a fresh heartbeat, and hold a file by a path prefix."""
     claims = t.customer.where("c_acctbal > 0 and c_custkey % 24 < 8").select(F.col("c_custkey").alias("claim"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 60).cast("string")).alias("root"))
-    files = t.part.select(F.col("p_partkey").alias("file"), F.explode(evidence.prefixes(F.concat("p_brand", F.lit("/"), "p_name"))).alias("root"))
-    return claims.join(files, "root").select("claim", "file").distinct()
+    files = t.part.select(F.col("p_partkey").alias("file"), "p_brand", "p_name")
+    return linkers.claimed_files(claims, files, F.concat("p_brand", F.lit("/"), "p_name"))
 
 
 @query("""SELECT event_id, CASE WHEN v IS NULL OR v < 0 THEN '?' WHEN v >= 1000000 THEN '≥1M' ELSE CAST(v AS VARCHAR) END AS shown FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN -1 WHEN 1 THEN event_id WHEN 2 THEN 999999 WHEN 3 THEN 1000000 + event_id END AS v FROM events)""")
@@ -462,12 +458,10 @@ def plan_reviews(t):
     return out.select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("review"), F.col("o_orderstatus").alias("verdict"), "pass")
 
 
-@query("""SELECT DISTINCT a.l_orderkey AS id, b.l_orderkey AS earlier FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND b.l_shipdate < a.l_shipdate WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_orderkey <> b.l_orderkey""")
+@query("""WITH f AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT l_partkey, l_suppkey, min((l_shipdate, l_orderkey)) AS m FROM f GROUP BY ALL) SELECT DISTINCT l_orderkey AS id, m[2] AS first FROM f JOIN g USING (l_partkey, l_suppkey) WHERE l_shipdate > m[1] AND l_orderkey <> m[2]""")
 def recurrence_links(t):
-    """§2.15: findings that say the same as an earlier one."""
-    side = lambda s: t.lineitem.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias(f"o_{s}"), F.col("l_shipdate").alias(f"t_{s}"))
-    both = side("a").join(side("b"), ["l_partkey", "l_suppkey"]).where("t_b < t_a and o_a <> o_b")
-    return both.select(F.col("o_a").alias("id"), F.col("o_b").alias("earlier")).distinct()
+    """§2.15: findings that say the same as an earlier one, each with the first that did."""
+    return linkers.recurrences(t.lineitem.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey", "l_orderkey", "l_shipdate"), ["l_partkey", "l_suppkey"], "l_orderkey", "l_shipdate")
 
 
 @query("""SELECT event_id AS id, user_id AS thread FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-20') ORDER BY ts DESC, event_id LIMIT 40""")
@@ -483,8 +477,7 @@ def claims_list(t):
     """§2.15, W32: claims that were not released, by whether their heartbeat is fresh."""
     beat = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=(F.col("c_custkey") % 24).cast("int"))
     rows = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), beat.alias("heartbeat_at"))
-    fresh = F.col("heartbeat_at") > F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(8))
-    return rows.select("id", F.when(fresh, "active").otherwise("expired").alias("state"))
+    return linkers.fresh_claims(rows, F.lit(NOW).cast("timestamp_ntz")).select("id", "state")
 
 
 @query("""SELECT s_nationkey AS project, string_agg('- ' || s_name, chr(10) ORDER BY s_acctbal DESC, s_suppkey) AS rules FROM supplier WHERE s_acctbal > 0 GROUP BY 1""")
