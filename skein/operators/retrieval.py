@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -100,24 +99,28 @@ def similar_vectors(rows: DataFrame, least: float, key: str = "id", vector: str
 
 
 #: Bits of a trigram set's image, sets in one tile, and tiles' pairs that a worker holds at once.
-BITS, TILE, HELD = 1 << 15, 512, 4
+BITS, TILE, HELD = 1 << 13, 512, 8
 
 
 def _tiles(kinds: DataFrame) -> DataFrame:
-    """(tile, low, high, kinds, sizes, losses, bits): classes in order of size, a few hundred in a row, each as an image of its set.
+    """(tile, low, high, kinds, sizes, losses, bits, grams): classes in order of size, a few hundred in a row, each as its set and an image of it.
 
-    losses: how many trigrams of a set share their bit with another of it.
+    A trigram's three characters make one number, so sets are sorted numbers.  losses: how many of a set share their bit with another of it.
     """
 
-    def image(grams: list[str]) -> np.ndarray:
+    def numbers(grams: list[str]) -> np.ndarray:
+        c = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(-1, 3)
+        return np.sort(c[:, 0] << 42 | c[:, 1] << 21 | c[:, 2])
+
+    def image(numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(BITS, bool)
-        out[[zlib.crc32(g.encode()) % BITS for g in grams]] = True
+        out[(numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % BITS] = True
         return np.packbits(out)
 
     def run(batches):
         held = []
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (image(g) for g in b.column(2).to_pylist()), strict=True)
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(numbers, b.column(2).to_pylist()), strict=True)
             while len(held) >= TILE:
                 yield tile(held[:TILE])
                 held = held[TILE:]
@@ -125,16 +128,16 @@ def _tiles(kinds: DataFrame) -> DataFrame:
             yield tile(held)
 
     def tile(rows):
-        sizes, bits = [n for _, n, _ in rows], np.stack([x for _, _, x in rows])
+        sizes, bits = [n for _, n, _ in rows], np.stack([image(x) for _, _, x in rows])
         losses = np.array(sizes) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        values = [uuid.uuid4().hex, sizes[0], sizes[-1], [k for k, _, _ in rows], sizes, losses.tolist(), bits.tobytes()]
-        types = [pa.string(), pa.int64(), pa.int64(), kind, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["tile", "low", "high", "kinds", "sizes", "losses", "bits"])
+        values = [uuid.uuid4().hex, sizes[0], sizes[-1], [k for k, _, _ in rows], sizes, losses.tolist(), bits.tobytes(), b"".join(x.tobytes() for _, _, x in rows)]
+        types = [pa.string(), pa.int64(), pa.int64(), kind, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["tile", "low", "high", "kinds", "sizes", "losses", "bits", "grams"])
 
     of = dict(kinds.dtypes)["_kind"]
     kind = pa.list_(pa.string() if of == "string" else pa.int64())
     sized = kinds.select(F.col("_kind") if of == "string" else F.col("_kind").cast("long"), F.size("_g").cast("long").alias("_size"), "_g")
-    return settled(sized.repartitionByRange("_size", "_kind").sortWithinPartitions("_size", "_kind").mapInArrow(run, f"tile string, low long, high long, kinds array<{'string' if of == 'string' else 'long'}>, sizes array<long>, losses array<long>, bits binary"))
+    return settled(sized.repartitionByRange("_size", "_kind").sortWithinPartitions("_size", "_kind").mapInArrow(run, f"tile string, low long, high long, kinds array<{'string' if of == 'string' else 'long'}>, sizes array<long>, losses array<long>, bits binary, grams binary"))
 
 
 def _meetings(tiles: DataFrame, least: float) -> DataFrame:
@@ -146,9 +149,9 @@ def _meetings(tiles: DataFrame, least: float) -> DataFrame:
     return side("a", 1).join(side("b", 0), "_k").where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
 
 
-def _candidates(tiles: DataFrame, least: float) -> DataFrame:
-    """(_ka, _kb): pairs of classes whose images leave a similarity of `least` possible."""
-    half = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "kinds", "sizes", "losses", "bits")])
+def _linked(tiles: DataFrame, least: float) -> DataFrame:
+    """(class_a, class_b, score): pairs of classes of at least that similarity; exact sets are compared where the images leave it possible."""
+    half = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "kinds", "sizes", "losses", "bits", "grams")])
     met = _meetings(tiles, least).join(half("a"), F.col("a") == F.col("tile_a")).join(half("b"), F.col("b") == F.col("tile_b"))
     of = dict(tiles.dtypes)["kinds"].removeprefix("array<").removesuffix(">")
     kind = pa.string() if of == "string" else pa.int64()
@@ -159,26 +162,31 @@ def _candidates(tiles: DataFrame, least: float) -> DataFrame:
                 same = row["tile_a"] == row["tile_b"]
                 a, b = (np.frombuffer(row[f"bits_{s}"], np.uint64).reshape(-1, BITS // 64) for s in "ab")
                 (na, la), (nb, lb) = ((np.array(row[f"sizes_{s}"]), np.array(row[f"losses_{s}"])) for s in "ab")
-                left, right = [], []
+                sets = {x: np.split(np.frombuffer(row[f"grams_{x}"], np.int64), np.cumsum(n)[:-1]) for x, n in (("a", na), ("b", nb))}
+                left, right, scores = [], [], []
                 for i in range(len(a)):
                     js = np.flatnonzero(np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]) - 1e-9)
                     js = js[js > i] if same else js
                     if not len(js):
                         continue
                     shared = np.bitwise_count(b[js] & a[i]).sum(axis=1, dtype=np.int64) + np.minimum(lb[js], la[i])
-                    hit = js[shared * (1 + least) >= least * (nb[js] + na[i]) - 1e-6]
-                    left += [row["kinds_a"][i]] * len(hit)
-                    right += [row["kinds_b"][j] for j in hit.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["_x", "_y"])
+                    for j in js[shared * (1 + least) >= least * (nb[js] + na[i]) - 1e-6].tolist():
+                        both = len(np.intersect1d(sets["a"][i], sets["b"][j], assume_unique=True))
+                        score = both / (int(na[i]) + int(nb[j]) - both)
+                        if score >= least:
+                            x, y = row["kinds_a"][i], row["kinds_b"][j]
+                            left.append(min(x, y))
+                            right.append(max(x, y))
+                            scores.append(score)
+                yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind), pa.array(scores, pa.float64())], ["class_a", "class_b", "score"])
 
     spark, key = tiles.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(HELD))  # a row holds two tiles
     try:
-        found = settled(met.select(*[f"{c}_{s}" for s in "ab" for c in ("tile", "kinds", "sizes", "losses", "bits")]).mapInArrow(run, f"_x {of}, _y {of}"))
+        return settled(met.select(*[f"{c}_{s}" for s in "ab" for c in ("tile", "kinds", "sizes", "losses", "bits", "grams")]).mapInArrow(run, f"class_a {of}, class_b {of}, score double"))
     finally:
         spark.conf.set(key, before)
-    return found.select(F.least("_x", "_y").alias("_ka"), F.greatest("_x", "_y").alias("_kb"))
 
 
 def similar_texts(rows: DataFrame, least: float, key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -193,10 +201,8 @@ def similar_texts(rows: DataFrame, least: float, key: str = "id", text: str = "t
     sets = rows.select(key, trigrams(F.col(text)).alias("_g")).where(F.size("_g") > 0).select(key, F.array_sort("_g").alias("_g"))
     sets = settled(sets.withColumn("_h", F.sha2(F.array_join("_g", " "), 256)))
     kinds = settled(sets.groupBy("_h").agg(F.min(key).alias("_kind"), F.any_value("_g").alias("_g")))
-    of = lambda s: kinds.select(F.col("_kind").alias(f"_k{s}"), F.col("_g").alias(f"_g{s}"))
-    links = _candidates(_tiles(kinds), least).join(of("a"), "_ka").join(of("b"), "_kb").withColumn("score", jaccard(F.col("_ga"), F.col("_gb"))).where(F.col("score") >= least)
     members = sets.select(key, "_h").join(kinds.select("_h", "_kind"), "_h").select(key, F.col("_kind").alias("class_id"))
-    return members, links.select(F.col("_ka").alias("class_a"), F.col("_kb").alias("class_b"), "score")
+    return members, _linked(_tiles(kinds), least)
 
 
 def alike(rows: DataFrame, least: float, key: str = "id", text: str = "text") -> DataFrame:
