@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..storage import settled
 from .relational import first_of, top_of
 from .retrieval import similar_pairs
 
@@ -134,6 +136,38 @@ def adjusted(score: Column, delta: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + delta))
 
 
+def audited(records: DataFrame, changes: DataFrame, order: list[str], project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, audit) after changes(id, delta, reason and what orders them) of the scores of records(id, project, score, ...).
+
+    A record's changes are applied one after another, each clamped to 0 to 1, and each leaves a row (id, the order's columns, delta, reason, from,
+    to, place) in the audit.  Changes of records that are not there, or of another project's, do nothing; those of no project are anyone's.
+    A task passes through a record's changes in order and holds none of them.
+    """
+    own = records if project is None else records.where((F.col("project") == project) | F.col("project").isNull())
+    rows = changes.select("id", *order, F.col("delta").cast("double").alias("delta"), "reason").join(own.select("id", F.col("score").cast("double").alias("_start")), "id")
+    kinds = dict(rows.dtypes)
+    names = ["id", *order, "delta", "reason"]
+
+    def run(batches):
+        of, score, place = None, 0.0, 0
+        for b in batches:
+            told = []
+            for k, delta, start in zip(b.column(0).to_pylist(), b.column(names.index("delta")).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if place == 0 or k != of:
+                    of, score, place = k, start, 0
+                before, place = score, place + 1
+                score = max(0.0, min(1.0, score + (delta or 0.0)))
+                told.append((before, score, place))
+            at = list(zip(*told, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(at[0], pa.float64()), pa.array(at[1], pa.float64()), pa.array(at[2], pa.int32())], [*names, "from", "to", "place"])
+
+    sorted_ = rows.select(*names, "_start").repartition("id").sortWithinPartitions("id", *order)
+    audit = settled(sorted_.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", `from` double, `to` double, place int"))
+    last = audit.groupBy("id").agg(F.max_by("to", "place").alias("_now"))
+    out = records.join(last, "id", "left").withColumn("score", F.coalesce("_now", F.col("score").cast("double"))).select(*records.columns)
+    return out, audit
+
+
 def confidence_label(score: Column) -> Column:
     """The label that a score is shown by."""
     return F.when(score < 0.35, "tentative").when(score < 0.75, "firm").otherwise("proven")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budget, evidence, resolution
+from ..operators import budget, evidence, resolution, writes
 from ..streaming import claims, pairing
 from .catalog import NOW, query
 
@@ -166,3 +166,17 @@ def navigation(t):
     asked = nodes.where("id like 'r:%' or id like 'n:%'").select(F.col("id").alias("question"), F.concat(F.lit("which customer or supplier of "), "text").alias("text"))
     found = navigate(nodes, _edges(t), asked, asked.select("question", F.col("question").alias("id")), similarity)
     return found.evidence.join(found.stops, "question").select("question", "place", "id", F.round("score", 6).alias("score"), "protected", "round", "stop")
+
+
+# ---- audited confidence ---------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE c AS (SELECT l_suppkey AS id, l_orderkey, l_linenumber, (CAST(l_quantity AS DOUBLE) - 25) / 100 AS delta, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS place FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT s_suppkey AS id, (s_suppkey % 100) / 100.0::DOUBLE AS score FROM supplier WHERE s_suppkey % 3 <> 1),
+f AS (SELECT c.id, c.l_orderkey, c.l_linenumber, c.place, s.score AS before, greatest(0, least(1, s.score + c.delta)) AS now FROM c JOIN s ON s.id = c.id WHERE c.place = 1 UNION ALL SELECT c.id, c.l_orderkey, c.l_linenumber, c.place, f.now, greatest(0, least(1, f.now + c.delta)) FROM f JOIN c ON c.id = f.id AND c.place = f.place + 1)
+SELECT id, l_orderkey, l_linenumber, CAST(place AS INTEGER) AS place, round(before, 6) AS score_from, round(now, 6) AS score_to FROM f""")
+def audited_confidence(t):
+    """Every change of a score with what it was and became, one after another."""
+    records = t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 1, "q").when(F.col("s_suppkey") % 3 == 2, "p").alias("project"), ((F.col("s_suppkey") % 100) / 100.0).alias("score"))
+    changes = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber", "l_quantity", ((F.col("l_quantity").cast("double") - 25) / 100).alias("delta"), F.col("l_linestatus").alias("reason"))
+    _, audit = writes.audited(records, changes, ["l_orderkey", "l_linenumber", "l_quantity"], "p")
+    return audit.select("id", "l_orderkey", "l_linenumber", "place", F.round("from", 6).alias("score_from"), F.round("to", 6).alias("score_to"))

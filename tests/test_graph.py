@@ -115,3 +115,12 @@ def test_impact_reasons_and_caps(spark):
     assert r["reasons"].startswith("traversal capped at 3 edges; spans 2") and r["reasons"].endswith("a returned code node is stale or unattributed")
     quiet = graph.impact(nodes, edges, ids(spark, "n9"), decisions.limit(0), lessons.limit(0), roots.limit(0)).collect()[0]
     assert (quiet["dependents"], quiet["risk"], quiet["decisions"]) == (0, "HIGH", [])
+
+
+def test_audited_changes(spark):
+    records = spark.createDataFrame([(1, "p", 0.5), (2, None, 0.9), (3, "q", 0.1), (4, "p", 0.2)], "id int, project string, score double")
+    changes = spark.createDataFrame([(1, 2, 0.75, "up"), (1, 1, -0.25, "down"), (1, 3, -0.5, "again"), (2, 1, 0.5, "more"), (3, 1, 0.5, "theirs"), (9, 1, 0.5, "none"), (2, 2, None, "nothing")], "id int, at int, delta double, reason string")
+    out, audit = writes.audited(records, changes, ["at"], "p")
+    assert {r["id"]: r["score"] for r in out.collect()} == {1: 0.5, 2: 1.0, 3: 0.1, 4: 0.2} and out.columns == records.columns
+    assert sorted((r["id"], r["at"], r["from"], r["to"], r["reason"]) for r in audit.collect()) == [(1, 1, 0.5, 0.25, "down"), (1, 2, 0.25, 1.0, "up"), (1, 3, 1.0, 0.5, "again"), (2, 1, 0.9, 1.0, "more"), (2, 2, 1.0, 1.0, "nothing")]
+    assert writes.audited(records, changes.limit(0), ["at"])[1].count() == 0
