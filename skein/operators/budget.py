@@ -26,7 +26,7 @@ def fitting(rows: DataFrame, group: list[str], order: list[Column], text: str, b
 #: Kinds of pages and what each is called.
 PAGES = {"synthesis": "Review synthesis", "finding": "Finding", "share": "Shared detail", "idea": "Idea"}
 SHORTENED = "… [metadata shortened]"
-NUDGE_SHORTENED = "… [nudge shortened; read mai_board_read and mai_claims]"
+NUDGE_SHORTENED = "… [nudge shortened; read the board and the claims]"
 
 
 def _one_line(text: Column, size: int, marker: str) -> Column:
