@@ -33,11 +33,13 @@ def suffixes(path: Column) -> Column:
 
 
 def longest_prefix(files: DataFrame, path: str, roots: DataFrame, root: str) -> DataFrame:
-    """files with the longest root that holds them, else null (J10, G23): an equi-join over path prefixes and a maximum."""
-    keyed = files.withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.select("_row", F.explode(prefixes(F.col(path))).alias(root)).join(roots.select(root).distinct(), root)
-    best = hit.groupBy("_row").agg(F.max_by(root, F.length(root)).alias(root))
-    return keyed.join(best, "_row", "left").drop("_row")
+    """files with the longest root that holds them, else null (J10, G23): an equi-join over path prefixes and a maximum.
+
+    Found by path and not by row, so that it does not matter in which order rows are read a second time.
+    """
+    hit = files.select(path).distinct().select(path, F.explode(prefixes(F.col(path))).alias(root)).join(roots.select(root).distinct(), root)
+    best = hit.groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
+    return files.join(best, path, "left").select(*files.columns, root)
 
 
 def suffix_matches(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
