@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
 from .writes import require_none
 
 
@@ -115,18 +116,54 @@ def commit_summaries(commits: DataFrame, key: str, files: DataFrame, notes: Data
     return commits.join(f, key, "left").join(n, key, "left").withColumns({"files": F.coalesce("files", F.lit(0)), "notes": F.coalesce("notes", F.array().cast("array<string>"))})
 
 
+#: Rows of one side in a piece of a group that is multiplied out.
+PIECE = 1 << 10
+
+
+def _marked(rows: DataFrame, key: str, text: str, mark: str) -> tuple[DataFrame, DataFrame]:
+    """(key, mark) of rows(key, text), where keys with the same set of texts have the same mark, and (mark, text) once for each mark."""
+    rows = settled(rows.where(F.col(text).isNotNull()).select(key, text).distinct())
+    both = F.struct(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(text, F.lit(k))) for k in (1, 2)])  # of a set: in any order
+    marks = settled(rows.groupBy(key).agg(both.alias("_set")).select(key, F.sha2(F.to_json("_set"), 256).alias(mark)))
+    of = marks.groupBy(mark).agg(F.min(key).alias(key))
+    return marks, rows.join(of, key).select(mark, text).distinct()
+
+
+def _pieces(rows: DataFrame, key: str, mark: str) -> DataFrame:
+    """(mark, part_key, keys): the keys of each mark in arrays of about PIECE."""
+    sizes = rows.groupBy(mark).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / PIECE)).alias(f"_part_{key}")
+    return rows.join(sizes, mark).select(mark, key, part).groupBy(mark, f"_part_{key}").agg(F.collect_list(key).alias(f"_all_{key}"))
+
+
+def all_pairs(left: DataFrame, a: str, right: DataFrame, b: str, texts: DataFrame) -> DataFrame:
+    """Distinct (a, b) of left(a, said) and right(b, text) by texts(said, text), each pair once and none of them shuffled.
+
+    The pairs may be as many as the square of the rows; so equal sets of texts stand for all rows that have them until the last step, which
+    multiplies pieces of a few rows with one another, spread evenly.  texts: which distinct said meet which distinct text.
+    """
+    spark = left.sparkSession
+    own, of_own = _marked(left, a, "said", "_own")
+    met, of_met = _marked(of_own.join(texts, "said"), "_own", "text", "_met")
+    l = own.join(met, "_own").select(a, "_met")
+    r = of_met.join(right, "text").select("_met", b).distinct()
+    units = _pieces(l, a, "_met").join(_pieces(r, b, "_met"), "_met")
+    units = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "_met", f"_part_{a}", f"_part_{b}")
+    return units.select(F.explode(f"_all_{a}").alias(a), f"_all_{b}").select(a, F.explode(f"_all_{b}").alias(b))
+
+
 def glob_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of claims (a.id, a.glob; b.id, b.glob) whose fixed prefixes hold one another (J22): equi-joins over prefixes of characters.
 
     A glob's fixed prefix ends before its first wildcard.
     """
     head = lambda g: F.regexp_extract(g, r"^[^*?\[{]*", 0)
-    cut = lambda d: d.select("id", "glob", head(F.col("glob")).alias("head"))
     starts = lambda h: F.transform(F.sequence(F.lit(0), F.length(h)), lambda n: F.substr(h, F.lit(1), n))
-    l, r = (cut(d).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "glob", "head")]) for d, s in ((a, "a"), (b, "b")))
-    one = l.withColumn("_k", F.explode(starts(F.col("head_a")))).join(r.withColumn("_k", F.col("head_b")), "_k")
-    two = r.withColumn("_k", F.explode(starts(F.col("head_b")))).join(l.withColumn("_k", F.col("head_a")), "_k")
-    return one.select("id_a", "id_b").unionByName(two.select("id_a", "id_b")).distinct()
+    l, r = a.select(F.col("id").alias("id_a"), head(F.col("glob")).alias("said")), b.select(F.col("id").alias("id_b"), head(F.col("glob")).alias("text"))
+    said, text = l.select("said").distinct(), r.select("text").distinct()
+    one = said.select("said", F.explode(starts(F.col("said"))).alias("text")).join(text, "text").select("said", "text")
+    two = text.select("text", F.explode(starts(F.col("text"))).alias("said")).join(said, "said").select("said", "text")
+    return all_pairs(l, "id_a", r, "id_b", one.unionByName(two))
 
 
 def remapped(commits: DataFrame, key: str, rewrites: DataFrame) -> DataFrame:
