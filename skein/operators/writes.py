@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..storage import settled
 from .relational import first_of, top_of
-from .retrieval import similar_pairs
+from .retrieval import most_similar
 
 #: The vocabulary of a code graph.
 CONFIDENCES = ("EXTRACTED", "INFERRED", "LIMITED")
@@ -72,8 +72,7 @@ def dedup_match(rows: DataFrame, incoming: DataFrame, model: str, least_cosine:
     Those of the current model match by cosine only, and one that it rejects is not taken by trigrams; the best of another
     model matches by trigrams from alone_trigram on.  Without a vector the best of all does.
     """
-    near = similar_pairs(incoming.select(F.col("new_id"), F.col("rule").alias("_rule")), rows.select("id", "rule"), least_trigram)
-    best = top_of(near, ["new_id"], [F.desc("score"), F.col("id")], most, "_n")
+    best = most_similar(incoming.select(F.col("new_id"), F.col("rule").alias("_rule")), rows.select("id", "rule"), least_trigram, most).withColumnRenamed("rank", "_n")
     c = best.join(rows.select("id", "embedding", F.col("embedding_model").eqNullSafe(model).alias("_current")), "id").join(incoming.select("new_id", "vector"), "new_id")
     c = c.withColumn("_cos", F.when(F.col("_current") & F.col("vector").isNotNull(), cosine(F.col("embedding"), F.col("vector"))))
     semantic = c.where(F.col("_cos") >= least_cosine).groupBy("new_id").agg(F.max_by("id", F.struct("_cos", -F.col("_n"))).alias("id")).withColumn("by", F.lit("cosine"))

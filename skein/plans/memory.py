@@ -363,8 +363,8 @@ def retain_current(t):
 def write_preview(t):
     """The three records most like each thing about to be written."""
     new = t.supplier.select("s_suppkey", F.concat(F.lit("small ring number "), F.col("s_suppkey").cast("string")).alias("text"))
-    near = retrieval.similar_pairs(new, t.part.select("p_partkey", "p_name"), 0.25, "s_suppkey", "text", "p_partkey", "p_name")
-    return relational.top_of(near, ["s_suppkey"], [F.desc("score"), F.col("p_partkey")], 3, "place").select("s_suppkey", "p_partkey", "place")
+    near = retrieval.most_similar(new, t.part.select("p_partkey", "p_name"), 0.25, 3, "s_suppkey", "text", "p_partkey", "p_name")
+    return near.select("s_suppkey", "p_partkey", F.col("rank").alias("place"))
 
 
 @query("""WITH a AS (SELECT 'part' AS kind, p_partkey AS id, row_number() OVER (ORDER BY p_partkey DESC) AS k FROM part WHERE p_name ILIKE '%ring%'), b AS (SELECT 'customer' AS kind, c_custkey AS id, row_number() OVER (ORDER BY c_custkey DESC) AS k FROM customer WHERE c_mktsegment ILIKE '%build%') SELECT kind, id FROM a WHERE k <= 20 UNION ALL SELECT kind, id FROM b WHERE k <= 20""")
