@@ -115,8 +115,9 @@ def resolved(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
 def orphans(nodes: DataFrame, edges: DataFrame, shared: list[str]) -> DataFrame:
     """Shared nodes that nothing holds any more (W8): endpoints without a route served, others without any edge."""
     s = nodes.where(F.col("kind").isin(*shared))
-    served = edges.where("relation = 'serves_route'").select(F.col("to_node").alias("id"))
-    ends = edges.select(F.explode(F.array("from_node", "to_node")).alias("id"))
+    served = edges.where("relation = 'serves_route'").select(F.col("to_node").alias("id")).distinct()
+    # once each: a node with many edges would bring all of them to one task
+    ends = edges.select(F.explode(F.array("from_node", "to_node")).alias("id")).distinct()
     return s.where("kind = 'endpoint'").join(served, "id", "left_anti").unionByName(s.where("kind <> 'endpoint'").join(ends, "id", "left_anti"))
 
 
