@@ -81,8 +81,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     if relation is not None:
         edges = edges.where(F.col("relation") == relation)
     ends = ("from_node", "to_node") if direction == "out" else ("to_node", "from_node")
+    edges = settled(edges.select("id", "relation", "from_node", "to_node"))  # what makes the edges is computed once, not for each level
     steps = both_ways(edges) if direction == "both" else edges.select("id", "relation", F.col(ends[0]).alias("here"), F.col(ends[1]).alias("there"))
-    steps = settled(steps)  # what makes the edges is computed once, not for each level
     seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"))
     front = seen
     for hop in range(1, hops + 1):
@@ -101,7 +101,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 10) -> Dat
     Each level is one join and one aggregate; parents are kept per node, so only the path itself is followed on the driver.
     """
     spark = edges.sparkSession
-    steps = settled(both_ways(edges))  # computed once, not for each hop
+    steps = both_ways(settled(edges.select("id", "relation", "from_node", "to_node")))  # computed and stored once, not for each hop or way
     seen = spark.createDataFrame([(start, None, None, 0)], "id string, parent string, edge string, hop int")
     found = start == end
     hop = 0
