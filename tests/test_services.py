@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import text as tx
 from skein.operators import retrieval, services
 
 GOOD = {"seed": {"text": "save"}, "steps": [{"direction": "out", "relations": ["defines"], "target_kinds": ["function"]}], "limit": 5}
@@ -85,3 +86,24 @@ def test_embedder_is_deterministic(spark):
     e = services.hash_embedder(16)
     df = spark.createDataFrame([("a b",), ("a b",), ("",), (None,)], "t string").select(e("t").alias("v")).collect()
     assert df[0]["v"] == df[1]["v"] and sum(x * x for x in df[0]["v"]) == pytest.approx(1.0) and not any(df[2]["v"]) and not any(df[3]["v"])
+
+
+def test_sets_travel_once_a_group(spark, monkeypatch):
+    # 60 tiles of near sizes: by pairs of tiles each would travel 61 times
+    monkeypatch.setattr(retrieval, "TILE", 1)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(60)]
+    kinds = spark.createDataFrame(rows, "_kind long, text string").select("_kind", F.array_sort(tx.trigrams(F.col("text"))).alias("_g"))
+    tiles = retrieval._tiles(kinds)
+    assert tiles.count() == 60 and retrieval._dealt(tiles, 0.5).count() <= 60 * (retrieval.GROUPS + 1)
+
+
+def test_rare_trigrams_count_exactly(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 4)
+    # more trigrams than have bits of their own
+    rows = [(k, " ".join(chr(0x4E00 + (97 * (k // 2) + j * j) % 20000) + chr(0x4E00 + j + k // 2) for j in range(150 + k % 2 * 20))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sets = {r["id"]: frozenset(r["g"]) for r in docs.select("id", tx.trigrams(F.col("text")).alias("g")).collect()}
+    assert len(frozenset().union(*sets.values())) > retrieval.BITS
+    _, links = retrieval.similar_texts(docs, 0.6)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.6}
+    assert want and {(r["class_a"], r["class_b"]): r["score"] for r in links.collect()} == pytest.approx(want)
