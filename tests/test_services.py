@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,19 @@ def test_rare_trigrams_count_exactly(spark, monkeypatch):
     _, links = retrieval.similar_texts(docs, 0.6)
     want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.6}
     assert want and {(r["class_a"], r["class_b"]): r["score"] for r in links.collect()} == pytest.approx(want)
+
+
+def test_vectors_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "STRIP", 3)
+    rng = random.Random(5)
+    rows = [(f"k{k:02}", [rng.gauss(0, 1) for _ in range(3 + (k % 11 == 0))], k % 2) for k in range(50)] + [("z", [0.0] * 3, 0), ("n", None, 0), ("m", [1.0, None, 2.0], 0), ("l", [1.0, 2.0, 3.0], None), ("k02", [1.0, 2.0, 2.0], 0), ("nan", [float("nan"), 1.0, 1.0], 1)]
+    got = sorted((r["id_a"], r["id_b"], r["score"]) for r in retrieval.similar_vectors(spark.createDataFrame(rows, "id string, embedding array<double>, label int"), 0.4).collect())
+    want, size = [], lambda v: math.sqrt(sum(x * x for x in v))
+    for a, v, k in rows:
+        for b, w, m in rows:
+            if a < b and k == m and k is not None and v and w and len(v) == len(w) and None not in v + w and any(v) and any(w):
+                s = sum(x * y for x, y in zip(v, w, strict=True)) / (size(v) * size(w))
+                want += [(a, b, s)] if not s < 0.4 else []
+    assert [x[:2] for x in got] == sorted(x[:2] for x in want) and len(want) > 100 and any("nan" in x for x in got)
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], nan_ok=True)
