@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over UTF-8 bytes, ORDER at a time, so an n-gram is one long and the model's size is bounded by the
-sample it is fitted on: at most TRUSTED_DOCS labelled documents (quality 1, not toxic), those of the smallest hash of
-doc_id, each of at most TRUSTED_BYTES and together of at most TRUSTED_TOTAL.  Raw counts, continuation counts, context sums and interpolated probabilities
+The model is over UTF-8 bytes, ORDER at a time, so an n-gram is one long.  It is fitted on the whole texts of all trusted documents (quality 1, not
+toxic) but those held out for the thresholds.  Raw counts, continuation counts, context sums and interpolated probabilities
 are tables sharded by n-gram, made by aggregates and equi-joins.  The finished model is packed by the executors and goes as
-bytes (bounded as above, and checked) to the tasks, which score all whole documents without a shuffle of text.
+bytes to the tasks, which score all whole documents without a shuffle of text; it grows with the different n-grams of the trusted texts, far slower
+than these, and more than MODEL_BYTES of it are an error.
 
 A document is rejected if its perplexity exceeds its language's threshold, taken from quantiles of the log
 perplexities of all of the language's trusted documents that were held out from the model, each scored whole: median + REACH x (UPPER quantile - median).  Before that, every
@@ -27,13 +27,13 @@ from .common import small_batches, stored
 
 #: 5 tells better than 6: with REACH 2.5, of sf0.1, 98.5 % of the held-out clean documents are kept and 72 % of the toxic and 2.8 % of the bad ones (6: 98.6, 84 and 3.5 %).
 ORDER = 5
-#: The sample that the model is fitted on: rows, bytes of one, and bytes of all (which bound the model).
-TRUSTED_DOCS, TRUSTED_BYTES, TRUSTED_TOTAL = 3_000, 65_536, 24 << 20
+#: Bytes of a trusted text that are counted at once; longer ones are counted a piece at a time.
+TRUSTED_BYTES = 1 << 20
 #: REACH: of 1, 1.25, 1.5, 1.75, 2, 2.5, 3 and 4 the least that keeps 98 % of the held-out clean documents of sf0.1, with quality 0 and toxic ones as bad.
 UPPER, REACH = 0.9, 2.5
 #: Bytes at the language's median that are added to each document before it is compared: short texts vary more.
 SMOOTHING = 64
-#: Packed bytes of the model at most: a sample of TRUSTED_TOTAL bytes stays far below.
+#: Packed bytes of the model at most.
 MODEL_BYTES = 1 << 30
 #: One trusted document in so many, by the hash of doc_id, is kept from the model; the thresholds are set by all of these.
 HELD_OUT = 4
@@ -69,13 +69,32 @@ def _runs(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, c): how often each n-gram of the highest order occurs in texts(text binary)."""
+    most = TRUSTED_BYTES
+
+    def counted(texts, pieces):
+        # a piece sees the bytes before it; these are no ends of its n-grams
+        keys, starts, sizes = packed(texts, order)
+        own = _runs(keys, starts, sizes)
+        if pieces:
+            own[: order - 1] = False
+        k, c = np.unique(keys[own], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["key", "c"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            keys, starts, sizes = packed(b.column(0).to_pylist(), order)
-            k, c = np.unique(keys[_runs(keys, starts, sizes)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["key", "c"])
+            for text in b.column(0).to_pylist():
+                held.append(text[:most])
+                size += len(held[-1])
+                for at in range(most, len(text), most):
+                    yield counted([text[at - order + 1 : at + most]], True)
+                if size >= most:
+                    yield counted(held, False)
+                    held, size = [], 0
+        if held:
+            yield counted(held, False)
 
+    small_batches(texts.sparkSession)
     return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
@@ -216,21 +235,16 @@ class Scorer:
         return sums, sizes
 
 
-def _sample(docs: DataFrame, ids: DataFrame, most_docs: int, most_bytes: int, most_total: int = TRUSTED_TOTAL) -> DataFrame:
-    """(lang, text) of at most so many different rows of the given ids, each of at most so many bytes and together of at most so many."""
-    short = docs.withColumns({"n": F.octet_length("text"), "t": F.xxhash64("text")}).where(F.col("n") <= most_bytes)
-    first = short.join(ids, "doc_id", "left_semi").groupBy("doc_id", "t").agg(F.first("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(most_docs)
-    # at most most_docs rows
-    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_total).select("doc_id", "t")
-    return stored(short.join(F.broadcast(chosen), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("lang", F.col("text").cast("binary").alias("text")))
+def _learnt(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text) of all trusted documents that are not held out, each different text of a doc_id once."""
+    rows = docs.where(F.col("text").isNotNull() & ~_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    once = rows.join(trusted(labels), "doc_id", "left_semi").select("doc_id", "text")
+    return stored(once.dropDuplicates(["doc_id", "text"]).select(F.col("text").cast("binary").alias("text")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, most_docs: int = TRUSTED_DOCS, most_bytes: int = TRUSTED_BYTES) -> list:
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> list:
     """The finished model: [log rest of the empty context, packed parts per length] for Scorer.opened()."""
-    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    texts = _sample(docs, trusted(labels).where(~_held_out()), most_docs, most_bytes).select("text")
-    parts = model(texts, order)
+    parts = model(_learnt(docs, labels), order)
     first = parts[0].first()
     out: list = [first["rest"] if first and first["rest"] is not None else 0.0]
 
@@ -289,10 +303,10 @@ def thresholds(known: DataFrame) -> DataFrame:
     return each.select("lang", F.col("q")[0].alias("middle"), (F.col("q")[0] + REACH * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, most_docs: int = TRUSTED_DOCS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """docs(doc_id, text, lang, ...) with n_bytes, log_perplexity, smoothed, limit and keep; no shuffle of text: what may be held out is scored twice."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(named, labels, order, most_docs))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(named, labels, order))
     # scored before they meet the labels, so that the join moves no text
     apart = perplexities(named.where(_held_out()), sent, order).select("doc_id", "lang", "log_perplexity")
     by = stored(thresholds(apart.join(trusted(labels), "doc_id", "left_semi")))
@@ -306,12 +320,12 @@ def scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, most_docs: in
     return out.withColumns({"smoothed": smooth, "keep": F.coalesce(smooth <= F.col("limit"), F.lit(True))}).drop("of", "own", "own_middle", "middle")
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most_docs: int = TRUSTED_DOCS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, smoothed, threshold, keep) of documents(doc_id, text, lang) and labels(doc_id, quality, toxic).
 
     perplexity is per byte.  Null and empty texts have none and are kept, as is everything if no document is
     trusted; a null or unknown language takes the threshold of all languages; rows are judged as often as they come, null
     doc_ids too; an empty table gives no rows; other columns are ignored.
     """
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), labels, order, most_docs)
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), labels, order)
     return out.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp("smoothed").alias("smoothed"), F.exp("limit").alias("threshold"), "keep")

@@ -67,6 +67,18 @@ def test_against_plain_kneser_ney(tables):
         assert abs(sum(p(context + bytes([x])) for x in range(256)) - 1) < 0.02
 
 
+def test_all_trusted_texts_count_whole(spark, monkeypatch):
+    # more rows than a sample would take, and one text longer than what is counted at once
+    monkeypatch.setattr(quality, "TRUSTED_BYTES", 1_000)
+    monkeypatch.setattr(quality, "HELD_OUT", 10**12)
+    texts = ["ab" * 60_000 + "q"] + [f"the {k}" for k in range(3_500)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    grams = Counter(t[i : i + 4] for t in (bytes(3) + x.encode() for x in texts) for i in range(len(t) - 3))
+    got = {r["key"]: r["c"] for r in quality.counts(quality._learnt(docs, labels), 4).collect()}
+    assert got == {int.from_bytes(g, "big"): n for g, n in grams.items()}
+
+
 def test_table_lookup():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**60), 2**60, 5000))
