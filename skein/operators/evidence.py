@@ -172,10 +172,14 @@ def remapped(commits: DataFrame, key: str, rewrites: DataFrame) -> DataFrame:
     return commits.join(r, key, "left").where("_moved is null or new_hash is not null").withColumn(key, F.coalesce("new_hash", key)).drop("new_hash", "_moved")
 
 
+#: What may be a hash, whole or short.
+HASH = "^[0-9a-fA-F]{7,40}$"
+
+
 def _translated(rows: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """(id, field, value, old_hash, new_hash) of rows(id, field, value) whose value is a hash, or the first 7 characters or more of one."""
-    short = rows.where(F.col("value").rlike("^[0-9a-fA-F]{7,40}$")).select("id", "field", "value", F.lower("value").alias("_v")).withColumn("_k", F.substring("_v", 1, 7))
-    return short.join(rewrites.select("old_hash", "new_hash", F.substring("old_hash", 1, 7).alias("_k")), "_k").where(F.startswith("old_hash", F.col("_v"))).drop("_k", "_v")
+    """(_k, id, field, value, old_hash, new_hash) of rows(id, field, value) whose value is a hash, or the first 7 characters or more of one; _k: its first 7."""
+    short = rows.where(F.col("value").rlike(HASH)).select("id", "field", "value", F.lower("value").alias("_v")).withColumn("_k", F.substring("_v", 1, 7))
+    return short.join(rewrites.select("old_hash", "new_hash", F.substring("old_hash", 1, 7).alias("_k")), "_k").where(F.startswith("old_hash", F.col("_v"))).drop("_v")
 
 
 def _sources(rewrites: DataFrame, commits: DataFrame, prior: DataFrame) -> DataFrame:
@@ -193,8 +197,13 @@ def remap_problems(commits: DataFrame, rewrites: DataFrame, findings: DataFrame,
     ambiguous: a hash of findings(id, field, value) is short and starts n old hashes; collision: a new hash already is another
     commit's (n 1).  commits(id, commit_hash), prior(old_hash, commit_id) are former rewrites.
     """
-    ambiguous = _translated(findings, rewrites).groupBy("id", "field", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("ambiguous").alias("problem"), "id", "field", "value", "n")
-    taken = _sources(rewrites, commits, prior).where("new_hash <> old_hash and _source is not null and _target is not null and _target <> _source")
+    return _refused(_translated(findings, rewrites), _sources(rewrites, commits, prior))
+
+
+def _refused(met: DataFrame, sources: DataFrame) -> DataFrame:
+    # a value's rows have met by _k, so counting them by _k as well moves none
+    ambiguous = met.groupBy("_k", "id", "field", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("ambiguous").alias("problem"), "id", "field", "value", "n")
+    taken = sources.where("new_hash <> old_hash and _source is not null and _target is not null and _target <> _source")
     return ambiguous.unionByName(taken.select(F.lit("collision").alias("problem"), F.col("_source").alias("id"), F.lit("commit_hash").alias("field"), F.col("new_hash").alias("value"), F.lit(1).cast("long").alias("n")))
 
 
@@ -204,11 +213,15 @@ def remap_history(commits: DataFrame, rewrites: DataFrame, findings: DataFrame,
     Commits move to their new hashes; pruned ones (no new hash) keep theirs.  Findings' hashes, short ones too, become the whole new hash.  prior
     gets or keeps a row for each old hash whose commit is known, with its new hash (null: pruned).
     """
-    require_none(remap_problems(commits, rewrites, findings, prior), "the rewrite is refused")
+    sources = settled(_sources(rewrites, commits, prior))
+    require_none(_refused(_translated(findings, rewrites), sources), "the rewrite is refused")
     moved = rewrites.where("new_hash <> old_hash").select(F.col("old_hash").alias("commit_hash"), "new_hash")
     new_commits = commits.join(moved, "commit_hash", "left").select(*[F.coalesce("new_hash", "commit_hash").alias(c) if c == "commit_hash" else F.col(c) for c in commits.columns])
-    hit = _translated(findings, rewrites).where("new_hash is not null and new_hash <> old_hash").select("id", "field", "new_hash")
-    new_findings = findings.join(hit, ["id", "field"], "left").select(*[F.coalesce("new_hash", "value").alias(c) if c == "value" else F.col(c) for c in findings.columns])
-    told = _sources(rewrites, commits, prior).where(~F.col("new_hash").eqNullSafe(F.col("old_hash"))).select("old_hash", F.coalesce("_source", "_target").alias("commit_id"), "new_hash").where("commit_id is not null")
+    # each hash meets one rewrite at most, or it had been refused; what is no hash stays where it is
+    named = F.coalesce(F.col("value").rlike(HASH), F.lit(False))
+    new = moved.select(F.col("commit_hash").alias("_old"), "new_hash", F.substring("commit_hash", 1, 7).alias("_k"))
+    short = findings.where(named).withColumn("_k", F.substring(F.lower("value"), 1, 7)).alias("s").join(new.alias("n"), (F.col("s._k") == F.col("n._k")) & F.startswith("_old", F.lower("value")), "left")
+    new_findings = short.select(*[F.coalesce("new_hash", "value").alias(c) if c == "value" else F.col(f"s.{c}") for c in findings.columns]).unionByName(findings.where(~named))
+    told = sources.where(~F.col("new_hash").eqNullSafe(F.col("old_hash"))).select("old_hash", F.coalesce("_source", "_target").alias("commit_id"), "new_hash").where("commit_id is not null")
     kept = prior.select("old_hash", "commit_id", *(["new_hash"] if "new_hash" in prior.columns else [F.lit(None).cast("string").alias("new_hash")])).join(told.select("old_hash"), "old_hash", "left_anti")
     return new_commits, new_findings, kept.unionByName(told)

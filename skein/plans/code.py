@@ -142,11 +142,10 @@ SELECT 'commit' AS what, id, coalesce(new_hash, commit_hash) AS value FROM c LEF
 UNION ALL SELECT 'rewrite', c.id, old_hash || ' ' || coalesce(new_hash, '-') FROM m JOIN c ON commit_hash = old_hash""")
 def remapped_history(t):
     """Commits, findings and the record of rewrites after one that is taken over."""
-    commits, rewrites, _, prior = _history(t)
-    k = F.col("o_orderkey")
+    commits, _, _, prior = _history(t)
     fresh = F.substring(F.sha2(F.concat(F.lit("n"), F.col("id").cast("string")), 256), 1, 40)
-    rewrites = rewrites.join(commits.withColumnRenamed("commit_hash", "old_hash"), "old_hash").select("old_hash", F.when(F.col("id") % 3 != 0, fresh).alias("new_hash"))
-    findings = t.orders.select(k.alias("id")).join(commits, "id").select("id", F.lit("base_sha").alias("field"), F.when(F.col("id") % 6 == 1, "no hash").otherwise(F.substr("commit_hash", F.lit(1), (20 + F.col("id") % 20).cast("int"))).alias("value"))
+    rewrites = commits.where("id % 5 <> 0").select(F.col("commit_hash").alias("old_hash"), F.when(F.col("id") % 3 != 0, fresh).alias("new_hash"))
+    findings = commits.select("id", F.lit("base_sha").alias("field"), F.when(F.col("id") % 6 == 1, "no hash").otherwise(F.substr("commit_hash", F.lit(1), (20 + F.col("id") % 20).cast("int"))).alias("value"))
     c, f, p = evidence.remap_history(commits, rewrites, findings, prior)
     out = c.select(F.lit("commit").alias("what"), "id", F.col("commit_hash").alias("value")).unionByName(f.select(F.lit("finding").alias("what"), "id", "value"))
     return out.unionByName(p.select(F.lit("rewrite").alias("what"), F.col("commit_id").alias("id"), F.concat("old_hash", F.lit(" "), F.coalesce("new_hash", F.lit("-"))).alias("value")))
