@@ -35,6 +35,8 @@ UPPER, REACH = 0.9, 2.5
 SMOOTHING = 64
 #: Packed bytes of the model at most.
 MODEL_BYTES = 1 << 30
+#: Bits (4 MB in all) that say which doc_ids may be trusted, so that few other texts move to meet those that are.
+BITS = 1 << 25
 #: One trusted document in so many, by the hash of doc_id, is kept from the model; the thresholds are set by all of these.
 HELD_OUT = 4
 #: Scored documents that a language's own quantiles need: of fewer, the upper one is that of one or two documents.
@@ -235,11 +237,21 @@ class Scorer:
         return sums, sizes
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be one of ids(doc_id): all that are, and as many of the others as bits are set.  The bits are bounded, whatever the tables hold."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bits = ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_place": F.bitmap_bit_position(at)}).join(F.broadcast(bits), "_bucket")
+    return met.where("shiftright(cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int), cast(_place % 8 as int)) & 1 = 1").select(*rows.columns)
+
+
 def _learnt(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text) of all trusted documents that are not held out, each different text of a doc_id once."""
+    ids = stored(trusted(labels))
     rows = docs.where(F.col("text").isNotNull() & ~_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    once = rows.join(trusted(labels), "doc_id", "left_semi").select("doc_id", "text")
-    return stored(once.dropDuplicates(["doc_id", "text"]).select(F.col("text").cast("binary").alias("text")))
+    # an inner join, as ids are distinct: a left_semi one would be pushed below the bits, and all texts would move
+    once = _likely(rows, ids).join(ids, "doc_id").dropDuplicates(["doc_id", "text"])
+    return once.select(F.col("text").cast("binary").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> list:

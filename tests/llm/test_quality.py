@@ -79,6 +79,18 @@ def test_all_trusted_texts_count_whole(spark, monkeypatch):
     assert got == {int.from_bytes(g, "big"): n for g, n in grams.items()}
 
 
+def test_few_texts_but_the_trusted_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {n % 7}") for n, k in enumerate((*range(-50, 4_000), *range(100), *range(50), None, None))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(-50, 4_000, 10)], "doc_id long, quality int, toxic int")
+    ids = quality.trusted(labels)
+    for bits, most in ((1 << 25, 5), (1 << 10, 2_000), (1, 5_000)):
+        monkeypatch.setattr(quality, "BITS", bits)
+        got = Counter(r["doc_id"] for r in quality._likely(docs, ids).collect())
+        assert all(got[k] == 1 + (0 <= k < 100) + (0 <= k < 50) for k in range(-50, 4_000, 10)) and sum(got.values()) - 405 - 15 <= most
+        learnt = Counter(bytes(r["text"]).decode() for r in quality._learnt(docs, labels).collect())
+        assert learnt == Counter(r["text"] for r in docs.where(~quality._held_out()).join(ids, "doc_id").distinct().collect())
+
+
 def test_table_lookup():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**60), 2**60, 5000))
