@@ -40,10 +40,12 @@ def navigate(
     cut may come back from elsewhere, but nothing is expanded twice.  stop: work_cap where items were left at the last evaluation, stop where none were,
     no_evidence where no seed is a node.
     """
+    # as many parts as asked for, however small they travel: joined by size, all ids of a hub and their texts are sorted in a few tasks
+    spread = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     texts, asked = nodes.select("id", F.col("text").alias("_text")), questions.select("question", F.col("text").alias("_asked"))
-    scored = lambda rows: rows.join(texts, "id").join(asked, "question").withColumn("score", F.round(score(F.col("_asked"), F.col("_text")).cast("double"), 9)).drop("_text", "_asked")
-    steps = settled(both_ways(edges).select(F.col("here").alias("id"), "there").distinct())
-    held = settled(scored(seeds.select("question", "id").distinct()).select("question", "id", "score", F.lit(True).alias("protected"), F.lit(0).alias("round"), F.lit(False).alias("_done")))
+    scored = lambda rows: rows.join(spread(texts), "id").join(asked, "question").withColumn("score", F.round(score(F.col("_asked"), F.col("_text")).cast("double"), 9)).drop("_text", "_asked")
+    steps = settled(both_ways(edges).select(F.col("here").alias("id"), "there"))  # edges come as often as they are given: what is near is made distinct
+    held = settled(scored(spread(seeds.select("question", "id")).distinct()).select("question", "id", "score", F.lit(True).alias("protected"), F.lit(0).alias("round"), F.lit(False).alias("_done")))
     trace = None
     best = Window.partitionBy("question").orderBy(F.desc("score"), "id")
     for k in range(1, evaluations + 1):
@@ -52,7 +54,7 @@ def navigate(
             break
         trace = chosen if trace is None else trace.unionByName(chosen)
         done = trace.select("question", "id")
-        near = chosen.select("question", "id").join(steps, "id").select("question", F.col("there").alias("id")).distinct()
+        near = spread(chosen.select("question", "id").join(steps, "id").select("question", F.col("there").alias("id"))).distinct()
         near = scored(near).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= beside).drop("_n")
         new = near.join(held.select("question", "id"), ["question", "id"], "left_anti").select("question", "id", "score", F.lit(False).alias("protected"), F.lit(k).alias("round"))
         rows = held.drop("_done").unionByName(new)

@@ -76,3 +76,17 @@ def test_bounds_seeds_and_stops(spark):
         assert got == {k: v[0] for k, v in want.items()}, bounds
         assert {x["question"]: x["stop"] for x in r.stops.collect()} == {k: v[1] for k, v in want.items()}
         assert sorted((x["question"], x["round"], x["id"]) for x in r.trace.collect()) == sorted((k, n, i) for k, v in want.items() for n, i in enumerate(v[2], 1))
+
+
+def test_what_is_near_stays_in_many_parts(spark, monkeypatch):
+    # edges are stored without being grouped, and ids meet their texts in as many parts as asked for
+    from skein.operators import navigation
+
+    plans, store = [], navigation.settled
+    monkeypatch.setattr(navigation, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    nodes = spark.createDataFrame([("a", "red fox"), ("b", "red dog"), ("c", "fox")], "id string, text string")
+    edges = spark.createDataFrame([(str(k), *e, "x") for k, e in enumerate([("a", "b"), ("a", "b"), ("b", "a"), ("a", "c")])], "id string, from_node string, to_node string, relation string")
+    q = spark.createDataFrame([("q", "red fox")], "question string, text string")
+    r = navigation.navigate(nodes, edges, q, q.selectExpr("question", "'a' as id"), similarity)
+    assert [(x["id"], x["round"]) for x in r.evidence.orderBy("place").collect()] == [("a", 0), ("c", 1), ("b", 1)]
+    assert "Aggregate" not in plans[0] and "Exchange" not in plans[0] and plans[1].count("REPARTITION_BY_NUM") == 2
