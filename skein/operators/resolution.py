@@ -75,27 +75,36 @@ def import_targets(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def visible(decls: DataFrame, imports: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(repo, path, name, n, id, kind): what a top-level name of a file means; n > 1: several things, of which id is the smallest.
+    """(repo, path, name, n, id, kind): what a top-level name of a file means; n: 1, or 2 for several things, of which id is the smallest.
 
-    imports are those of import_targets.  Names that are imported from a file that imports them itself are found in as many rounds
-    as the chain is long; a round joins what the last one has found, and circles end when nothing is new.
+    imports are those of import_targets.  A name keeps the two smallest things that it may mean.  One that is imported once, in a file without
+    star imports, also has a jump along its chain of imports, which doubles each round as it joins the jumps; so the rounds are as many as
+    the logarithm of the chain is, and one for each name with several sources and each star import on the way.  Circles end when nothing changes.
     """
-    own = decls.where("scope = ''").select("repo", "path", "name", "id", "kind")
-    modules = imports.where("target = '' and file is not null").select("repo", "path", "name", F.col("file").alias("id"), F.lit("file").alias("kind"))
-    known = fresh = settled(own.unionByName(modules).distinct())
-    asks = imports.where("target <> '' and file is not null and file <> path").select("repo", F.col("path").alias("to"), F.col("name").alias("as"), "target", F.col("file").alias("path")).distinct()
-    named, stars = settled(asks.where("target <> '*'")), settled(asks.where("target = '*'").select("repo", "path", "to"))
+    node = ["repo", "path", "name"]
+    own = decls.where("scope = ''").select(*node, F.struct("id", "kind").alias("one"))
+    modules = imports.where("target = '' and file is not null").select(*node, F.struct(F.col("file").alias("id"), F.lit("file").alias("kind")).alias("one"))
+    two = lambda lists: F.slice(F.array_sort(F.array_distinct(lists)), 1, 2)
+    known = settled(own.unionByName(modules).groupBy(*node).agg(two(F.collect_set("one")).alias("means")))
+    asks = imports.where("target <> '' and file is not null and file <> path").select(*node, "target", "file").distinct()
+    stars = settled(asks.where("target = '*'").select("repo", "path", "file").distinct())
+    named = asks.where("target <> '*'").join(stars.select("repo", "path", F.lit(True).alias("_star")).distinct(), ["repo", "path"], "left")
+    named = settled(named.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*node))).withColumn("_single", F.expr("_n = 1 and _star is null")).select(*node, "target", "file", "_single"))
+    jumps, several = named.where("_single").drop("_single"), named.where("not _single").drop("_single")
     for _ in range(rounds):
-        one = named.join(fresh.withColumnRenamed("name", "target"), ["repo", "path", "target"]).select("repo", F.col("to").alias("path"), F.col("as").alias("name"), "id", "kind")
-        every = stars.join(fresh.where(~F.col("name").startswith("_")), ["repo", "path"]).select("repo", F.col("to").alias("path"), "name", "id", "kind")
-        fresh = settled(one.unionByName(every).distinct().join(known, ["repo", "path", "name", "id", "kind"], "left_anti"))
-        if fresh.isEmpty():
+        there = known.select("repo", F.col("path").alias("file"), F.col("name").alias("target"), "means")
+        one = jumps.unionByName(several).join(there, ["repo", "file", "target"]).select(*node, "means")
+        every = stars.join(there.where(~F.col("target").startswith("_")), ["repo", "file"]).select("repo", "path", F.col("target").alias("name"), "means")
+        rows = known.select(*node, "means", F.col("means").alias("_was")).unionByName(one.unionByName(every), allowMissingColumns=True)
+        known = settled(rows.groupBy(*node).agg(two(F.flatten(F.collect_set("means"))).alias("means"), F.max("_was").alias("_was")))
+        if known.where("_was is null or means <> _was").isEmpty():
             break
-        known = known.unionByName(fresh)
+        ahead = jumps.select("repo", F.col("path").alias("file"), F.col("name").alias("target"), F.col("file").alias("_file"), F.col("target").alias("_target"))
+        far = jumps.join(ahead, ["repo", "file", "target"], "left")
+        jumps = settled(far.select(*node, F.coalesce("_target", "target").alias("target"), F.coalesce("_file", "file").alias("file")))
     else:
         raise RuntimeError("imports did not settle")
-    g = known.groupBy("repo", "path", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "kind")).alias("m"))
-    return settled(g.select("repo", "path", "name", "n", "m.id", "m.kind"))
+    return settled(known.select(*node, F.size("means").cast("long").alias("n"), F.col("means")[0]["id"].alias("id"), F.col("means")[0]["kind"].alias("kind")))
 
 
 def _outward(scope: Column) -> Column:

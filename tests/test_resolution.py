@@ -197,3 +197,16 @@ def test_chains_of_imports_and_bases_settle(spark):
     files = tree(spark, code)
     found = resolution.by_scope(facts.facts(files, "python"), files)
     assert edges(found, "calls") == {("use.py", f"m{n}.py::f", 1), ("use.py", f"m{n}.py::C::go", 1)}
+
+
+def test_long_chains_circles_and_several_sources(spark):
+    # a chain of 150 files; a circle of three; a name from two files, one of them at the chain's end; a star import within a chain
+    rows = [("c0", "f")] + [("two", "g"), ("x", "f"), ("s0", "h"), ("s0", "_p"), ("r1", "z")]
+    decls = spark.createDataFrame([("r", p, "", n, f"{p}::{n}", "function") for p, n in rows], "repo string, path string, scope string, name string, id string, kind string")
+    asks = [(f"c{k}", "f", "f", f"c{k - 1}") for k in range(1, 150)] + [(f"r{k}", "z", "z", f"r{(k + 1) % 3}") for k in range(3)]
+    asks += [("y", "f", "f", "c149"), ("y", "f", "f", "x"), ("w", "v", "f", "y"), ("s1", "*", "*", "s0"), ("s2", "q", "h", "s1"), ("s3", "q", "q", "s2"), ("s4", "q", "q", "s3")]
+    imports = spark.createDataFrame([("r", p, n, t, f) for p, n, t, f in asks], "repo string, path string, name string, target string, file string")
+    got = {(r["path"], r["name"]): (r["n"], r["id"], r["kind"]) for r in resolution.visible(decls, imports).collect()}
+    want = {(p, n): (1, f"{p}::{n}", "function") for p, n in rows} | {(f"c{k}", "f"): (1, "c0::f", "function") for k in range(150)} | {(f"r{k}", "z"): (1, "r1::z", "function") for k in range(3)}
+    want |= {("y", "f"): (2, "c0::f", "function"), ("w", "v"): (2, "c0::f", "function"), ("s1", "h"): (1, "s0::h", "function")} | {(f"s{k}", "q"): (1, "s0::h", "function") for k in (2, 3, 4)}
+    assert got == want
