@@ -116,8 +116,8 @@ def commit_summaries(commits: DataFrame, key: str, files: DataFrame, notes: Data
     return commits.join(f, key, "left").join(n, key, "left").withColumns({"files": F.coalesce("files", F.lit(0)), "notes": F.coalesce("notes", F.array().cast("array<string>"))})
 
 
-#: Rows of one side in a piece of a group that is multiplied out.
-PIECE = 1 << 10
+#: Rows of one side in a piece of a group that is multiplied out, and how many of the other side's meet it at once.
+PIECE, FEW = 1 << 10, 4
 
 
 def _marked(rows: DataFrame, key: str, text: str, mark: str) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +148,11 @@ def all_pairs(left: DataFrame, a: str, right: DataFrame, b: str, texts: DataFram
     l = own.join(met, "_own").select(a, "_met")
     r = of_met.join(right, "text").select("_met", b).distinct()
     units = _pieces(l, a, "_met").join(_pieces(r, b, "_met"), "_met")
-    units = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "_met", f"_part_{a}", f"_part_{b}")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    units = units.repartition(parts, "_met", f"_part_{a}", f"_part_{b}")
+    few = F.transform(F.sequence(F.lit(0), F.floor((F.size(f"_all_{a}") - 1) / FEW).cast("int")), lambda k: F.slice(f"_all_{a}", k * FEW + 1, FEW))
+    # Spark holds all pairs that one row makes within a stage of generated code, a million for two pieces; coalesce moves no row and begins a new stage
+    units = units.select(F.explode(few).alias(f"_all_{a}"), f"_all_{b}").coalesce(parts)
     return units.select(F.explode(f"_all_{a}").alias(a), f"_all_{b}").select(a, F.explode(f"_all_{b}").alias(b))
 
 
